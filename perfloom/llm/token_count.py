@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: States a worker keeps at most, which bounds its memory; words that need others are counted by the library.
-MAX_STATES = 200_000
+MAX_STATES = 131_072
 CHUNK = 512
 #: Bytes of text that advance together.
 BLOCK = 4 << 20

@@ -23,11 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import checkpoints
+from perfloom.llm.tables import bounded, checkpoints
 
 TAU, EXACT_CHARS, NEAR_CHARS = 2, 10, 30
-#: Key sets up to so many rows are broadcast (16 bytes each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -104,18 +102,13 @@ def _lines(docs: DataFrame, exact_chars: int) -> DataFrame:
     return rows.select("doc_id", "no", "line", "length", position.cast("decimal(31,0)").alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def near_lines(lines: DataFrame, tau: int, near_chars: int) -> DataFrame:
     """h1, h2 of the lines that have an earlier line within tau edits, and aren't equal to it."""
     long_ones = lines.where(F.col("length") >= max(near_chars, 2 * (tau + 1)))
     keyed = long_ones.select("h1", F.explode(F.array(*probes(F.col("line"), F.col("length"), tau))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key").checkpoint()
-    buckets = keyed.join(_bounded(shared), "key").distinct().checkpoint()
-    involved = _bounded(buckets.select("h1").distinct().checkpoint())
+    buckets = keyed.join(bounded(shared), "key").distinct().checkpoint()
+    involved = bounded(buckets.select("h1").distinct().checkpoint())
     texts = long_ones.join(involved, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.min("line").alias("line")).checkpoint()
     members = buckets.join(texts.select("h1", "h2", "pos"), "h1").checkpoint()
 

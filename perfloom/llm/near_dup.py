@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
-from perfloom.llm.tables import checkpoints
+from perfloom.llm.tables import bounded, checkpoints
 
 BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
 
@@ -40,13 +40,14 @@ def least_matches(total: int, step: int, threshold: float, miss: float) -> list[
     return out
 
 
-def _sketches(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, bands: int, rows: int, width: int, signed: bool) -> DataFrame:
+    """A row for each document: the size of its set, two hashes of it and, if `signed`, its signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(bands * rows)
         for batch in batches:
             found = sets([x or b"" for x in batch.column(1).to_pylist()], width)
-            sig = hasher.signatures(found)
-            raw, cut = sig.tobytes(), 4 * bands * rows
+            raw, cut = hasher.signatures(found).tobytes() if signed else b"", 4 * bands * rows
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -104,16 +105,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     spark = docs.sparkSession
     checkpoints(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = _sketches(docs, bands, rows, width).checkpoint()
-    full = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    # A class has one row with its representative, whatever repeats doc_id.
-    reps = full.join(classes.selectExpr("rep doc_id", "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))).alias("band", "key"))
-    leaders = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("doc_id").alias("leader")).where("members > 1").drop("members")
-    shared = banded.join(leaders, ["band", "key"]).checkpoint()
-    involved = shared.select("doc_id").distinct()
-    signatures = reps.select("doc_id", "n_shingles", "signature").join(involved, "doc_id", "left_semi").checkpoint()
+    # Sketches are made twice, so that signatures are neither kept nor shuffled for more than one document of a class.
+    sketch = _sketches(docs, bands, rows, width, False).drop("signature").checkpoint()
+    usable = "doc_id is not null and n_shingles > 0"
+    classes = sketch.where(usable).groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    signed = _sketches(docs, bands, rows, width, True).where(usable)
+    reps = signed.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    reps = reps.select("doc_id", "n_shingles", "signature").checkpoint()
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))
+    banded = reps.select("doc_id", "n_shingles", F.explode(keys).alias("key"))
+    leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").drop("last")
+    shared = banded.join(bounded(leaders.checkpoint()), "key").checkpoint()
+    involved = bounded(shared.select("doc_id").distinct().checkpoint())
+    signatures = reps.join(involved, "doc_id", "left_semi").checkpoint()
     rows_of = docs.join(involved, "doc_id", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,22 +140,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         known = components(edges).checkpoint()
         of = lambda k: known.selectExpr(f"node {k}", f"component c_{k}")
         all_of = shared.join(of("doc_id"), "doc_id", "left").join(of("leader"), "leader", "left")
-        all_of = all_of.selectExpr("band", "key", "doc_id", "n_shingles", "leader", "coalesce(c_doc_id, doc_id) c", "coalesce(c_leader, leader) c_leader")
+        all_of = all_of.selectExpr("key", "doc_id", "n_shingles", "leader", "coalesce(c_doc_id, doc_id) c", "coalesce(c_leader, leader) c_leader")
         return known, all_of
 
     edges = links(shared.where("doc_id <> leader").selectExpr("doc_id a", "leader b")).checkpoint()
     known, members = labelled(edges)
     apart = members.where("c <> c_leader")
-    second = apart.groupBy("band", "key").agg(F.min("doc_id").alias("second"))
-    pairs = apart.join(second, ["band", "key"]).where("doc_id <> second").selectExpr("doc_id a", "second b")
+    second = apart.groupBy("key").agg(F.min("doc_id").alias("second"))
+    pairs = apart.join(second, "key").where("doc_id <> second").selectExpr("doc_id a", "second b")
     more = links(pairs).checkpoint()
     if more.limit(1).count():
         edges = edges.unionAll(more).checkpoint()
         known, members = labelled(edges)
         apart = members.where("c <> c_leader")
     # Whoever is apart still meets all members of other components. Within a pair of the apart, one direction is enough.
-    other = members.selectExpr("band", "key", "doc_id b", "n_shingles nb", "c cb", "c_leader")
-    rest = apart.selectExpr("band", "key", "doc_id a", "n_shingles na", "c ca").join(other, ["band", "key"])
+    other = members.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader")
+    rest = apart.selectExpr("key", "doc_id a", "n_shingles na", "c ca").join(other, "key")
     rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and 100 * least(na, nb) >= {per_cent} * greatest(na, nb)").select("a", "b")
     last = links(rest).checkpoint()
     if last.limit(1).count():

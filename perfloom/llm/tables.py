@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Narrow rows (a few numbers each) are broadcast up to this count; beyond it Spark joins them by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +23,8 @@ def checkpoints(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, which should be checkpointed and narrow, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
-from perfloom.llm.tables import bounded, checkpoints
+from perfloom.llm.tables import bounded, checkpoints, slices
 
 BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
 
@@ -45,8 +45,8 @@ def _sketches(docs: DataFrame, bands: int, rows: int, width: int, signed: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(bands * rows)
-        for batch in batches:
-            found = sets([x or b"" for x in batch.column(1).to_pylist()], width)
+        for batch, texts in slices(batches, 1):
+            found = sets(texts, width)
             raw, cut = hasher.signatures(found).tobytes() if signed else b"", 4 * bands * rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     rows_of = docs.join(involved, "doc_id", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sets([x or b"" for x in batch.column(1).to_pylist()], width)
+        for batch, texts in slices(batches, 1):
+            found = sets(texts, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["doc_id", "shingles", "n"])
 
     found = rows_of.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(shingle, "doc_id long, shingles binary, n long")

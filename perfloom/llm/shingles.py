@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 1 << 64, 256, _U)

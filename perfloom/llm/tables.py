@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,21 @@ def checkpoints(spark: SparkSession) -> None:
 def bounded(df: DataFrame) -> DataFrame:
     """`df`, which should be checkpointed and narrow, marked for broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Short pieces of Arrow batches, each with its texts as UTF-8 (null: empty), so that a worker holds little at a time.
+
+    A piece has at most `limit` bytes, or one row.
+    """
+    for batch in batches:
+        texts, start, size = [], 0, 0
+        for i, x in enumerate(batch.column(column)):
+            t = x.as_buffer().to_pybytes() if x.is_valid else b""
+            if texts and size + len(t) > limit:
+                yield batch.slice(start, i - start), texts
+                texts, start, size = [], i, 0
+            texts.append(t)
+            size += len(t)
+        if texts:
+            yield batch.slice(start), texts

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.near_dup import near_duplicates
 from perfloom.llm.packing import pack
+from perfloom.llm.quality import fold, score, train
 from perfloom.llm.tables import read
 from perfloom.llm.token_count import LIMIT, count_tokens
 
@@ -23,6 +24,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, read(spark, sf_dir, "labels").where(fold() != 1))
+    out = score(docs, model).withColumn("held_out", fold() == 1)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -31,5 +39,5 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_dedup, op8_packing, op9_token_count)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_dedup, op5_quality, op8_packing, op9_token_count)}
 ORACLES: dict[str, str] = {}

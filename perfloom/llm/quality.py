@@ -226,10 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.avg(label).alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = _described(rows, ["doc_id", "y"]).toPandas()
-    got["key"] = got["x"].map(lambda v: v.tobytes())
-    got = got.sort_values(["doc_id", "key"])
-    return fit(np.stack(got["x"].to_list()), got["y"].to_numpy(float)) if len(got) else AdditiveModel(0.0)
+    got = sorted((r["doc_id"], tuple(r["x"]), r["y"]) for r in _described(rows, ["doc_id", "y"]).collect())
+    return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got])) if got else AdditiveModel(0.0)
 
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:

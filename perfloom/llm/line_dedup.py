@@ -23,32 +23,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import bounded, checkpoints
+from perfloom.llm.tables import bounded, checkpoints, stored
 
 TAU, EXACT_CHARS, NEAR_CHARS = 2, 10, 30
 
 
-def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the tau + 1 even segments of a line of this length; the longer ones come last."""
-    base, rest = F.floor(length / (tau + 1)), F.pmod(length, F.lit(tau + 1))
-    out, start = [], F.lit(1)
-    for i in range(tau + 1):
-        size = base + (F.lit(tau + 1 - i) <= rest).cast("int")
-        out.append((start.cast("int"), size.cast("int")))
-        start = start + size
-    return out
+def segments(length: str, parts: int, i: int) -> tuple[str, str]:
+    """SQL for (start from 1, length) of the i-th of `parts` even segments of a line, i from 1; the longer ones come last."""
+    longer = f"{parts} - {length} % {parts}"
+    return f"cast({i - 1} * ({length} div {parts}) + greatest(0, {i - 1} - ({longer})) + 1 as int)", f"cast({length} div {parts} + if({i} > {longer}, 1, 0) as int)"
 
 
-def probes(line: Column, length: Column, tau: int) -> list[Column]:
-    """The hashes under which a line meets those within tau edits that are as long or shorter, and its own segments."""
-    out = []
-    for delta in range(tau + 1):
-        target = length - delta
-        for i, (start, size) in enumerate(segments(target, tau), 1):
-            low = max(-(i - 1), delta - (tau + 1 - i))
-            high = min(i - 1, delta + (tau + 1 - i))
-            out += [F.xxhash64(target, F.lit(i), F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
-    return out
+def probes(lines: DataFrame, tau: int) -> tuple[DataFrame, list[str]]:
+    """`lines` with the hashes under which a line (line, length) meets those within tau edits that are as long or shorter, and its own segments."""
+    parts, out = tau + 1, []
+    places = {}
+    for delta in range(parts):
+        for i in range(1, parts + 1):
+            places[f"s{delta}_{i}"], places[f"z{delta}_{i}"] = segments(f"(length - {delta})", parts, i)
+    for delta in range(parts):
+        for i in range(1, parts + 1):
+            low, high = max(-(i - 1), delta - (parts - i)), min(i - 1, delta + (parts - i))
+            out += [f"xxhash64(length - {delta}, {i}, substring(line, s{delta}_{i} + {shift}, z{delta}_{i}))" for shift in range(low, high + 1)]
+    names = [f"k{j}" for j in range(len(out))]
+    return lines.selectExpr("*", *[f"{v} {k}" for k, v in places.items()]).selectExpr(*lines.columns, *[f"{e} {k}" for k, e in zip(names, out, strict=True)]), names
+
+
+def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
+    """False for most lines that are more than tau edits apart, never for others: an edit damages one of a's segments at most."""
+    there = " + ".join(f"cast(contains({b}, substring({a}, {s}, {z})) as int)" for s, z in (segments(f"char_length({a})", parts, i) for i in range(1, parts + 1)))
+    return F.expr(f"abs(char_length({a}) - char_length({b})) <= {tau} and {there} >= {parts - tau}")
 
 
 def within_edits(a: str, b: str, tau: int) -> Column:
@@ -95,28 +99,38 @@ def within_edits(a: str, b: str, tau: int) -> Column:
     return (F.abs(n - m) <= tau) & accept
 
 
-def _lines(docs: DataFrame, exact_chars: int) -> DataFrame:
+def _split(docs: DataFrame, exact_chars: int) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.withColumn("length", F.char_length("line")).where(F.col("length") >= exact_chars)
-    position = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")
-    return rows.select("doc_id", "no", "line", "length", position.cast("decimal(31,0)").alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    return rows.withColumn("length", F.char_length("line")).where(F.col("length") >= exact_chars)
+
 
+#: A line's place in the corpus as one number.
+_POSITION = "cast(cast(doc_id as decimal(20,0)) * cast(2147483648 as decimal(10,0)) + no as decimal(31,0))"
 
-def near_lines(lines: DataFrame, tau: int, near_chars: int) -> DataFrame:
-    """h1, h2 of the lines that have an earlier line within tau edits, and aren't equal to it."""
-    long_ones = lines.where(F.col("length") >= max(near_chars, 2 * (tau + 1)))
-    keyed = long_ones.select("h1", F.explode(F.array(*probes(F.col("line"), F.col("length"), tau))).alias("key"))
+
+def near_lines(docs: DataFrame, lines: DataFrame, keys: list[str], tau: int, near_chars: int) -> DataFrame:
+    """h1, h2 of the lines that have an earlier line within tau edits, and aren't equal to it.
+
+    `lines` has doc_id, no, length, h1, h2 and the columns `keys`; the few texts that are needed come from `docs`.
+    """
+    least = max(near_chars, 2 * (tau + 1))
+    keyed = lines.where(F.col("length") >= least).unpivot(["h1"], keys, "of", "key").select("h1", "key")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key").checkpoint()
     buckets = keyed.join(bounded(shared), "key").distinct().checkpoint()
-    involved = bounded(buckets.select("h1").distinct().checkpoint())
-    texts = long_ones.join(involved, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.min("line").alias("line")).checkpoint()
-    members = buckets.join(texts.select("h1", "h2", "pos"), "h1").checkpoint()
+    involved = buckets.select("h1").distinct().checkpoint()
+    places = lines.where(F.col("length") >= least).join(bounded(involved), "h1", "left_semi").selectExpr("h1", "h2", f"{_POSITION} pos")
+    places = places.groupBy("h1", "h2").agg(F.min("pos").alias("pos")).checkpoint()
+    wanted = places.selectExpr("cast(floor(pos / 2147483648) as long) doc_id", "h1", "h2", "pos")
+    holders = wanted.select("doc_id").distinct().checkpoint()
+    texts = _split(docs.select("doc_id", "text").join(bounded(holders), "doc_id", "left_semi"), least).selectExpr("line", f"{_POSITION} pos")
+    texts = texts.join(bounded(places), "pos").dropDuplicates(["pos"]).checkpoint()
+    members = buckets.join(places, "h1").checkpoint()
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of pairs (pos, other) of positions, other earlier: the first ones of those within tau edits."""
         of = lambda k, line: texts.selectExpr(f"pos {k}", f"line {line}")
         found = pairs.distinct().join(of("pos", "x"), "pos").join(of("other", "y"), "other")
-        return found.where(F.abs(F.char_length("x") - F.char_length("y")) <= tau).where(within_edits("x", "y", tau)).select("pos").distinct()
+        return found.where(may_be_within("x", "y", tau)).where(within_edits("x", "y", tau)).select("pos").distinct()
 
     leaders = members.groupBy("key").agg(F.min("pos").alias("other"), F.count("*").alias("n"))
     led = members.join(leaders, "key").where("pos > other")
@@ -131,11 +145,14 @@ def near_lines(lines: DataFrame, tau: int, near_chars: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """`docs` with the lines that go taken out of `text`, and the columns n_lines and n_removed."""
     checkpoints(docs.sparkSession)
-    lines = _lines(docs, exact_chars)
-    firsts = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"))
-    near = near_lines(lines, tau, near_chars).withColumn("near", F.lit(True))
-    marks = firsts.join(near, ["h1", "h2"], "left")
-    gone = lines.select("doc_id", "no", "pos", "h1", "h2").join(marks, ["h1", "h2"]).where("near or pos <> first")
+    keyed, keys = probes(_split(docs, exact_chars), tau)
+    # The only pass over all text but the last: hashes of lines and of their segments.
+    lines = stored(keyed.selectExpr("doc_id", "no", "length", "xxhash64(line) h1", "xxhash64(7, line) h2", *keys))
+    near = near_lines(docs, lines, keys, tau, near_chars).withColumn("near", F.lit(True))
+    placed = lines.selectExpr("doc_id", "no", "h1", "h2", f"{_POSITION} pos")
+    # Lines that occur once and are near none are most; they are left out before the join.
+    marks = placed.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).join(near, ["h1", "h2"], "left").where("near or first <> last").drop("last").checkpoint()
+    gone = placed.join(bounded(marks), ["h1", "h2"]).where("near or pos <> first")
     gone = gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
     out = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
     parts = F.split("text", "\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,15 @@ def checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as a table in the shared folder and read back: it cuts lineage, and later readers take only their columns."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """`df`, which should be checkpointed and narrow, marked for broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

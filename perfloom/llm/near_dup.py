@@ -100,6 +100,20 @@ def _confirmed(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFram
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
+def _alone(found: DataFrame) -> DataFrame:
+    """doc_id, alone: how many of its shingles no other row of `found` (doc_id, shingles) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in slices(batches, 1):
+            x = [np.frombuffer(r, np.int64) for r in raw]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(v) for v in x])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(x))], ["doc_id", "shingle"])
+
+    each = found.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle long")
+    once = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    return once.groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -154,9 +168,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         known, members = labelled(edges)
         apart = members.where("c <> c_leader")
     # Whoever is apart still meets all members of other components. Within a pair of the apart, one direction is enough.
-    other = members.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader")
-    rest = apart.selectExpr("key", "doc_id a", "n_shingles na", "c ca").join(other, "key")
-    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and 100 * least(na, nb) >= {per_cent} * greatest(na, nb)").select("a", "b")
+    # Shingles that no other document of these buckets has can't be common to a pair, which rules most pairs out.
+    touched = members.join(apart.select("key").distinct(), "key", "left_semi").checkpoint()
+    alone = _alone(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")).checkpoint()
+    touched = touched.join(alone, "doc_id", "left").withColumn("s", F.expr("n_shingles - coalesce(alone, 0)"))
+    other = touched.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader", "s sb")
+    rest = touched.where("c <> c_leader").selectExpr("key", "doc_id a", "n_shingles na", "c ca", "s sa").join(other, "key")
+    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and 100 * least(sa, sb) >= {per_cent} * (na + nb - least(sa, sb))").select("a", "b")
     last = links(rest).checkpoint()
     if last.limit(1).count():
         known = components(edges.unionAll(last)).checkpoint()

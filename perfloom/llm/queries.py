@@ -11,6 +11,7 @@ from perfloom.llm.decontaminate import leaks
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.near_dup import near_duplicates
 from perfloom.llm.packing import pack
+from perfloom.llm.pii import KINDS, find_personal_data, written
 from perfloom.llm.quality import fold, score, train
 from perfloom.llm.tables import read
 from perfloom.llm.token_count import LIMIT, count_tokens
@@ -20,6 +21,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return rows.select("doc_id", *counts, F.sha2(written(KINDS), 256).alias("base_sha256"), written((*KINDS, "term")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -44,5 +51,5 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op3_line_dedup, op4_decontamination, op5_quality, op8_packing, op9_token_count)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op8_packing, op9_token_count)}
 ORACLES: dict[str, str] = {}

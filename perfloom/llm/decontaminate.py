@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.shingles import mix, words
-from perfloom.llm.tables import slices
+from perfloom.llm.tables import bounded, checkpoints, slices
 
 EDITS, LEAST_WORDS, WALKS, SAMPLES, SAMPLED, ITEM_BLOCK, WINDOWS = 0.15, 5, 10, 4, 6, 20_000, 20_000
 _U = np.uint64
@@ -220,5 +220,6 @@ def _search(rows: list, edits: float, least_words: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the rows in which an item is found; rows with a null doc_id stay."""
-    found = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    checkpoints(docs.sparkSession)
+    found = leaks(docs, benchmark, **options).select("doc_id").distinct().checkpoint()
+    return docs.join(bounded(found), "doc_id", "left_anti")

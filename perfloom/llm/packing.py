@@ -133,25 +133,25 @@ def pack(docs: DataFrame, file: str = "byte_bpe_50k.json", fast: str | None = "b
             nonlocal sequence
             offset = 0
             for doc_id, start, ids, n in bin_:
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence, offset) + (ids,) * with_ids)
+                rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence, offset) + (ids.view(np.int32),) * with_ids)
                 offset += len(ids)
             sequence += 1
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if name == "ids" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if name == "ids" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
 
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(t.ids(raw.as_py() or b""), np.uint32(END)).astype("<u4")
                 for bin_ in packer.put(doc_id, ids):
                     add(bin_)
-                if len(rows) >= 20_000:
+                if len(rows) >= 4_000:
                     yield batch()
         for bin_ in packer.close():
             add(bin_)
         yield batch()
 
-    schema = ", ".join(f"{n} {'array<long>' if n == 'ids' else 'long'}" for n in names)
+    schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
     return docs.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(run, schema)

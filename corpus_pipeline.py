@@ -1,14 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perfloom.llm.tables import read
+from perfloom.llm.decontaminate import decontaminate
+from perfloom.llm.line_dedup import dedup_lines
+from perfloom.llm.near_dup import near_duplicates
+from perfloom.llm.packing import pack
+from perfloom.llm.quality import fold, score, train
+from perfloom.llm.tables import bounded, read, stored
 
-STAGES: list = []
+#: Documents below this score are rejected.
+LEAST_SCORE = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier accepts. It learns from `labels` for the documents at hand, without those of the held-out fold."""
+    model = train(docs, read(spark, sf_dir, "labels").where(fold() != 1))
+    return score(docs, model).where(F.col("score") >= LEAST_SCORE).drop("score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines out that occur earlier. A document of which nothing but white space is left by that goes."""
+    out = dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\s]'").drop("n_lines", "n_removed")
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct().checkpoint()
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a packed sequence, with its token ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+#: SQL has no way to fit the classifier or to tokenise; the stages are tested one by one instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfloom.llm.ann import nearest_neighbours
 from perfloom.llm.decontaminate import leaks
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.near_dup import near_duplicates
@@ -51,5 +52,9 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op8_packing, op9_token_count)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op8_packing, op9_token_count, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

@@ -55,6 +55,21 @@ def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
     return F.expr(f"abs(char_length({a}) - char_length({b})) <= {tau} and {there} >= {parts - tau}")
 
 
+def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """`pairs` with most of what columns a and b have in common at their beginnings and ends cut off, which changes no edit distance.
+
+    Each of two rounds at either end cuts as many eighths of the shorter line as are equal.
+    """
+    for side, rest in (("left", "substring({c}, cut + 1)"), ("right", "left({c}, char_length({c}) - cut)")):
+        for _ in range(2):
+            n = f"least(char_length({a}), char_length({b}))"
+            tests = " ".join(f"when {side}({a}, size * {k} div 8) = {side}({b}, size * {k} div 8) then size * {k} div 8" for k in range(8, 0, -1))
+            others = [c for c in pairs.columns if c not in (a, b)]
+            pairs = pairs.selectExpr(*others, a, b, f"{n} size").selectExpr(*others, a, b, f"cast(case {tests} else 0 end as int) cut")
+            pairs = pairs.selectExpr(*others, f"{rest.format(c=a)} {a}", f"{rest.format(c=b)} {b}")
+    return pairs
+
+
 def within_edits(a: str, b: str, tau: int) -> Column:
     """True if columns `a` and `b` are at most tau edits apart.
 
@@ -130,7 +145,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, keys: list[str], tau: int, nea
         """Of pairs (pos, other) of positions, other earlier: the first ones of those within tau edits."""
         of = lambda k, line: texts.selectExpr(f"pos {k}", f"line {line}")
         found = pairs.distinct().join(of("pos", "x"), "pos").join(of("other", "y"), "other")
-        return found.where(may_be_within("x", "y", tau)).where(within_edits("x", "y", tau)).select("pos").distinct()
+        # Without the checkpoint the filter would move down and repeat the expressions of all rounds within itself.
+        short = trimmed(found.where(may_be_within("x", "y", tau)).select("pos", "x", "y"), "x", "y").checkpoint()
+        return short.where(within_edits("x", "y", tau)).select("pos").distinct()
 
     leaders = members.groupBy("key").agg(F.min("pos").alias("other"), F.count("*").alias("n"))
     led = members.join(leaders, "key").where("pos > other")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.ann import nearest_neighbours
 from perfloom.llm.decontaminate import leaks
+from perfloom.llm.html_text import extract
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.near_dup import near_duplicates
 from perfloom.llm.packing import pack
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -56,5 +61,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op8_packing, op9_token_count, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op7_main_text, op8_packing, op9_token_count, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionAll(e.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         # Large star: every neighbour above a node hangs on the node's smallest neighbour.
-        e = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u <> v").distinct()
+        e = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u <> v")
         # Small star: a node and its smaller neighbours hang on the smallest of them.
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").selectExpr("case when v = m then u else v end u", "m v").distinct().checkpoint()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
-from perfloom.llm.tables import bounded, checkpoints, slices
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices
 
 BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
 
@@ -114,10 +114,8 @@ def _alone(found: DataFrame) -> DataFrame:
     return once.groupBy("doc_id").agg(F.count("*").alias("alone"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    checkpoints(spark)
+def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets' size and hashes, classes with their representatives, and representatives with their components."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Sketches are made twice, so that signatures are neither kept nor shuffled for more than one document of a class.
     sketch = _sketches(docs, bands, rows, width, False).drop("signature").checkpoint()
@@ -178,6 +176,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     last = links(rest).checkpoint()
     if last.limit(1).count():
         known = components(edges.unionAll(last)).checkpoint()
+    return sketch, classes, known
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+    spark = docs.sparkSession
+    checkpoints(spark)
+    with brief_shuffles(spark):
+        sketch, classes, known = _linked(docs, width, threshold, bands, rows, miss)
     rows_ = sketch.join(classes, ["n_shingles", "h1", "h2"], "left").join(known.selectExpr("node rep", "component"), "rep", "left")
     out = rows_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))

@@ -107,12 +107,17 @@ def revealing_terms(docs: DataFrame, generalise: float, support: int) -> DataFra
     each = held.select("doc_id", "line", F.explode("entities").alias("entity"), "terms")
     lines_of = each.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("dfc"))
     both = each.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("dftc")).where(F.col("dftc") >= support).checkpoint()
-    candidates = bounded(both.select("term").distinct().checkpoint())
     every = rows.select(F.explode(F.split("text", "\n")).alias("line"))
     words = every.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
+    total = every.select(F.xxhash64("line").alias("line")).distinct().agg(F.count("*").alias("n")).checkpoint()
+    # A term reaches the threshold only if it has few lines beside those of the entity. A sketch of each term's lines,
+    # with a margin of many times its error, leaves common words out before lines are counted one by one.
+    known = both.join(lines_of, "entity").crossJoin(F.broadcast(total)).checkpoint()
+    most = known.groupBy("term").agg(F.max(F.col("dftc") * F.pow(F.col("n") / F.col("dfc"), F.lit(1 - generalise))).alias("most")).checkpoint()
+    sketched = words.join(bounded(most.select("term")), "term", "left_semi").groupBy("term").agg(F.approx_count_distinct("line", 0.05).alias("about"))
+    candidates = bounded(sketched.join(most, "term").where(F.col("about") <= 2 * F.col("most") + 10).select("term").checkpoint())
     dft = words.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("dft"))
-    total = every.select(F.xxhash64("line").alias("line")).distinct().agg(F.count("*").alias("n"))
-    scored = both.join(dft, "term").join(lines_of, "entity").crossJoin(F.broadcast(total))
+    scored = known.join(dft, "term")
     information = F.log2(F.col("n") / F.col("dfc"))
     shared = F.log2(F.col("n") * F.col("dftc") / (F.col("dft") * F.col("dfc")))
     scored = scored.withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where(F.col("disclosure") >= generalise)

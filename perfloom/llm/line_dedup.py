@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import bounded, checkpoints, stored
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, stored
 
 TAU, EXACT_CHARS, NEAR_CHARS = 2, 10, 30
 
@@ -34,19 +34,23 @@ def segments(length: str, parts: int, i: int) -> tuple[str, str]:
     return f"cast({i - 1} * ({length} div {parts}) + greatest(0, {i - 1} - ({longer})) + 1 as int)", f"cast({length} div {parts} + if({i} > {longer}, 1, 0) as int)"
 
 
-def probes(lines: DataFrame, tau: int) -> tuple[DataFrame, list[str]]:
-    """`lines` with the hashes under which a line (line, length) meets those within tau edits that are as long or shorter, and its own segments."""
-    parts, out = tau + 1, []
-    places = {}
-    for delta in range(parts):
-        for i in range(1, parts + 1):
-            places[f"s{delta}_{i}"], places[f"z{delta}_{i}"] = segments(f"(length - {delta})", parts, i)
+def probes(lines: DataFrame, tau: int) -> DataFrame:
+    """h1, key: the hashes under which a line (line, length, h1) meets those within tau edits that are as long or shorter, and its own segments.
+
+    A row for each place comes before its hash, so that the generated code holds one substring instead of all.
+    """
+    parts = tau + 1
+    places = []
     for delta in range(parts):
         for i in range(1, parts + 1):
             low, high = max(-(i - 1), delta - (parts - i)), min(i - 1, delta + (parts - i))
-            out += [f"xxhash64(length - {delta}, {i}, substring(line, s{delta}_{i} + {shift}, z{delta}_{i}))" for shift in range(low, high + 1)]
-    names = [f"k{j}" for j in range(len(out))]
-    return lines.selectExpr("*", *[f"{v} {k}" for k, v in places.items()]).selectExpr(*lines.columns, *[f"{e} {k}" for k, e in zip(names, out, strict=True)]), names
+            places += [(delta, i, shift) for shift in range(low, high + 1)]
+    delta, i, shift = (f"get(array({', '.join(map(str, xs))}), place)" for xs in zip(*places, strict=True))
+    rows = lines.selectExpr("h1", "line", "length", f"explode(sequence(0, {len(places) - 1})) place").selectExpr("h1", "line", f"length - {delta} target", f"{i} i", f"{shift} shift")
+    longer = f"({parts} - target % {parts})"
+    start = f"cast((i - 1) * (target div {parts}) + greatest(0, i - 1 - {longer}) + 1 + shift as int)"
+    size = f"cast(target div {parts} + if(i > {longer}, 1, 0) as int)"
+    return rows.selectExpr("h1", f"xxhash64(target, i, substring(line, {start}, {size})) key")
 
 
 def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
@@ -123,13 +127,14 @@ def _split(docs: DataFrame, exact_chars: int) -> DataFrame:
 _POSITION = "cast(cast(doc_id as decimal(20,0)) * cast(2147483648 as decimal(10,0)) + no as decimal(31,0))"
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, keys: list[str], tau: int, near_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) -> DataFrame:
     """h1, h2 of the lines that have an earlier line within tau edits, and aren't equal to it.
 
-    `lines` has doc_id, no, length, h1, h2 and the columns `keys`; the few texts that are needed come from `docs`.
+    `lines` has doc_id, no, length, h1, h2; texts come from `docs`.
     """
+    checkpoints(docs.sparkSession)
     least = max(near_chars, 2 * (tau + 1))
-    keyed = lines.where(F.col("length") >= least).unpivot(["h1"], keys, "of", "key").select("h1", "key")
+    keyed = stored(probes(_split(docs, least).withColumn("h1", F.xxhash64("line")), tau))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key").checkpoint()
     buckets = keyed.join(bounded(shared), "key").distinct().checkpoint()
     involved = buckets.select("h1").distinct().checkpoint()
@@ -159,18 +164,22 @@ def near_lines(docs: DataFrame, lines: DataFrame, keys: list[str], tau: int, nea
     return texts.join(gone, "pos", "left_semi").select("h1", "h2")
 
 
+def _gone(placed: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, gone: the numbers of the lines that go."""
+    rows = placed.join(marks, ["h1", "h2"]).where("near or pos <> first")
+    return rows.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
+
+
 def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """`docs` with the lines that go taken out of `text`, and the columns n_lines and n_removed."""
-    checkpoints(docs.sparkSession)
-    keyed, keys = probes(_split(docs, exact_chars), tau)
-    # The only pass over all text but the last: hashes of lines and of their segments.
-    lines = stored(keyed.selectExpr("doc_id", "no", "length", "xxhash64(line) h1", "xxhash64(7, line) h2", *keys))
-    near = near_lines(docs, lines, keys, tau, near_chars).withColumn("near", F.lit(True))
-    placed = lines.selectExpr("doc_id", "no", "h1", "h2", f"{_POSITION} pos")
-    # Lines that occur once and are near none are most; they are left out before the join.
-    marks = placed.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).join(near, ["h1", "h2"], "left").where("near or first <> last").drop("last").checkpoint()
-    gone = placed.join(bounded(marks), ["h1", "h2"]).where("near or pos <> first")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
+    with brief_shuffles(docs.sparkSession):
+        # A table of hashes, so that the text is only read again where it is needed.
+        lines = stored(_split(docs, exact_chars).selectExpr("doc_id", "no", "length", "xxhash64(line) h1", "xxhash64(7, line) h2"))
+        near = near_lines(docs, lines, tau, near_chars).withColumn("near", F.lit(True)).checkpoint()
+        placed = lines.selectExpr("doc_id", "no", "h1", "h2", f"{_POSITION} pos")
+        # Lines that occur once and are near none are most; they are left out before the join.
+        marks = placed.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).join(near, ["h1", "h2"], "left").where("near or first <> last").drop("last").checkpoint()
+        gone = _gone(placed, bounded(marks)).checkpoint()
     out = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))

@@ -15,6 +15,7 @@ from perfloom.llm.near_dup import near_duplicates
 from perfloom.llm.packing import pack
 from perfloom.llm.pii import KINDS, find_personal_data, written
 from perfloom.llm.quality import fold, score, train
+from perfloom.llm.suffix_dedup import remove_repeats
 from perfloom.llm.tables import read
 from perfloom.llm.token_count import LIMIT, count_tokens
 
@@ -45,6 +46,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
@@ -61,5 +67,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op7_main_text, op8_packing, op9_token_count, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op6_suffix_dedup, op7_main_text, op8_packing, op9_token_count, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

@@ -12,8 +12,8 @@ from perfloom.operators import joins as J
 
 # For each repository the labels and title keywords that mark performance work, and whether titles are lowered.
 RULES = [
-    ("astropy", [], ["eff", "perf"], True),
-    ("scikit-learn", ["performance"], ["eff", "perf", "speed up"], True),
+    ("astropy", ["performance"], ["eff", "perf", "speed up"], True),
+    ("scikit-learn", ["performance"], ["eff", "perf"], True),
     ("matplotlib", ["performance"], ["perf"], True),
     ("pylint", ["performance"], ["perf"], True),
     ("seaborn", ["perf"], ["perf"], True),

@@ -27,7 +27,7 @@ from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
 from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices
 
-BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
+BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP, PARTS = 32, 4, 5, 0.75, 1e-6, 16, 64
 
 
 def least_matches(total: int, step: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -100,18 +100,26 @@ def _confirmed(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFram
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
-def _alone(found: DataFrame) -> DataFrame:
-    """doc_id, alone: how many of its shingles no other row of `found` (doc_id, shingles) has."""
+def _common_parts(found: DataFrame) -> DataFrame:
+    """doc_id, parts: of `found` (doc_id, shingles), how many shingles of each of PARTS residues a row shares with any other row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in slices(batches, 1):
+            out = [np.bincount(np.frombuffer(r, np.int64) % PARTS, minlength=PARTS) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "parts"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 1):
             x = [np.frombuffer(r, np.int64) for r in raw]
             ids = np.repeat(batch.column(0).to_numpy(), [len(v) for v in x])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(x))], ["doc_id", "shingle"])
 
-    each = found.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle long")
-    once = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    return once.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    found = found.select("doc_id", "shingles")
+    once = found.mapInArrow(rows, "doc_id long, shingle long").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    alone = once.groupBy("doc_id", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
+    both = found.mapInArrow(totals, "doc_id long, parts array<int>").join(alone, "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.try_element_at("alone", i), F.lit(0)))).alias("parts"))
 
 
 def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,13 +174,16 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
         known, members = labelled(edges)
         apart = members.where("c <> c_leader")
     # Whoever is apart still meets all members of other components. Within a pair of the apart, one direction is enough.
-    # Shingles that no other document of these buckets has can't be common to a pair, which rules most pairs out.
+    # Shingles that no other document of these buckets has can't be common to a pair, nor can a pair have more in common
+    # than the smaller of its counts in each part of the hashes. This rules most pairs out, and no linked one.
     touched = members.join(apart.select("key").distinct(), "key", "left_semi").checkpoint()
-    alone = _alone(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")).checkpoint()
-    touched = touched.join(alone, "doc_id", "left").withColumn("s", F.expr("n_shingles - coalesce(alone, 0)"))
-    other = touched.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader", "s sb")
-    rest = touched.where("c <> c_leader").selectExpr("key", "doc_id a", "n_shingles na", "c ca", "s sa").join(other, "key")
-    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and 100 * least(sa, sb) >= {per_cent} * (na + nb - least(sa, sb))").select("a", "b")
+    parts = _common_parts(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")).checkpoint()
+    touched = touched.join(parts, "doc_id").withColumn("s", F.aggregate("parts", F.lit(0), lambda a, x: a + x))
+    other = touched.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader", "s sb", "parts pb")
+    rest = touched.where("c <> c_leader").selectExpr("key", "doc_id a", "n_shingles na", "c ca", "s sa", "parts pa").join(other, "key")
+    enough = f"{100 + per_cent} * {{}} >= {per_cent} * (na + nb)"
+    least = "aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0, (t, x) -> t + x)"
+    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and {enough.format('least(sa, sb)')} and {enough.format(least)}").select("a", "b")
     last = links(rest).checkpoint()
     if last.limit(1).count():
         known = components(edges.unionAll(last)).checkpoint()

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, stored
+from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, stored
 
 TAU, EXACT_CHARS, NEAR_CHARS = 2, 10, 30
 
@@ -59,13 +59,27 @@ def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
     return F.expr(f"abs(char_length({a}) - char_length({b})) <= {tau} and {there} >= {parts - tau}")
 
 
+#: Letters whose counts rule pairs out: an edit changes no letter's count by more than one, up or down.
+_LETTERS = "etaoinshrdlucmfwypvbgkjq"
+
+
+def letter_counts(line: str) -> Column:
+    return F.expr("array(" + ", ".join(f"char_length({line}) - char_length(translate({line}, '{c}{c.upper()}', ''))" for c in _LETTERS) + ")")
+
+
+def counts_agree(a: str, b: str, tau: int) -> Column:
+    """False for pairs of letter counts that need more than tau edits."""
+    over = lambda x, y: " + ".join(f"greatest(get({x}, {i}) - get({y}, {i}), 0)" for i in range(len(_LETTERS)))
+    return F.expr(f"{over(a, b)} <= {tau} and {over(b, a)} <= {tau}")
+
+
 def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """`pairs` with most of what columns a and b have in common at their beginnings and ends cut off, which changes no edit distance.
 
-    Each of two rounds at either end cuts as many eighths of the shorter line as are equal.
+    Each of three rounds at either end cuts as many eighths of the shorter line as are equal.
     """
     for side, rest in (("left", "substring({c}, cut + 1)"), ("right", "left({c}, char_length({c}) - cut)")):
-        for _ in range(2):
+        for _ in range(3):
             n = f"least(char_length({a}), char_length({b}))"
             tests = " ".join(f"when {side}({a}, size * {k} div 8) = {side}({b}, size * {k} div 8) then size * {k} div 8" for k in range(8, 0, -1))
             others = [c for c in pairs.columns if c not in (a, b)]
@@ -144,7 +158,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     holders = wanted.select("doc_id").distinct().checkpoint()
     texts = _split(docs.select("doc_id", "text").join(bounded(holders), "doc_id", "left_semi"), least).selectExpr("line", f"{_POSITION} pos")
     texts = texts.join(bounded(places), "pos").dropDuplicates(["pos"]).checkpoint()
-    members = buckets.join(places, "h1").checkpoint()
+    members = buckets.join(texts.select("h1", "pos", F.char_length("line").alias("n"), letter_counts("line").alias("counts")), "h1").select("key", "pos", "n", "counts").checkpoint()
+    agree = F.expr(f"abs(n - m) <= {tau}") & counts_agree("counts", "others", tau)
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of pairs (pos, other) of positions, other earlier: the first ones of those within tau edits."""
@@ -152,14 +167,16 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
         found = pairs.distinct().join(of("pos", "x"), "pos").join(of("other", "y"), "other")
         # Without the checkpoint the filter would move down and repeat the expressions of all rounds within itself.
         short = trimmed(found.where(may_be_within("x", "y", tau)).select("pos", "x", "y"), "x", "y").checkpoint()
-        return short.where(within_edits("x", "y", tau)).select("pos").distinct()
+        few = F.expr(f"char_length(translate(x, y, '')) <= {tau} and char_length(translate(y, x, '')) <= {tau}")
+        return short.where(may_be_within("x", "y", tau) & few).where(within_edits("x", "y", tau)).select("pos").distinct()
 
-    leaders = members.groupBy("key").agg(F.min("pos").alias("other"), F.count("*").alias("n"))
-    led = members.join(leaders, "key").where("pos > other")
-    gone = close(led.select("pos", "other")).checkpoint()
+    leaders = members.groupBy("key").agg(F.min(F.struct("pos", "n", "counts")).alias("first"), F.count("*").alias("size"))
+    leaders = leaders.select("key", "size", F.col("first.pos").alias("other"), F.col("first.n").alias("m"), F.col("first.counts").alias("others"))
+    led = members.join(leaders, "key").where("pos > other").checkpoint()
+    gone = close(led.where(agree).select("pos", "other")).checkpoint()
     # The rest: lines that stay so far, against all earlier ones of their bucket but its earliest.
-    left = led.where("n > 2").join(gone, "pos", "left_anti").select("key", "pos", "other")
-    rest = left.join(members.selectExpr("key", "pos earlier"), "key").where("earlier < pos and earlier > other").selectExpr("pos", "earlier other")
+    left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos", "n", "counts", "other")
+    rest = left.join(members.selectExpr("key", "pos earlier", "n m", "counts others"), "key").where("earlier < pos and earlier > other").where(agree).selectExpr("pos", "earlier other")
     gone = gone.unionAll(close(rest))
     return texts.join(gone, "pos", "left_semi").select("h1", "h2")
 
@@ -180,6 +197,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS,
         # Lines that occur once and are near none are most; they are left out before the join.
         marks = placed.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).join(near, ["h1", "h2"], "left").where("near or first <> last").drop("last").checkpoint()
         gone = _gone(placed, bounded(marks)).checkpoint()
+        total = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    if total <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     out = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))

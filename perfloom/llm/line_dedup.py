@@ -200,8 +200,11 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS,
         total = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     if total <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    out = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
+    docs = docs.drop("n_lines", "n_removed")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
+    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
     parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    return out.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    n_lines, n_removed = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+    return out.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

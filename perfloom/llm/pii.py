@@ -73,7 +73,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _with_base(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("*", *[base_spans(text, k).alias(f"_{k}") for k in KINDS])
+    return docs.select("*", *[base_spans(text, k).alias(f"__{k}") for k in KINDS])
 
 
 # Functions of one parameter each: Spark would take a second one for the index.
@@ -126,15 +126,16 @@ def revealing_terms(docs: DataFrame, generalise: float, support: int) -> DataFra
 
 def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """`docs` with an array of spans for each kind and for terms, and the column `sanitised`: the text with each span replaced by its kind."""
+    docs = docs.drop(*KINDS, "term", "sanitised")
     terms = revealing_terms(docs, generalise, support)
-    terms = terms.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("_terms")).checkpoint()
-    rows = _with_base(docs).join(bounded(terms), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    terms = terms.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("__terms")).checkpoint()
+    rows = _with_base(docs).join(bounded(terms), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     text = F.coalesce("text", F.lit(""))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    rows = rows.withColumn("_term", F.when(F.col("_terms").isNull(), F.array().cast(_SPANS)).otherwise(matches(text, pattern, lambda v: F.lit(True))))
-    gone = lambda s: F.exists("_terms", lambda t: (t["term"] == F.lower(s["value"])) & (t["disclosure"] >= remove))
-    labelled = [F.transform(f"_{k}", _labelled(k)) for k in KINDS]
-    labelled.append(F.transform("_term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone(s), "").otherwise("[term]").alias("label"))))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    rows = rows.withColumn("__term", F.when(F.col("__terms").isNull(), F.array().cast(_SPANS)).otherwise(matches(text, pattern, lambda v: F.lit(True))))
+    gone = lambda s: F.exists("__terms", lambda t: (t["term"] == F.lower(s["value"])) & (t["disclosure"] >= remove))
+    labelled = [F.transform(f"__{k}", _labelled(k)) for k in KINDS]
+    labelled.append(F.transform("__term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone(s), "").otherwise("[term]").alias("label"))))
     spans = F.array_sort(F.flatten(F.array(*labelled)))
 
     def write(acc: Column, s: Column) -> Column:
@@ -146,7 +147,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     sanitised = F.aggregate(spans, begin, write, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
     rows = rows.withColumn("sanitised", F.when(F.size(spans) > 0, sanitised).otherwise(F.col("text")))
-    return rows.drop("_terms").withColumnsRenamed({f"_{k}": k for k in (*KINDS, "term")})
+    return rows.drop("__terms").withColumnsRenamed({f"__{k}": k for k in (*KINDS, "term")})
 
 
 def written(kinds: tuple[str, ...]) -> Column:

@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """`docs` with a column `score`."""
-    raw = pickle.dumps(model)
+    raw, docs = pickle.dumps(model), docs.drop("score")
     names = docs.columns
     at = names.index("text")
 

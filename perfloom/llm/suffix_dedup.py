@@ -261,6 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_contexts: int = CONTEXTS) -> DataFrame:
     """`docs` with the remaining bytes as `kept` (binary) in place of `text`, and n_bytes, n_removed and n_spans."""
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     with brief_shuffles(docs.sparkSession):
         spans = repeated_spans(docs, length, anchor, most_contexts).checkpoint()
         total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0

@@ -30,7 +30,7 @@ from perfloom.llm import shingles
 from perfloom.llm.gsaca import suffix_array
 from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, slices, stored
 
-LENGTH, ANCHOR, CONTEXTS, BATCH = 200, 64, 20_000, 4_000
+LENGTH, ANCHOR, CONTEXTS, BATCH, PAIRED = 200, 64, 20_000, 4_000, 12
 _U = np.uint64
 _CHUNK = 900_000
 _PLACE = _U((1 << 20) - 1)
@@ -112,37 +112,82 @@ def _agreement(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def resolve(keys: np.ndarray, offsets: np.ndarray, windows: np.ndarray, texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> list[np.ndarray]:
     """For each context (key, anchor's offset, number of windows, bytes), which of its windows another context of the key has too."""
-    found = [np.zeros(w, bool) for w in windows]
-    if not len(keys):
-        return found
+    n = len(keys)
+    if not n:
+        return []
+    base = np.concatenate([[0], np.cumsum(windows + 1)])
+    # One more where a run of windows begins and one less behind its end, for all contexts in one array.
+    change = np.zeros(base[-1] + 1, np.int64)
+
+    def mark(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """The windows that begin `low` to `high` bytes before the anchors of contexts i."""
+        np.add.at(change, base[i] + offsets[i] - high, 1)
+        np.add.at(change, base[i] + offsets[i] - low + 1, -1)
+
     forth, ahead = _agreement([t[o:] for t, o in zip(texts, offsets.tolist(), strict=True)])
     # Backwards, the anchor itself comes first, so that the contexts of a key are neighbours here too.
     back, behind = _agreement([t[: o + anchor][::-1] for t, o in zip(texts, offsets.tolist(), strict=True)])
-    place_f, place_b = np.argsort(forth), np.argsort(back)
-    by_key = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], keys[by_key][1:] != keys[by_key][:-1]])).tolist() + [len(keys)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        group = by_key[a:b]
-        if len(group) < 2:
+    behind = behind - anchor
+    place_b = np.argsort(back)
+    least_o, most_o = np.maximum(0, offsets - windows + 1), offsets
+
+    def groups(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the run of each key, by key."""
+        k = keys[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        by = np.argsort(k[start])
+        return start[by], np.diff(np.concatenate([start, [n]]))[by]
+
+    f_start, size = groups(forth)
+    b_start, _ = groups(back)
+    for m in np.unique(size[size > 1]).tolist():
+        of = np.flatnonzero(size == m)
+        if m > PAIRED:
+            for g in of.tolist():
+                f, b = forth[f_start[g] : f_start[g] + m], back[b_start[g] : b_start[g] + m]
+                _sweep(f, b, ahead[f_start[g] : f_start[g] + m - 1], behind[b_start[g] : b_start[g] + m - 1], least_o, most_o, length, mark)
+            continue
+        # All groups of this size at once: every pair agrees as far as the least agreement of the neighbours between.
+        members = forth[f_start[of][:, None] + np.arange(m)]
+        right, left = ahead[f_start[of][:, None] + np.arange(m - 1)], behind[b_start[of][:, None] + np.arange(m - 1)]
+        between = np.full((len(of), m, m), 1 << 30)
+        for x in range(m):
+            for y in range(x + 1, m):
+                between[:, x, y] = np.minimum(between[:, x, y - 1], left[:, y - 1])
+        place = place_b[members] - b_start[of][:, None]
+        row = np.arange(len(of))
+        for x in range(m):
+            far = np.full(len(of), 1 << 30)
+            for y in range(x + 1, m):
+                far = np.minimum(far, right[:, y - 1])
+                i, j = members[:, x], members[:, y]
+                near = between[row, np.minimum(place[:, x], place[:, y]), np.maximum(place[:, x], place[:, y])]
+                # A window that begins o bytes before the anchor needs o bytes on the left and the rest on the right.
+                low = np.maximum(np.maximum(length - far, least_o[i]), least_o[j])
+                high = np.minimum(np.minimum(near, most_o[i]), most_o[j])
+                ok = low <= high
+                mark(i[ok], low[ok], high[ok])
+                mark(j[ok], low[ok], high[ok])
+    covered = np.cumsum(change) > 0
+    return [covered[a : a + w] for a, w in zip(base[:-1].tolist(), windows.tolist(), strict=True)]
+
+
+def _sweep(f: np.ndarray, b: np.ndarray, right: np.ndarray, left: np.ndarray, least_o: np.ndarray, most_o: np.ndarray, length: int, mark) -> None:
+    """A large group, in both orders: at each offset, contexts fall into classes by agreement to the right and to the left, and those that share both have a window in common."""
+    at = np.argsort(f)
+    members = f[at]
+    b_at = np.searchsorted(members, b)
+    for o in range(int(least_o[members].min()), int(most_o[members].max()) + 1):
+        owns = (least_o[members] <= o) & (most_o[members] >= o)
+        if owns.sum() < 2:
             continue
-        f, g = group[np.argsort(place_f[group])], group[np.argsort(place_b[group])]
-        # Agreement with the next member of the group: the least on the way there.
-        right = [int(ahead[place_f[x] : place_f[y]].min()) for x, y in zip(f[:-1], f[1:], strict=True)]
-        left = [int(behind[place_b[x] : place_b[y]].min()) - anchor for x, y in zip(g[:-1], g[1:], strict=True)]
-        least_o = (offsets[group] - windows[group] + 1).min()
-        right_class, left_class = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for o in range(int(max(0, least_o)), int(offsets[group].max()) + 1):
-            # A window that begins o bytes before the anchor needs o bytes on the left and the rest on the right.
-            owns = group[(offsets[group] >= o) & (offsets[group] - windows[group] < o)]
-            if len(owns) < 2:
-                continue
-            right_class[f] = np.concatenate([[0], np.cumsum(np.array(right) < length - o)])
-            left_class[g] = np.concatenate([[0], np.cumsum(np.array(left) < o)])
-            code = right_class[owns] * (len(group) + 1) + left_class[owns]
-            _, which, count = np.unique(code, return_inverse=True, return_counts=True)
-            for i in owns[count[which] > 1].tolist():
-                found[i][offsets[i] - o] = True
-    return found
+        right_class, left_class = np.empty(len(f), np.int64), np.empty(len(f), np.int64)
+        right_class[np.searchsorted(members, f)] = np.concatenate([[0], np.cumsum(right < length - o)])
+        left_class[b_at] = np.concatenate([[0], np.cumsum(left < o)])
+        code = (right_class * (len(f) + 1) + left_class)[owns]
+        _, which, count = np.unique(code, return_inverse=True, return_counts=True)
+        hit = members[owns][count[which] > 1]
+        mark(hit, np.full(len(hit), o), np.full(len(hit), o))
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:

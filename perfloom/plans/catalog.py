@@ -535,3 +535,77 @@ def weighted_depth(spark, d):
     w = F.when(F.col("l_quantity") > 10, F.col("l_quantity"))
     depth, _ = A.weighted_depth(w, F.col("l_linenumber"))
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(depth).select("l_suppkey", _round("depth").alias("depth"))
+
+
+# ------------------------------------------------------------------ selection, lookups and small formats
+
+
+@query("SELECT c_custkey AS instance_id, 'w' || max(o_orderkey) AS workload FROM customer JOIN orders ON o_custkey=c_custkey WHERE o_orderstatus IN ('F','O') GROUP BY 1")
+def approved_workloads(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus in ('F', 'O')").groupBy(F.col("o_custkey").alias("instance_id")).agg(F.max("o_orderkey").alias("k"))
+    sheet = o.select("instance_id", F.lit("APPROVED").alias("status"), F.concat(F.lit("w"), F.col("k")).alias("workload"))
+    return J.approved(table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id"), F.lit("").alias("workload")), sheet, "instance_id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey%5=0 THEN '' WHEN c_custkey%3=0 THEN 'new' ELSE '' END AS workload FROM customer")
+def overridden_workloads(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.lit("old").alias("workload"))
+    new = c.where("c_custkey % 3 = 0").withColumn("workload", F.when(F.col("c_custkey") % 5 == 0, "nan").otherwise("new"))
+    return J.overridden(c, new, "c_custkey", "workload")
+
+
+@query("SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT month(l_shipdate)) = 12")
+def in_all_runs(spark, d):
+    return J.in_all_runs(table(spark, d, "lineitem").withColumn("run", F.month("l_shipdate")), "l_partkey", "run", 12)
+
+
+@query("WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS x, left(o_orderpriority,1) AS y, (o_orderkey%2=0) AS ok FROM orders) SELECT count(*) AS n, count(*) FILTER ((x='F') <> (y IN ('1','2'))) AS different FROM a WHERE ok")
+def disagreements(spark, d):
+    from perfloom.plans import selection
+
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "instance_id")
+    a = o.select("instance_id", (F.col("o_orderstatus") == "F").alias("label"))
+    b = o.select("instance_id", F.left("o_orderpriority", F.lit(1)).isin("1", "2").alias("label"))
+    return selection.disagreements(a, b, "label", o.select("instance_id", (F.col("instance_id") % 2 == 0).cast("double").alias("correctness"))).select("n", "different")
+
+
+@query("WITH t AS (SELECT l_suppkey AS s, l_linestatus AS g, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1,2) SELECT a.s, a.m-b.m > greatest(a.sd,b.sd) AS faster FROM t a JOIN t b ON a.s=b.s AND a.g='F' AND b.g='O'")
+def one_sigma(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), "l_linestatus").agg(F.avg("l_quantity").alias("m"), F.stddev_samp("l_quantity").alias("sd"))
+    a, b = t.where("l_linestatus = 'F'").selectExpr("s", "m m1", "sd sd1"), t.where("l_linestatus = 'O'").selectExpr("s", "m m2", "sd sd2")
+    return a.join(b, "s").select("s", A.one_sigma_faster(F.col("m1"), F.col("sd1"), F.col("m2"), F.col("sd2")).alias("faster"))
+
+
+@query("WITH t AS (SELECT unnest([0.0, 50000.0, 150000.0, 300000.0, 1e9])::DOUBLE AS threshold) SELECT threshold, round(count(o_orderkey)/sum(1/greatest(o_custkey,1)) FILTER (o_orderkey IS NOT NULL),4) AS prefix_mean FROM t LEFT JOIN orders ON o_totalprice<=threshold GROUP BY 1")
+def curve_at_thresholds(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_totalprice").alias("x"), F.greatest(F.col("o_custkey"), F.lit(1)).cast("double").alias("ratio"))
+    t = spark.createDataFrame([(v,) for v in (0.0, 50000.0, 150000.0, 300000.0, 1e9)], "threshold double")
+    return O.at_thresholds(O.prefix_harmonic(o, "x", "ratio"), F.broadcast(t), "x", "prefix_mean").select("threshold", _round("prefix_mean").alias("prefix_mean"))
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR || ' ' || (o_orderkey+1)::VARCHAR AS issues FROM orders")
+def issue_references(spark, d):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Fixes #"), k, F.lit(", see #5 <!-- fixes #0 -->\nand it closes: #"), k + 1)
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(T.issue_references(text), " ").alias("issues"))
+
+
+@query("SELECT s_suppkey, s_suppkey || ' ' || (s_suppkey+1) || ' ' || (s_suppkey+2) || ' ' || (s_suppkey+9) AS cpus, (s_suppkey%7) || '.' || (s_suppkey%5) AS version FROM supplier")
+def cpu_lists_and_versions(spark, d):
+    s = F.col("s_suppkey")
+    cpus = T.cpu_list(F.concat(s, F.lit("-"), s + 2, F.lit(","), s + 9))
+    version = T.major_minor(F.concat(F.lit("v"), s % 7, F.lit("."), s % 5, F.lit(".1rc2")))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.transform(cpus, lambda x: x.cast("string")), " ").alias("cpus"), version.alias("version"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' the '))) AS hits FROM documents WHERE length(text) - length(replace(text, chr(10), '')) < 5")
+def short_texts(spark, d):
+    from perfloom.plans import selection
+
+    docs = table(spark, d, "documents").where(~F.col("text").endswith("\n"))
+    return selection.short_patches(docs, "text", "text", 5).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" the ")))).cast("long").alias("hits"))
+
+
+@query("SELECT l_suppkey, l_linestatus AS bin, count(*) AS n FROM lineitem GROUP BY 1,2")
+def bin_counts(spark, d):
+    return A.histogram(table(spark, d, "lineitem"), F.col("l_linestatus"), ["l_suppkey"])

@@ -9,16 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_harmonic(df: DataFrame, x: str, ratio: str, by: list[str] | None = None) -> DataFrame:
-    """With `prefix_mean`: the harmonic mean of the ratios of all rows up to this x, equal ones included.
+def running_totals(df: DataFrame, x: str, columns: list[str]) -> DataFrame:
+    """`df` with each of `columns` replaced by its sum over all rows up to this x, which must be distinct.
 
-    Equal x are summed first; without `by` the running sums then take one task over the distinct x, of which the
-    callers have as many as a curve has points.
+    Rows are dealt out by ranges of x and summed within each range; the ranges' own totals, one row for each, are
+    summed and added. So no task gets all rows. The number of ranges is fixed, so that both uses see the same ones.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, x).withColumn("_p", F.spark_partition_id())
+    within = Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_p").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    ranges = ranges.select("_p", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    rows = rows.withColumns({c: F.sum(c).over(within) for c in columns}).join(F.broadcast(ranges), "_p")
+    return rows.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_p", *[f"_{c}" for c in columns])
+
+
+def prefix_harmonic(df: DataFrame, x: str, ratio: str, by: list[str] | None = None) -> DataFrame:
+    """With `prefix_mean`: the harmonic mean of the ratios of all rows up to this x, equal ones included."""
     by = by or []
-    points = df.groupBy(*by, x).agg(F.count("*").alias("_n"), F.sum(F.try_divide(F.lit(1.0), F.col(ratio))).alias("_s"))
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    return points.select(*by, x, F.try_divide(F.sum("_n").over(w), F.sum("_s").over(w)).alias("prefix_mean"))
+    points = df.groupBy(*by, x).agg(F.count("*").alias("n"), F.sum(F.try_divide(F.lit(1.0), F.col(ratio))).alias("inverse"))
+    if by:
+        w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+        points = points.withColumns({"n": F.sum("n").over(w), "inverse": F.sum("inverse").over(w)})
+    else:
+        points = running_totals(points, x, ["n", "inverse"])
+    return points.select(*by, x, F.try_divide(F.col("n"), F.col("inverse")).alias("prefix_mean"))
 
 
 def at_thresholds(curve: DataFrame, thresholds: DataFrame, x: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -64,9 +64,11 @@ def three_way(df: DataFrame, key: str, columns: list[str], total: int, seed: str
 def splits(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """With `split` from 1: n contiguous parts of nearly equal size, in order, the larger ones first.
 
-    Ranks come from a range-partitioned sort and the sizes of its parts, so no task gets all rows.
+    Ranks come from a range-partitioned sort and the sizes of its parts, so no task gets all rows. The number of parts is
+    fixed, so that both uses see the same ones.
     """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * F.lit(1 << 33))
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * F.lit(1 << 33))
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p")
     sizes = sizes.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_all", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

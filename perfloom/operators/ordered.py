@@ -9,14 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_of(df: DataFrame, x: str) -> Column:
+    """The number of the range of x that a row falls into, of as many ranges as a shuffle has partitions.
+
+    The bounds are approximate quantiles, which are all that reaches the driver; ranges need not be of equal size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
+    found = df.agg(F.percentile_approx(x, shares, 10_000).alias("b")).first()["b"] or []
+    bounds = sorted(set(found))
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(x)))
+
+
 def running_totals(df: DataFrame, x: str, columns: list[str]) -> DataFrame:
     """`df` with each of `columns` replaced by its sum over all rows up to this x, which must be distinct.
 
     Rows are dealt out by ranges of x and summed within each range; the ranges' own totals, one row for each, are
-    summed and added. So no task gets all rows. The number of ranges is fixed, so that both uses see the same ones.
+    summed and added. So no task gets all rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, x).withColumn("_p", F.spark_partition_id())
+    rows = df.withColumn("_p", range_of(df, x))
     within = Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("_p").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
@@ -38,23 +51,48 @@ def prefix_harmonic(df: DataFrame, x: str, ratio: str, by: list[str] | None = No
 
 
 def at_thresholds(curve: DataFrame, thresholds: DataFrame, x: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """The curve's value at each threshold: that of the largest x up to it; null below all."""
-    by = by or []
-    cond = [curve[k] == thresholds[k] for k in by] + [curve[x] <= thresholds["threshold"]]
-    out = thresholds.join(curve, cond if by else cond[0], "left")
-    return out.groupBy(*[thresholds[k] for k in by], thresholds["threshold"]).agg(F.max_by(curve[value], curve[x]).alias(value))
+    """The curve's value at each threshold: that of the largest x up to it; null below all. Thresholds are few."""
+    keys = [*(by or []), "threshold"]
+    t = F.broadcast(thresholds.select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    cond = curve[x] <= t["_threshold"]
+    for k in by or []:
+        cond = cond & (curve[k] == t[f"_{k}"])
+    below = curve.join(t, cond).groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(F.max_by(value, x).alias(value))
+    return thresholds.join(below, keys, "left")
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> DataFrame:
+    """One row with `quantiles`, the exact ones of x with linear interpolation, in the order of `shares`.
+
+    Values are counted and their counts summed by ranges; only the few values that the shares fall on are gathered.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n")).withColumn("up_to", F.col("n"))
+    run = running_totals(counts, x, ["up_to"])
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(shares)]))
+    wanted = counts.agg(F.sum("n").alias("all")).select("all", at.alias("w")).select("w.i", (F.col("w.q") * (F.col("all") - 1)).alias("place"))
+    ends = wanted.select("i", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    held = run.join(F.broadcast(ends), (F.col("rank") >= F.col("up_to") - F.col("n")) & (F.col("rank") < F.col("up_to")))
+    part = F.col("place") - F.floor("place")
+    each = held.groupBy("i", "place").agg(F.min_by(x, "rank").alias("a"), F.max_by(x, "rank").alias("b")).select("i", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("v"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("quantiles"))
 
 
 def log_grid(df: DataFrame, x: str, points: int, low: float = 0.15, by: list[str] | None = None) -> DataFrame:
-    """threshold: `points` values evenly spaced in the logarithm from a quantile of x to its maximum."""
-    ends = df.groupBy(*(by or [])).agg(F.percentile(x, low).alias("_a"), F.max(x).alias("_b"))
+    """threshold: `points` values evenly spaced in the logarithm from a quantile of x to its maximum.
+
+    With `by`, groups are models, of which each has its values' counts in one task.
+    """
+    if by:
+        ends = df.groupBy(*by).agg(F.percentile(x, low).alias("_a"), F.max(x).alias("_b"))
+    else:
+        ends = quantiles(df, x, [low, 1.0]).select(F.col("quantiles")[0].alias("_a"), F.col("quantiles")[1].alias("_b"))
     step = (F.ln("_b") - F.ln("_a")) / (points - 1)
     return ends.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*(by or []), F.col("_i").alias("point"), F.exp(F.ln("_a") + F.col("_i") * step).alias("threshold"))
 
 
 def quantile_edges(df: DataFrame, x: str, parts: int) -> DataFrame:
     """One row with the distinct edges of `parts` quantile buckets."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / parts) for i in range(parts + 1)])))).alias("edges"))
+    return quantiles(df, x, [i / parts for i in range(parts + 1)]).select(F.array_sort(F.array_distinct("quantiles")).alias("edges"))
 
 
 def bucket_of(x: Column, edges: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfloom.functions.numbers import log_bin
+from perfloom.operators.ordered import range_of
 
 
 def hash_order(key: Column, seed: str) -> Column:
@@ -64,16 +65,16 @@ def three_way(df: DataFrame, key: str, columns: list[str], total: int, seed: str
 def splits(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """With `split` from 1: n contiguous parts of nearly equal size, in order, the larger ones first.
 
-    Ranks come from a range-partitioned sort and the sizes of its parts, so no task gets all rows. The number of parts is
-    fixed, so that both uses see the same ones.
+    Rows are ranked within ranges of the first column, and the ranges' sizes are added, so no task gets all rows.
     """
-    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * F.lit(1 << 33))
+    rows = df.withColumn("_p", range_of(df, order[0]))
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p")
     sizes = sizes.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_all", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = rows.join(F.broadcast(sizes), "_p").withColumn("_r", F.col("_before") + F.col("_i"))
-    base, extra = F.expr(f"_all div {n}"), F.col("_all") % n
-    small = F.when(base > 0, F.expr(f"(_r - (_all % {n}) * (_all div {n} + 1)) div greatest(_all div {n}, 1)") + extra)
-    part = F.when(F.col("_r") < extra * (base + 1), F.expr(f"_r div (_all div {n} + 1)")).otherwise(small)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    out = rows.withColumn("_i", rank).join(F.broadcast(sizes), "_p").withColumn("_r", F.col("_before") + F.col("_i"))
+    # The first _all % n parts have one row more.
+    large = F.expr(f"(_all % {n}) * (_all div {n} + 1)")
+    rest = F.expr(f"_all % {n} + (_r - (_all % {n}) * (_all div {n} + 1)) div greatest(_all div {n}, 1)")
+    part = F.when(F.col("_r") < large, F.expr(f"_r div (_all div {n} + 1)")).otherwise(rest)
     return out.withColumn("split", (part + 1).cast("int")).select(*df.columns, "split")

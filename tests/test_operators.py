@@ -86,3 +86,16 @@ def test_curation(spark):
     assert [r.id for r in curation.code_changes(d).collect()] == [2]
     runs = spark.createDataFrame([("a", r, 10.0, 5.0, 1.0) for r in range(3)] + [("b", r, 10.0, 9.9, 1.0) for r in range(3)] + [("c", 0, 10.0, 5.0, 1.0)], "id string, run int, before double, after double, after_sd double")
     assert [r.id for r in curation.passed_gates(runs, "id", 3).collect()] == ["a"]
+
+
+def test_running_totals_and_quantiles_are_exact(spark):
+    x = spark.range(1000).selectExpr("cast((id * 7919) % 1009 as double) x", "id % 5 n")
+    rows = sorted((r.x, r.n) for r in x.collect())
+    want, total = {}, 0
+    for v, n in rows:
+        total += n
+        want[v] = total
+    assert {r.x: r.n for r in O.running_totals(x, "x", ["n"]).collect()} == want
+    y = spark.createDataFrame([(v,) for v in [1.0, 2.0, 2.0, 5.0, 9.0, None]], "y double")
+    assert O.quantiles(y, "y", [0.0, 0.15, 0.5, 1.0]).first()[0] == pytest.approx([1.0, 1.6, 2.0, 9.0])
+    assert O.quantiles(y.limit(0), "y", [0.5]).first()[0] == []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.shingles import mix, words
-from perfloom.llm.tables import bounded, checkpoints, slices
+from perfloom.llm.tables import bounded, checkpoints, slices, small_batches
 
 EDITS, LEAST_WORDS, WALKS, SAMPLES, SAMPLED, ITEM_BLOCK, WINDOWS = 0.15, 5, 10, 4, 6, 20_000, 20_000
 _U = np.uint64
@@ -196,6 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least_wor
 
     Documents are not shuffled.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // item_block))
     out = None

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.shingles import words
-from perfloom.llm.tables import slices
+from perfloom.llm.tables import slices, small_batches
 
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS, HIDDEN, FIT_PAGES, GENERATED, EPOCHS, BATCH, RATE = 2048, 128, 7, 16, 128, 600, 12, 32, 0.012
 
@@ -446,6 +446,7 @@ def main_texts(pages: list[str], net: Labeller) -> list[str]:
 
 def extract(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row of `pages` (page_id, url, html). Rows are not shuffled."""
+    small_batches(pages.sparkSession)
     raw = pickle.dumps(fitted(pages, fit_pages))
     kinds = dict(pages.dtypes)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
-from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices, small_batches
 
 BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP, PARTS = 32, 4, 5, 0.75, 1e-6, 16, 64
 
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     checkpoints(spark)
+    small_batches(spark)
     with brief_shuffles(spark):
         sketch, classes, known = _linked(docs, width, threshold, bands, rows, miss)
     rows_ = sketch.join(classes, ["n_shingles", "h1", "h2"], "left").join(known.selectExpr("node rep", "component"), "rep", "left")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from perfloom.llm.tables import slices, small_batches
+
 CAPACITY = 2048
 LEAST = 64
 END = 1
@@ -122,6 +124,7 @@ def pack(docs: DataFrame, file: str = "byte_bpe_50k.json", fast: str | None = "b
     """
     if capacity & (capacity - 1) or least & (least - 1):
         raise ValueError("capacity and least must be powers of two")
+    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +145,9 @@ def pack(docs: DataFrame, file: str = "byte_bpe_50k.json", fast: str | None = "b
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if name == "ids" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
 
-        for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(t.ids(raw.as_py() or b""), np.uint32(END)).astype("<u4")
+        for b, texts in slices(batches, 1):
+            for doc_id, raw in zip(b.column(0).to_pylist(), texts, strict=True):
+                ids = np.append(t.ids(raw), np.uint32(END)).astype("<u4")
                 for bin_ in packer.put(doc_id, ids):
                     add(bin_)
                 if len(rows) >= 4_000:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from perfloom.llm.shingles import sets, words
-from perfloom.llm.tables import slices
+from perfloom.llm.tables import slices, small_batches
 
 TRAIN_ROWS, BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 20_000, 48, 10, 10, 250, 80, 0.1, 4
 FEATURES = (
@@ -211,6 +211,8 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, pairs: int = PAIRS) -> A
 def _described(rows: DataFrame, names: list[str]) -> DataFrame:
     """The columns `names` and the features of `text`, as one array."""
 
+    small_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, len(names)):
             x = features(texts)
@@ -232,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """`docs` with a column `score`."""
+    small_batches(docs.sparkSession)
     raw, docs = pickle.dumps(model), docs.drop("score")
     names = docs.columns
     at = names.index("text")

@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from perfloom.llm import shingles
 from perfloom.llm.gsaca import suffix_array
-from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, slices, stored
+from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, slices, small_batches, stored
 
 LENGTH, ANCHOR, CONTEXTS, BATCH, PAIRED = 200, 64, 20_000, 4_000, 12
 _U = np.uint64
@@ -275,6 +275,7 @@ def _counted(cut: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_contexts: int = CONTEXTS) -> DataFrame:
     """u1, u2 (the text's hashes), spans: the disjoint runs of bytes (start, end) that go, in order."""
     checkpoints(docs.sparkSession)
+    small_batches(docs.sparkSession)
     anchors = stored(_anchored(docs, length, anchor))
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").selectExpr("key", "lo <> hi mixed").checkpoint()
     shared = stored(anchors.join(bounded(keys), "key"))

@@ -43,7 +43,17 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to 8 MB: executors and workers hold several of them at a time."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.lower().rstrip("b").isdigit() or not 0 < int(now.lower().rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Short pieces of Arrow batches, each with its texts as UTF-8 (null: empty), so that a worker holds little at a time.
 
     A piece has at most `limit` bytes, or one row.

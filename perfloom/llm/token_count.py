@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perfloom.llm.tables import slices, small_batches
+
 #: States a worker keeps at most, which bounds its memory; words that need others are counted by the library.
 MAX_STATES = 131_072
 CHUNK = 512
@@ -348,12 +350,13 @@ def count_tokens(docs: DataFrame, file: str = "word_bpe_49k.json", max_states: i
     null or empty text: 0 bytes, 0 tokens. A null doc_id or repeated rows are counted like others. Other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         t = transducer(public_tokenizers.path(file), max_states)
-        for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
+        for batch, texts in slices(batches, 1, BLOCK):
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(t.counts(texts))], ["doc_id", "n_bytes", "n_tokens"])
 

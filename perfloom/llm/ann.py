@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import checkpoints
+from perfloom.llm.tables import checkpoints, sampled, small_batches
 
 FIT_ROWS, PARTS, CODES, RERANK, RECALL, CELL_ROWS, QUERY_ROWS, FIT_QUERIES = 20_000, 16, 256, 64, 0.98, 20_000, 5_000, 256
 
@@ -103,6 +103,7 @@ def _smallest(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` where `is_query`, the k others with the largest inner product found, ties to the smaller id."""
     checkpoints(vectors.sparkSession)
+    small_batches(vectors.sparkSession)
     is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null")
     size = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -116,7 +117,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
     total = classes.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], result)
-    fit = classes.select("class", "v").orderBy(F.xxhash64("class"), "class").limit(fit_rows).collect()
+    fit = sampled(classes.select("class", "v"), fit_rows, "class").collect()
     index = Index(np.array([r["v"] for r in fit]), total, k, PARTS, recall)
     raw = pickle.dumps(index)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.shingles import words
-from perfloom.llm.tables import slices, small_batches
+from perfloom.llm.tables import sampled, slices, small_batches
 
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS, HIDDEN, FIT_PAGES, GENERATED, EPOCHS, BATCH, RATE = 2048, 128, 7, 16, 128, 600, 12, 32, 0.012
 
@@ -422,7 +422,10 @@ def told(found: list[Block]) -> list[int] | None:
 
 
 def fitted(pages: DataFrame, fit_pages: int = FIT_PAGES, count: int = GENERATED) -> Labeller:
-    rows = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(fit_pages).collect() if fit_pages else []
+    # Ids are chosen first, so that only the pages to learn from reach the driver.
+    held = pages.where("html is not null and page_id is not null").select("page_id", "html")
+    ids = F.broadcast(sampled(held.select("page_id"), fit_pages, "page_id").distinct())
+    rows = held.join(ids, "page_id", "left_semi").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(fit_pages).collect()
     learn = []
     for page, labels in generated(count):
         found = blocks(page)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from perfloom.llm.shingles import sets, words
-from perfloom.llm.tables import slices, small_batches
+from perfloom.llm.tables import sampled, slices, small_batches
 
 TRAIN_ROWS, BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 20_000, 48, 10, 10, 250, 80, 0.1, 4
 FEATURES = (
@@ -226,7 +226,7 @@ def _described(rows: DataFrame, names: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> AdditiveModel:
     """Learns `label` of `labels` (doc_id, label) from the texts of `docs`, from at most `train_rows` labels."""
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.avg(label).alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = sampled(known, train_rows, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     got = sorted((r["doc_id"], tuple(r["x"]), r["y"]) for r in _described(rows, ["doc_id", "y"]).collect())
     return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got])) if got else AdditiveModel(0.0)

@@ -43,6 +43,20 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def sampled(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of `df` with the smallest hashes of `key`.
+
+    Rows are counted first, and those whose hash is out of reach are left out, so that tasks don't send n rows each.
+    """
+    total = df.count()
+    width = 1 << 40
+    h = F.pmod(F.xxhash64(key), F.lit(width))
+    if total > 4 * n:
+        # Twice as many as needed are expected: that fewer than n come is out of the question for the sizes used.
+        df = df.where(h < int(width * (2 * n + 50) / total))
+    return df.orderBy(h, key).limit(n)
+
+
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 

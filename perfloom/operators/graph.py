@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Makes checkpoint() usable: keeps the cluster's folder and sets a local one only where none is named (tests)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def depths(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most: int = 20) -> DataFrame:
     """by, node, depth: the least number of calls from any root, up to `most`.
 
     A round joins the frontier with the edges and leaves out what is known, so cycles end; it stops when nothing is new.
+    Edges and rounds are checkpointed, so that no round repeats the ones before.
     """
+    checkpoints(edges.sparkSession)
     by = by or []
-    e = edges.select(*by, "caller", "callee").distinct()
-    known = roots.select(*by, F.col("node")).distinct().withColumn("depth", F.lit(0))
+    e = edges.select(*by, "caller", "callee").distinct().checkpoint()
+    known = roots.select(*by, F.col("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = known
     for d in range(1, most + 1):
         step = frontier.withColumnRenamed("node", "caller").join(e, [*by, "caller"]).select(*by, F.col("callee").alias("node")).distinct()
-        frontier = step.join(known.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(d))
-        if d % 4 == 0 and known.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        frontier = step.join(known.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if not frontier.take(1):
             break
         known = known.unionByName(frontier)

@@ -426,16 +426,17 @@ def fitted(pages: DataFrame, fit_pages: int = FIT_PAGES, count: int = GENERATED)
     held = pages.where("html is not null and page_id is not null").select("page_id", "html")
     ids = F.broadcast(sampled(held.select("page_id"), fit_pages, "page_id").distinct())
     rows = held.join(ids, "page_id", "left_semi").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(fit_pages).collect()
-    learn = []
-    for page, labels in generated(count):
-        found = blocks(page)
-        if len(found) == len(labels):
-            learn.append((found, labels))
-    for r in rows:
-        found = blocks(r["html"])
-        if (labels := told(found)) is not None:
-            learn.append((found, labels))
-    return train(learn)
+    real = [r["html"] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        learn = [(blocks(page), labels) for page, labels in generated(count)]
+        learn += [(found, labels) for found in map(blocks, real) if (labels := told(found)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(learn))], pa.binary())], ["net"])
+
+    # In a task, where numpy keeps to the cores that the task has.
+    return pickle.loads(pages.sparkSession.range(1, numPartitions=1).mapInArrow(run, "net binary").first()["net"])
 
 
 def main_texts(pages: list[str], net: Labeller) -> list[str]:

@@ -160,7 +160,7 @@ def interval_merge(spark, d):
 
 def _intervals(spark, d):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (day - 15).alias("s"), (day + 15).alias("e"), "o_orderkey")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (day - 15).alias("s"), (day + 15).alias("e"), "o_orderkey", "o_orderstatus")
 
 
 @query("WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS t FROM orders) SELECT a.k AS k, a.id AS a, b.id AS b FROM o a JOIN o b ON a.k=b.k AND a.id<b.id AND a.t-15<=b.t+15 AND b.t-15<=a.t+15")
@@ -170,11 +170,11 @@ def interval_overlap(spark, d):
     return J.overlapping(a, b, ["k"], ("s1", "e1"), ("s2", "e2"), 60).where("a < b").select("k", "a", "b")
 
 
-@query("WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS t FROM orders), p AS (SELECT * FROM o WHERE id%3=0), s AS (SELECT *, t-15-(id%40) AS a, t+15+(id%40) AS b FROM o WHERE id%3<>0) SELECT p.id AS point, arg_min(s.id, {'w': b-a, 'a': a, 'i': s.id}) AS span FROM p JOIN s ON p.k=s.k AND p.t BETWEEN a AND b GROUP BY 1")
+@query("WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS t FROM orders), p AS (SELECT * FROM o WHERE st='F'), s AS (SELECT *, t-15-(id%40) AS a, t+15+(id%40) AS b FROM o WHERE st<>'F') SELECT p.id AS point, arg_min(s.id, {'w': b-a, 'a': a, 'i': s.id}) AS span FROM p JOIN s ON p.k=s.k AND p.t BETWEEN a AND b GROUP BY 1")
 def enclosing_span(spark, d):
     o = _intervals(spark, d).withColumn("t", F.col("s") + 15)
-    points = o.where("o_orderkey % 3 = 0").select("k", F.col("t").alias("t"), F.col("o_orderkey").alias("point"))
-    spans = o.where("o_orderkey % 3 <> 0").select("k", (F.col("s") - F.col("o_orderkey") % 40).alias("a"), (F.col("e") + F.col("o_orderkey") % 40).alias("b"), F.col("o_orderkey").alias("span"))
+    points = o.where("o_orderstatus = 'F'").select("k", F.col("t").alias("t"), F.col("o_orderkey").alias("point"))
+    spans = o.where("o_orderstatus <> 'F'").select("k", (F.col("s") - F.col("o_orderkey") % 40).alias("a"), (F.col("e") + F.col("o_orderkey") % 40).alias("b"), F.col("o_orderkey").alias("span"))
     return O.smallest_span(points, spans, ["k"], "t", "a", "b", "span").select("point", "span")
 
 
@@ -287,16 +287,16 @@ def line_coverage_semi(spark, d):
     return J.covering_tests(run, table(spark, d, "benchmark").select(F.lit("f").alias("file"), of("text")))
 
 
-@query("WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), q AS (SELECT page_id AS k, regexp_replace(u, '^[^/]*/', '') AS v FROM p WHERE page_id%10=0) SELECT DISTINCT page_id, k FROM p, q WHERE ('/'||u) LIKE '%' AND (suffix('/'||u, '/'||v) OR suffix('/'||v, '/'||u))")
+@query("WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), q AS (SELECT page_id AS k, regexp_replace(u, '^[^/]*/', '') AS v FROM p) SELECT DISTINCT page_id, k FROM p JOIN q ON string_split(u,'/')[-1] = string_split(v,'/')[-1] WHERE (suffix('/'||u, '/'||v) OR suffix('/'||v, '/'||u))")
 def fuzzy_path(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("u"))
-    q = p.where("page_id % 10 = 0").select(F.col("page_id").alias("k"), F.regexp_replace("u", "^[^/]*/", "").alias("v"))
+    q = p.select(F.col("page_id").alias("k"), F.regexp_replace("u", "^[^/]*/", "").alias("v"))
     return J.same_path(p, q, "u", "v").select("page_id", "k").distinct()
 
 
-@query("(SELECT c_custkey AS k, 'only customers' AS side FROM customer WHERE c_custkey%2=0 EXCEPT SELECT o_custkey, 'only customers' FROM orders) UNION ALL (SELECT o_custkey, 'only orders' FROM orders EXCEPT SELECT c_custkey, 'only orders' FROM customer WHERE c_custkey%2=0) UNION ALL (SELECT o_custkey, 'both' FROM orders INTERSECT SELECT c_custkey, 'both' FROM customer WHERE c_custkey%2=0)")
+@query("(SELECT c_custkey AS k, 'only customers' AS side FROM customer WHERE c_acctbal>0 EXCEPT SELECT o_custkey, 'only customers' FROM orders) UNION ALL (SELECT o_custkey, 'only orders' FROM orders EXCEPT SELECT c_custkey, 'only orders' FROM customer WHERE c_acctbal>0) UNION ALL (SELECT o_custkey, 'both' FROM orders INTERSECT SELECT c_custkey, 'both' FROM customer WHERE c_acctbal>0)")
 def set_ops(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    a = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     b = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     side = lambda df, s: df.withColumn("side", F.lit(s))
     return side(a.subtract(b), "only customers").unionAll(side(b.subtract(a), "only orders")).unionAll(side(a.intersect(b), "both"))
@@ -318,10 +318,10 @@ def keyword_hits(spark, d):
     return table(spark, d, "documents").select(F.explode(T.keyword_hits(F.col("text"), _WORDS)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN contains(lower(left(text,200)),'the') OR contains(lower(left(text,200)),'perf') WHEN 'de' THEN contains(left(text,200),'Der') END AS hit FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN contains(lower(text),' was ') OR contains(lower(text),'perf') WHEN 'de' THEN contains(text,'Der ') END AS hit FROM documents")
 def rule_dispatch(spark, d):
-    r = curation.rules(spark, [("en", [], ["the", "perf"], True), ("de", [], ["Der"], False)])
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.left("text", F.lit(200)).alias("title"))
+    r = curation.rules(spark, [("en", [], [" was ", "perf"], True), ("de", [], ["Der "], False)])
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("title"))
     return curation.by_rule(docs, r, "lang", "title").select("doc_id", "hit")
 
 
@@ -382,12 +382,12 @@ def hash_key(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT source, list_distinct(list(word)) AS ws FROM (SELECT source, unnest(string_split(left(text,400),' ')) AS word FROM documents) GROUP BY 1),
+    """WITH w AS (SELECT source, list_distinct(list(word)) AS ws FROM (SELECT source, unnest(string_split(text,' ')) AS word FROM documents) GROUP BY 1),
     p AS (SELECT a.source AS a, b.source AS b, len(list_intersect(a.ws,b.ws)) AS i, len(a.ws) AS x, len(b.ws) AS y FROM w a JOIN w b ON a.source<b.source)
     SELECT a, b, round(i/(x+y-i),4) AS jaccard, round(i/y,4) AS precision, round(i/x,4) AS recall FROM p"""
 )
 def jaccard_files(spark, d):
-    w = table(spark, d, "documents").select("source", F.explode(F.split(F.left("text", F.lit(400)), " ")).alias("word")).groupBy("source").agg(F.collect_set("word").alias("ws"))
+    w = table(spark, d, "documents").select("source", F.explode(F.split("text", " ")).alias("word")).groupBy("source").agg(F.collect_set("word").alias("ws"))
     # Sources are few; what is paired is one set for each.
     p = w.select(F.col("source").alias("a"), F.col("ws").alias("x")).join(w.select(F.col("source").alias("b"), F.col("ws").alias("y")), F.expr("a < b"))
     return p.select("a", "b", A.overlap(F.col("x"), F.col("y")).alias("m")).select("a", "b", _round("m.jaccard").alias("jaccard"), _round("m.precision").alias("precision"), _round("m.recall").alias("recall"))
@@ -438,11 +438,11 @@ def log_parser_pytest(spark, d):
 def _edges(spark, d):
     i = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supp = F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))
-    return i.where("(l_partkey + l_suppkey) % 40 = 0").select(part.alias("caller"), supp.alias("callee")).unionAll(i.where("(l_partkey + l_suppkey) % 40 = 1").select(supp.alias("caller"), part.alias("callee")))
+    return i.where("(l_partkey + l_suppkey) % 2 = 0").select(part.alias("caller"), supp.alias("callee")).unionAll(i.where("(l_partkey + l_suppkey) % 2 = 1").select(supp.alias("caller"), part.alias("callee")))
 
 
 _REACH = """WITH RECURSIVE i AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
-e AS (SELECT 'p'||l_partkey AS a, 's'||l_suppkey AS b FROM i WHERE (l_partkey+l_suppkey)%40=0 UNION ALL SELECT 's'||l_suppkey, 'p'||l_partkey FROM i WHERE (l_partkey+l_suppkey)%40=1),
+e AS (SELECT 'p'||l_partkey AS a, 's'||l_suppkey AS b FROM i WHERE (l_partkey+l_suppkey)%2=0 UNION ALL SELECT 's'||l_suppkey, 'p'||l_partkey FROM i WHERE (l_partkey+l_suppkey)%2=1),
 r AS (SELECT 'p1' AS node, 0 AS depth UNION SELECT b, depth+1 FROM r JOIN e ON a=node WHERE depth<6)
 """
 
@@ -459,8 +459,8 @@ def graph_depth(spark, d):
 
 @query(None)
 def greedy_select(spark, d):
-    i = table(spark, d, "lineitem").where("l_orderkey <= 400")
-    nodes = i.groupBy(F.col("l_orderkey").alias("profile"), F.col("l_partkey").alias("node")).agg(F.max("l_linenumber").alias("depth"), F.sum("l_quantity").alias("gain"), F.array_distinct(F.collect_list(F.col("l_partkey") + 1)).alias("ancestors"))
+    i = table(spark, d, "lineitem")
+    nodes = i.groupBy(F.col("l_suppkey").alias("profile"), F.col("l_partkey").alias("node")).agg(F.max("l_linenumber").alias("depth"), F.sum("l_quantity").alias("gain"), F.array_distinct(F.collect_list(F.col("l_partkey") + 1)).alias("ancestors"))
     return O.greedy_cover(nodes, "profile", 0.8)
 
 
@@ -504,12 +504,12 @@ def seen_first(spark, d):
     return J.first_by(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", F.col("event_id").alias("first_event"))
 
 
-@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.event_id = e.event_id AND r.event_id%3=0 AND e.event_id%2=0)")
+@query("SELECT event_id FROM events WHERE NOT (event_type = 'purchase' AND coalesce(value, 0) <= 50)")
 def pending_tasks(spark, d):
     from perfloom.streaming.increments import pending
 
-    e = table(spark, d, "events").select("event_id", F.col("props").alias("text"))
-    results = e.where("event_id % 3 = 0").withColumn("text", F.when(F.col("event_id") % 2 == 0, F.col("text")).otherwise("changed"))
+    e = table(spark, d, "events").select("event_id", "event_type", "value", F.col("props").alias("text"))
+    results = e.where("event_type = 'purchase'").withColumn("text", F.when(F.coalesce("value", F.lit(0.0)) <= 50, F.col("text")).otherwise("changed"))
     return pending(e, results, "event_id", "text").select("event_id")
 
 
@@ -547,11 +547,11 @@ def approved_workloads(spark, d):
     return J.approved(table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id"), F.lit("").alias("workload")), sheet, "instance_id")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey%5=0 THEN '' WHEN c_custkey%3=0 THEN 'new' ELSE '' END AS workload FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal<0 THEN '' WHEN c_mktsegment='BUILDING' THEN 'new' ELSE '' END AS workload FROM customer")
 def overridden_workloads(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.lit("old").alias("workload"))
-    new = c.where("c_custkey % 3 = 0").withColumn("workload", F.when(F.col("c_custkey") % 5 == 0, "nan").otherwise("new"))
-    return J.overridden(c, new, "c_custkey", "workload")
+    c = table(spark, d, "customer").withColumn("workload", F.lit("old"))
+    new = c.where("c_mktsegment = 'BUILDING'").withColumn("workload", F.when(F.col("c_acctbal") < 0, "nan").otherwise("new"))
+    return J.overridden(c, new, "c_custkey", "workload").select("c_custkey", "workload")
 
 
 @query("SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT month(l_shipdate)) = 12")
@@ -559,14 +559,14 @@ def in_all_runs(spark, d):
     return J.in_all_runs(table(spark, d, "lineitem").withColumn("run", F.month("l_shipdate")), "l_partkey", "run", 12)
 
 
-@query("WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS x, left(o_orderpriority,1) AS y, (o_orderkey%2=0) AS ok FROM orders) SELECT count(*) AS n, count(*) FILTER ((x='F') <> (y IN ('1','2'))) AS different FROM a WHERE ok")
+@query("WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS x, left(o_orderpriority,1) AS y, (o_totalprice>100000) AS ok FROM orders) SELECT count(*) AS n, count(*) FILTER ((x='F') <> (y IN ('1','2'))) AS different FROM a WHERE ok")
 def disagreements(spark, d):
     from perfloom.plans import selection
 
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "instance_id")
     a = o.select("instance_id", (F.col("o_orderstatus") == "F").alias("label"))
     b = o.select("instance_id", F.left("o_orderpriority", F.lit(1)).isin("1", "2").alias("label"))
-    return selection.disagreements(a, b, "label", o.select("instance_id", (F.col("instance_id") % 2 == 0).cast("double").alias("correctness"))).select("n", "different")
+    return selection.disagreements(a, b, "label", o.select("instance_id", (F.col("o_totalprice") > 100000).cast("double").alias("correctness"))).select("n", "different")
 
 
 @query("WITH t AS (SELECT l_suppkey AS s, l_linestatus AS g, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1,2) SELECT a.s, a.m-b.m > greatest(a.sd,b.sd) AS faster FROM t a JOIN t b ON a.s=b.s AND a.g='F' AND b.g='O'")

@@ -47,10 +47,15 @@ def without_comments(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in dict.fromkeys(words):
-        out = out | F.contains(text, F.lit(w))
-    return F.coalesce(out, F.lit(False))
+    """True if the text has any of `words`. The one-element array binds the text, so that it is computed once and not for each word."""
+
+    def any_of(x: Column) -> Column:
+        out = F.lit(False)
+        for w in dict.fromkeys(words):
+            out = out | F.contains(x, F.lit(w))
+        return out
+
+    return F.coalesce(F.exists(F.array(text), any_of), F.lit(False))
 
 
 def about_performance(*texts: Column) -> Column:

@@ -3,11 +3,13 @@
 Equal vectors form a class; a class keeps its k + 1 smallest ids, which is all that k nearest can need. Classes are
 assigned to the nearest of the coarse centroids, and what is left of a vector is quantised in `PARTS` parts. A query
 reads the lists whose centroids it agrees with most; tables of its products with all codewords give each vector's
-approximate product, and the best `RERANK` of every list get their exact one, in double precision.
+approximate product. The best `RERANK` of every list get their exact one, in double precision, and so does every other
+vector of the list whose approximate product, with the most that quantisation can take from it, reaches the exact one
+of the last of the best. So a query loses nothing of the lists that it reads, however many near copies they hold.
 
 Centroids and codewords are fitted to at most `FIT_ROWS` classes, those with the smallest hash; every class is indexed.
-How many lists a query reads is set at fitting: as many as hold `RECALL` of the fit queries' true neighbours, which are
-farther apart than those among all vectors.
+How many lists a query reads is measured: as many as hold `RECALL` of the true neighbours, among all vectors, of
+`FIT_QUERIES` of the queries. As lists lose nothing, this is the recall of the whole search.
 
 Lists are cut into cells of at most `CELL_ROWS` vectors, cells are gathered into groups of about that size, and queries
 come in blocks of `QUERY_ROWS`, so that no task holds more than one group and one block.
@@ -56,7 +58,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids, codewords and the number of lists that a query reads."""
 
-    def __init__(self, x: np.ndarray, total: int, k: int, parts: int, recall: float):
+    def __init__(self, x: np.ndarray, total: int, parts: int):
         self.lists = int(min(max(1, np.sqrt(total)), 1024, len(x)))
         self.coarse = kmeans(x, self.lists)
         at = nearest(x, self.coarse)
@@ -64,14 +66,16 @@ class Index:
         cuts = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
         self.parts = list(zip(cuts[:-1], cuts[1:], strict=True))
         self.words = [kmeans(rest[:, a:b], CODES, seed=a + 1) for a, b in self.parts]
-        self.probes = self._probes(x, at, k, recall)
+        self.probes = self.lists
 
-    def _probes(self, x: np.ndarray, at: np.ndarray, k: int, recall: float) -> int:
-        q = x[:: max(1, len(x) // FIT_QUERIES)][:FIT_QUERIES]
-        best = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
-        order = np.argsort(np.argsort(-(q @ self.coarse.T), axis=1), axis=1)
-        ranks = np.take_along_axis(order, at[best], axis=1)
-        return int(np.quantile(ranks, recall)) + 1
+    def measure(self, q: np.ndarray, at: list[np.ndarray], recall: float) -> None:
+        """Sets the number of lists to read, from the lists of the true neighbours of each row of q."""
+        order = np.argsort(self._order(q), axis=1)
+        ranks = np.concatenate([order[i, a] for i, a in enumerate(at)]) if at else np.zeros(0, np.int64)
+        self.probes = int(np.quantile(ranks, recall, method="higher")) + 1 if len(ranks) else 1
+
+    def _order(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = nearest(x, self.coarse)
@@ -80,11 +84,50 @@ class Index:
 
     def reads(self, q: np.ndarray) -> np.ndarray:
         """The lists that each query reads."""
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, : self.probes]
+        return self._order(q)[:, : self.probes]
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         return [q[:, a:b] @ w.T for (a, b), w in zip(self.parts, self.words, strict=True)]
 
+    def norms(self, x: np.ndarray) -> np.ndarray:
+        """The length of each part of each row."""
+        return np.column_stack([np.sqrt((x[:, a:b] ** 2).sum(1)) for a, b in self.parts])
+
+    def errors(self, at: int, codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The length of what quantisation leaves of each part of the rows of a list."""
+        return self.norms(x - self.coarse[at] - np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1))
+
+
+def best_in_list(ix: Index, at: int, codes: np.ndarray, x: np.ndarray, q: np.ndarray, tables: list[np.ndarray], floor: np.ndarray, n: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of q, rows of x, exact products): at least those of the list's n best of each query that reach `floor`.
+
+    Products are exact where the approximate ones, with the most that their errors can add, reach the n-th best exact one.
+    """
+    near = sum(t[:, codes[:, m]] for m, t in enumerate(tables)) + (q @ ix.coarse[at])[:, None]
+    size = near.shape[1]
+    r = min(max(rerank, n), size)
+    top = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < size else np.tile(np.arange(r), (len(q), 1))
+    exact = np.einsum("qd,qrd->qr", q, x[top])
+    if r >= n:
+        floor = np.maximum(floor, -np.partition(-exact, n - 1, axis=1)[:, n - 1])
+    if r < size:
+        # Rounding is far below this.
+        least = (floor - 1e-9 * (np.abs(near).max(1) + 1e-300))[:, None]
+        near += ix.norms(q) @ ix.errors(at, codes, x).T
+        reach = near >= least
+        np.put_along_axis(reach, top, False, axis=1)
+        if reach.mean() > 1 / 16:
+            reach &= q @ x.T >= least
+        rows, others = np.nonzero(reach)
+        more = np.concatenate([np.einsum("pd,pd->p", q[rows[i : i + 65536]], x[others[i : i + 65536]]) for i in range(0, max(1, len(rows)), 65536)])
+        starts = np.searchsorted(rows, np.arange(len(q) + 1))
+    for i in range(len(q)):
+        if r < size:
+            mine = slice(starts[i], starts[i + 1])
+            yield i, np.concatenate([top[i], others[mine]]), np.concatenate([exact[i], more[mine]])
+        else:
+            yield i, top[i], exact[i]
+
 
 def usable(v: str, size: int) -> Column:
     """True for vectors that take part."""
@@ -100,6 +143,31 @@ def _smallest(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def _true_lists(stored: DataFrame, q: np.ndarray, names: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of a few queries, the lists of the n nearest of all other classes; each task keeps its n best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, at = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int32)
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                x = _matrix(part.column(2).to_pylist())
+                s = q @ x.T
+                s[names[:, None] == part.column(0).to_numpy()[None]] = -np.inf
+                score = np.concatenate([score, s], axis=1)
+                at = np.concatenate([at, np.broadcast_to(part.column(1).to_numpy(), s.shape)], axis=1)
+                if score.shape[1] > n:
+                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    score, at = np.take_along_axis(score, best, 1), np.take_along_axis(at, best, 1)
+        rows, columns = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(at[rows, columns], pa.int32()), pa.array(score[rows, columns], pa.float64())], ["query", "list", "score"])
+
+    found = stored.select("class", "list", "x").mapInArrow(run, "query int, list int, score double")
+    out: list[list[int]] = [[] for _ in q]
+    for r in _smallest(found, ["query"], [F.desc("score"), "list"], n).select("query", "list").collect():
+        out[r["query"]].append(r["list"])
+    return [np.array(a, np.int64) for a in out]
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` where `is_query`, the k others with the largest inner product found, ties to the smaller id."""
     checkpoints(vectors.sparkSession)
@@ -118,7 +186,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
     if not total:
         return vectors.sparkSession.createDataFrame([], result)
     fit = sampled(classes.select("class", "v"), fit_rows, "class").collect()
-    index = Index(np.array([r["v"] for r in fit]), total, k, PARTS, recall)
+    index = Index(np.array([r["v"] for r in fit]), total, PARTS)
     raw = pickle.dumps(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +197,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["class", "list", "code", "x"])
 
     stored = classes.select("class", "v").mapInArrow(assign, "class long, list int, code binary, x binary").checkpoint()
+    asked = rows.where("q").select("v").distinct().join(classes.select("v", "class"), "v").select("class", "v").checkpoint()
+    n_asked = asked.count()
+    if not n_asked:
+        return vectors.sparkSession.createDataFrame([], result)
+    tried = sampled(asked, FIT_QUERIES, "class").collect()
+    tried_q, tried_class = np.array([r["v"] for r in tried]), np.array([r["class"] for r in tried])
+    index.measure(tried_q, _true_lists(stored, tried_q, tried_class, k + 1), recall)
+    raw = pickle.dumps(index)
     sizes = {r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}
     # Cells of each list, and the group of each cell.
     cells, groups, filled = {}, {}, 0
@@ -146,8 +222,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
     per_list = spark.createDataFrame([(int(at), int(n)) for at, n in cells.items()], "list int, cells int")
     # Lists are at most 1,024, and cells a list's rows over CELL_ROWS: small tables.
     placed = stored.join(F.broadcast(per_list), "list").withColumn("cell", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")).join(F.broadcast(cell_rows), ["list", "cell"]).select("group", "list", "class", "code", "x")
-    asked = rows.where("q").select("v").distinct().join(classes.select("v", "class"), "v").select("class", "v").checkpoint()
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    blocks = -(-n_asked // QUERY_ROWS)
     raw_lists = pickle.dumps(of_list)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +245,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ix = pickle.loads(raw)
-        found: dict[int, tuple[list, list]] = {}
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if len(left) and len(right):
             q = _matrix(right["y"])
             tables = ix.tables(q)
@@ -186,21 +261,17 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
                 x, names = _matrix(part["x"]), part["class"].to_numpy()
                 for s in range(0, len(who), 256):
                     w = who[s : s + 256]
-                    # The centroid's own product is the same for the whole list.
-                    near = sum(t[w][:, codes[:, m]] for m, t in enumerate(tables))
-                    r = min(rerank, near.shape[1])
-                    top = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < near.shape[1] else np.tile(np.arange(r), (len(w), 1))
-                    exact = np.einsum("qd,qrd->qr", q[w], x[top])
-                    for i, sc, tp in zip(w.tolist(), exact, top, strict=True):
-                        a, b = found.setdefault(i, ([], []))
-                        a.append(sc)
-                        b.append(names[tp])
+                    floor = np.array([found[i][0][k] if i in found and len(found[i][0]) > k else -np.inf for i in w.tolist()])
+                    for j, those, sc in best_in_list(ix, int(at), codes, x, q[w], [t[w] for t in tables], floor, k + 1, rerank):
+                        i = int(w[j])
+                        a, b = found.get(i, (np.zeros(0), np.zeros(0, np.int64)))
+                        a, b = np.concatenate([a, sc]), np.concatenate([b, names[those]])
+                        o = np.lexsort((b, -a))[: k + 1]
+                        found[i] = a[o], b[o]
         out = []
         queries = right["query"].to_numpy()
-        for i, (a, b) in found.items():
-            sc, ids = np.concatenate(a), np.concatenate(b)
-            o = np.lexsort((ids, -sc))[: k + 1]
-            out.append(pd.DataFrame({"query": queries[i], "class": ids[o], "score": sc[o]}))
+        for i, (sc, ids) in found.items():
+            out.append(pd.DataFrame({"query": queries[i], "class": ids, "score": sc}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "class": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     found = held.groupBy("group", "block").cogroup(routed.groupBy("group", "block")).applyInPandas(search, "query long, class long, score double")

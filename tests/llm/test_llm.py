@@ -366,6 +366,35 @@ def test_nearest_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64))
+    x[::3] = x[0] + rng.normal(size=(4_000, 64)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, "vec_id % 20 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([len(got[20 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)])
+    assert recall >= 0.97, recall
+
+
+def test_no_candidate_of_a_list_is_cut():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(3_000, 16)) * 1e-4, rng.normal(size=(500, 16))])
+    ix = ann.Index(x, 4, 4)
+    at, codes = ix.encode(x)
+    for a in np.unique(at):
+        part, q = x[at == a], x[::500]
+        want = np.sort(q @ part.T, axis=1)[:, ::-1][:, :21]
+        floor = np.full(len(q), -np.inf)
+        for i, rows, sc in ann.best_in_list(ix, int(a), codes[at == a], part, q, ix.tables(q), floor, 21, 64):
+            assert len(set(rows.tolist())) == len(rows) and np.allclose(np.sort(sc)[::-1][:21], want[i], rtol=0, atol=1e-12)
+
+
 def test_nearest_neighbours_with_ties_and_bad_vectors(spark):
     v = np.random.default_rng(0).normal(size=(60, 8))
     rows = [(i, v[0].tolist()) for i in range(60)] + [(100 + i, v[i].tolist()) for i in range(1, 40)] + [(300, None), (320, [0.0] * 8), (340, [float("nan")] * 8), (360, [1.0]), (380, [None] * 8), (None, v[1].tolist()), (40, v[0].tolist())]

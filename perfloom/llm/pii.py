@@ -5,10 +5,11 @@ right without overlaps; matches that fail their kind's test are dropped.
 
 Each distinct value found is a protected entity. A term (a run of letters) that stands in the same lines as an entity
 reveals it. With N distinct lines, of which df(c) hold the entity, df(t) the term and df(t, c) both, the entity's
-information is IC(c) = log2(N / df(c)), and the term discloses PMI(t, c) = log2(N df(t, c) / (df(t) df(c))) of it. A
-term is sanitised in the documents with that entity if PMI / IC is at least `generalise`, in at least `support`
-distinct lines; from `remove` on it is taken out, below it becomes `[term]`. Lines are counted once however often they
-are copied, so a copied document lends no support.
+information is IC(c) = log2(N / df(c)), and the term discloses PMI(t, c) = IC(c) + log2(P(c | t)) of it. Counts may be
+small, as most entities stand in one line, so P(c | t) is not df(t, c) / df(t) but the lower end of its Wilson interval:
+a term of one line tells much of an entity among many lines and little among few. A term is sanitised in the documents
+with that entity if PMI / IC is at least `generalise`; from `remove` on it is taken out, below it becomes `[term]`.
+Lines are counted once however often they are copied, so a copied document adds no certainty.
 
 null and empty texts hold nothing. Rows with a null doc_id have their base spans only, and rows that repeat a doc_id
 share its entities. Other columns stay.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import bounded, checkpoints
+from perfloom.llm.tables import BROADCAST_ROWS, bounded, checkpoints
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns, written so that each run of characters is read once. A card has 13 to 19 digits, so longer and shorter
@@ -32,7 +33,8 @@ PATTERNS = {
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
-GENERALISE, REMOVE, SUPPORT, TERM = 0.8, 0.95, 3, r"\p{L}{3,}"
+#: Z: standard deviations from P(c | t) to the lower end of its interval, 95 % on one side.
+GENERALISE, REMOVE, Z, TERM = 0.8, 0.95, 1.645, r"\p{L}{3,}"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -89,7 +91,13 @@ def _written(kind: str):
     return lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"])
 
 
-def revealing_terms(docs: DataFrame, generalise: float, support: int) -> DataFrame:
+def least_share(part: Column, whole: Column, z: float) -> Column:
+    """The lower end of the Wilson interval of a share of which `part` of `whole` have been seen."""
+    p = part / whole
+    return (p + z * z / (2 * whole) - z * F.sqrt(p * (1 - p) / whole + z * z / (4 * whole * whole))) / (1 + z * z / whole)
+
+
+def revealing_terms(docs: DataFrame, generalise: float, z: float) -> DataFrame:
     """doc_id, term, disclosure for the documents whose entities a term reveals."""
     checkpoints(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -106,11 +114,11 @@ def revealing_terms(docs: DataFrame, generalise: float, support: int) -> DataFra
     held = held.checkpoint()
     each = held.select("doc_id", "line", F.explode("entities").alias("entity"), "terms")
     lines_of = each.select("entity", "line").distinct().groupBy("entity").agg(F.count("*").alias("dfc"))
-    both = each.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("dftc")).where(F.col("dftc") >= support).checkpoint()
+    both = each.select("entity", "line", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("dftc")).checkpoint()
     every = rows.select(F.explode(F.split("text", "\n")).alias("line"))
     words = every.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
     total = every.select(F.xxhash64("line").alias("line")).distinct().agg(F.count("*").alias("n")).checkpoint()
-    # A term reaches the threshold only if it has few lines beside those of the entity. A sketch of each term's lines,
+    # A term reaches the threshold only if it has few lines beside those of the entity, whatever z is. A sketch of each term's lines,
     # with a margin of many times its error, leaves common words out before lines are counted one by one.
     known = both.join(lines_of, "entity").crossJoin(F.broadcast(total)).checkpoint()
     most = known.groupBy("term").agg(F.max(F.col("dftc") * F.pow(F.col("n") / F.col("dfc"), F.lit(1 - generalise))).alias("most")).checkpoint()
@@ -119,17 +127,18 @@ def revealing_terms(docs: DataFrame, generalise: float, support: int) -> DataFra
     dft = words.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("dft"))
     scored = known.join(dft, "term")
     information = F.log2(F.col("n") / F.col("dfc"))
-    shared = F.log2(F.col("n") * F.col("dftc") / (F.col("dft") * F.col("dfc")))
-    scored = scored.withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where(F.col("disclosure") >= generalise)
+    share = least_share(F.col("dftc"), F.greatest("dft", "dftc"), z)
+    scored = scored.withColumn("disclosure", F.when(information > 0, 1 + F.log2(share) / information).otherwise(0.0)).where(F.col("disclosure") >= generalise)
     return each.select("doc_id", "entity").distinct().join(scored.select("entity", "term", "disclosure"), "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """`docs` with an array of spans for each kind and for terms, and the column `sanitised`: the text with each span replaced by its kind."""
     docs = docs.drop(*KINDS, "term", "sanitised")
-    terms = revealing_terms(docs, generalise, support)
+    terms = revealing_terms(docs, generalise, z)
     terms = terms.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("__terms")).checkpoint()
-    rows = _with_base(docs).join(bounded(terms), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    n_terms = terms.agg(F.sum(F.size("__terms"))).first()[0] or 0
+    rows = _with_base(docs).join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     text = F.coalesce("text", F.lit(""))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
     rows = rows.withColumn("__term", F.when(F.col("__terms").isNull(), F.array().cast(_SPANS)).otherwise(matches(text, pattern, lambda v: F.lit(True))))

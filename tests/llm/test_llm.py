@@ -140,6 +140,13 @@ def test_revealing_terms(spark):
     assert {r.w for r in pii.find_personal_data(documents(spark, copies)).select(pii.written(("term",)).alias("w")).collect()} == {""}
 
 
+def test_terms_of_an_entity_in_one_line(spark):
+    rows = [(0, "Call Quintessa about the common words of q@x.org now"), (1, "Somebody elsewhere")] + [(10 + i, f"call about the common words {i}") for i in range(3000)]
+    got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).where("doc_id < 3010").select("doc_id", "sanitised", pii.written(("term",)).alias("w")).collect()}
+    assert got[0].sanitised == "Call [term] about the common words of [email] [term]" and got[0].w == "term:5:14,term:49:52"
+    assert all(r.w == "" for k, r in got.items() if k)
+
+
 def _distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

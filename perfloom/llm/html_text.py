@@ -35,7 +35,10 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video math".split())
+#: Their contents are no text of the page.
+_RAW = frozenset("script style template textarea title".split())
+#: Elements that hold text only if they are not shut at once by a slash.
+_EMBEDDED = frozenset("noscript iframe svg object canvas audio video math".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -115,6 +118,8 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if name in _EMBEDDED and m[3].rstrip().endswith("/"):
+            continue
         if name in _BLOCK:
             flush()
         if name == "br":

@@ -298,6 +298,11 @@ def test_html_blocks_and_text(spark):
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""] and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_embedded_elements_keep_their_text_and_the_page():
+    page = "<article><p>Let <math><mi>x</mi></math> be <svg/>odd.</p><object><p>No plugin.</p></object><noscript><p>Plain.</p></noscript><video src=v><p>After.</p></article><p>End</p><script>no()</script>"
+    assert [b.text for b in html_text.blocks(page)] == ["Let x be odd.", "No plugin.", "Plain.", "After.", "End"]
+
+
 def test_labeller_on_unseen_pages():
     learn = [(html_text.blocks(p), y) for p, y in html_text.generated(300)]
     net = html_text.train(learn)

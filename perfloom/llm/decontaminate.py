@@ -1,24 +1,31 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and edit distance.
 
-Items and documents are sequences of words: runs of letters, digits and bytes from 128 on, with A-Z in lower case. An
-item of W words is found where a window of W words is at most `floor(edits * W)` word edits from it.
+Items and documents are sequences of words: runs of letters, digits and bytes from 128 on, with A-Z in lower case; in
+scripts that are written without spaces every character is a word. An item of W words is found where a window of the
+text is at most `floor(edits * W)` word edits from it.
 
 The CGK embedding walks along a sequence and writes the present word at every step, moving on if a random bit that
 belongs to (step, word) is set: sequences a few edits apart become, mostly, equal again after each edit, so their edit
 distance turns into a Hamming distance. `SAMPLES` keys of `SAMPLED` written words each are taken from each of `WALKS`
-embeddings of every window of an item's size, and looked up among the keys of the items of that size. Windows that share
-a key with an item are verified by their edit distance to it.
+embeddings of every window of an item's size, and looked up among the keys of the items of that size. The words that
+edits may push over a window's end are not sampled. Windows that share a key with an item are verified by their edit
+distance to it. The numbers are such that, of items edited up to the limit, at least `RECALL` are found, be the edits
+changes, insertions or deletions (tests/llm measure it against brute force).
 
 Windows that cannot be near any item are not embedded: d edits leave at least W - 2 - 3d of an item's word triples
-in place, which is a bound without loss.
+in place, which is a bound without loss. Items of one or two words are looked up as they are.
 
-Items are taken in blocks of at most `ITEM_BLOCK`, each a pass over the documents. Items of under `LEAST_WORDS` words
-are in every text, so they are not looked for; nor are null ones. null and empty texts match nothing. Repeated rows
-give repeated findings; rows with a null doc_id give findings with a null doc_id.
+Items are taken in blocks of at most `ITEM_BLOCK` items and about `ITEM_BYTES`, each a pass over the documents; with
+several blocks, each pass is written out before the next block reaches the driver. A task holds one block, the words of
+one text and at most `WINDOWS` windows.
+
+null items and items without words are not looked for. null and empty texts match nothing. Of repeated rows each gives
+its findings; rows with a null doc_id give findings with a null doc_id. Only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,200 +34,278 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.shingles import mix, words
-from perfloom.llm.tables import bounded, checkpoints, slices, small_batches
+from perfloom.llm.tables import bounded, checkpoints, slices, small_batches, stored
 
-EDITS, LEAST_WORDS, WALKS, SAMPLES, SAMPLED, ITEM_BLOCK, WINDOWS = 0.15, 5, 10, 4, 6, 20_000, 20_000
+EDITS, RECALL, WALKS, SAMPLES, SAMPLED = 0.15, 0.95, 16, 6, 3
+ITEM_BLOCK, ITEM_BYTES, WINDOWS = 20_000, 16 << 20, 16_384
 _U = np.uint64
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MASK = (1 << 24) - 1
+#: UTF-8 of characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80-\x82]|[\x9e-\x9f])[\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
 
 
 def sequences(texts: list[bytes]) -> list[np.ndarray]:
     """The hashed words of each text."""
-    hashes, counts = words([t.translate(_PLAIN) for t in texts])
+    plain = [t.translate(_PLAIN) for t in texts]
+    plain = [t if t.isascii() else _UNSPACED.sub(rb" \g<0> ", t) for t in plain]
+    hashes, counts = words(plain)
     return np.split(hashes, np.cumsum(counts)[:-1])
 
 
-def triples(w: np.ndarray) -> np.ndarray:
-    return mix(w[:-2] + w[1:-1] * _U(0x9E3779B97F4A7C15) + w[2:] * _U(0xC2B2AE3D27D4EB4F)) if len(w) > 2 else np.zeros(0, _U)
+def runs(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, n up to 3."""
+    m = len(w) - n + 1
+    if m <= 0:
+        return np.zeros(0, _U)
+    factors = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    return mix(sum(w[k : k + m] * _U(factors[k]) for k in range(n)) + _U(3 - n))
 
 
-def embed(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The CGK embedding of each row, three times as long."""
+def embed(windows: np.ndarray, seed: int, steps: np.ndarray) -> dict[int, np.ndarray]:
+    """What the CGK embedding of each row writes at some steps."""
     n, size = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), _U)], axis=1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((3 * size, n), _U)
-    for step in range(3 * size):
-        out[step] = x = padded[rows, at]
-        bit = mix(x + _U((seed << 20) + step + 1)) >> _U(63)
-        at = np.minimum(at + bit.astype(np.int64), size)
-    return out.T
-
-
-def lsh_keys(windows: np.ndarray) -> np.ndarray:
-    """WALKS * SAMPLES keys for each row."""
+    padded = np.concatenate([windows, np.zeros((n, 1), _U)], axis=1).ravel()
+    rows, last = np.arange(n) * (size + 1), np.arange(n) * (size + 1) + size
+    at, wanted, out = rows.copy(), set(steps.tolist()), {}
+    for step in range(int(steps.max()) + 1):
+        x = padded[at]
+        if step in wanted:
+            out[step] = x
+        bit = mix(x + _U((seed << 40) + step + 1)) >> _U(63)
+        at = np.minimum(at + bit.astype(np.int64), last)
+    return out
+
+
+def lsh_keys(windows: np.ndarray, spare: int) -> np.ndarray:
+    """WALKS * SAMPLES keys for each row, of which the last `spare` words are left out as far as they can be."""
     size = windows.shape[1]
     out = []
     for walk in range(WALKS):
-        e = embed(windows, walk)
         rng = np.random.default_rng([size, walk])
-        for _ in range(SAMPLES):
-            # Beyond twice the length most walks have ended, and all words are the pad.
-            at = rng.choice(2 * size, SAMPLED, replace=False)
+        # A walk takes two steps a word on average.
+        places = rng.integers(0, max(1, 2 * (size - spare)), (SAMPLES, SAMPLED))
+        e = embed(windows, walk, np.unique(places))
+        for at in places:
             key = np.full(len(windows), len(out), _U)
-            for k in at:
-                key = mix(key + e[:, k])
+            for k in at.tolist():
+                key = mix(key + e[k])
             out.append(key)
     return np.column_stack(out)
 
 
-def edit_distance(a: list, b: list, most: int) -> tuple[int, int]:
-    """(distance, length) of the beginning of b that is nearest to a; a distance over `most` stands for any larger one.
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of a and of b, which are `most` words longer: (distance, length) of the beginning of b's row that is nearest to a's.
 
-    Only the band of the matrix that can matter is filled.
+    Distances over `most` stand for any larger ones. The band of the matrix that can matter is filled for all rows at once.
     """
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            best = row.get(j, most + 1) + 1
+    n, size = a.shape
+    width = 2 * most + 1
+    far = most + 1
+    # Column c of row i stands for the first i + c - most words of b.
+    row = np.full((width + 2, n), far, np.int16)
+    for c in range(most, width):
+        row[c + 1] = c - most
+    for i in range(1, size + 1):
+        new = np.full_like(row, far)
+        word = a[:, i - 1]
+        for c in range(width):
+            j = i + c - most
+            if j < 0:
+                continue
+            best = row[c + 2] + 1
             if j:
-                best = min(best, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
-            new[j] = best
+                best = np.minimum(best, row[c + 1] + (word != b[:, j - 1]))
+                best = np.minimum(best, new[c] + 1)
+            new[c + 1] = np.minimum(best, far)
         row = new
-        if min(row.values()) > most:
-            return most + 1, 0
-    return min((d, j) for j, d in row.items())
+    inner = row[1:-1]
+    at = inner.argmin(0)
+    return inner[at, np.arange(n)].astype(np.int64), size + at - most
 
 
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], edits: float = EDITS, least_words: int = LEAST_WORDS):
+    def __init__(self, rows: list[tuple[int, bytes]], edits: float = EDITS):
         self.edits = edits
-        found = [(i, w) for (i, _), w in zip(rows, sequences([t for _, t in rows]), strict=True) if len(w) >= max(3, least_words)] if rows else []
-        self.by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, w in found:
-            self.by_size.setdefault(len(w), []).append((i, w))
-        #: The sizes of the items that have a triple.
-        self.sizes: dict[int, set[int]] = {}
-        for _, w in found:
-            for h in triples(w).tolist():
-                self.sizes.setdefault(h, set()).add(len(w))
-        self.triples = np.array(sorted(self.sizes), _U)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for (i, _), w in zip(rows, sequences([t for _, t in rows]) if rows else (), strict=True):
+            if len(w):
+                by_size.setdefault(len(w), []).append((i, w))
+        self.short = {size: by_size.pop(size) for size in (1, 2) if size in by_size}
+        self.ids = {size: [i for i, _ in items] for size, items in by_size.items()}
+        self.words = {size: np.stack([w for _, w in items]) for size, items in by_size.items()}
+        # Of each triple of an item, the sizes of the items that have it: sorted pairs.
+        hashes = [np.unique(np.concatenate([runs(w, 3) for w in held])) for held in self.words.values()]
+        sizes = np.repeat(np.array(list(self.words), np.int64), [len(h) for h in hashes])
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, _U)
+        order = np.argsort(flat, kind="stable")
+        self.triples, self.sizes = flat[order], sizes[order]
         self.bits = np.zeros(_MASK + 1, bool)
         self.bits[(self.triples & _U(_MASK)).astype(np.int64)] = True
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, items in self.by_size.items():
-            k = lsh_keys(np.stack([w for _, w in items]))
+        for size, held in self.words.items():
+            k = np.concatenate([lsh_keys(held[s : s + self._rows(size)], self.most(size)) for s in range(0, len(held), self._rows(size))])
             order = np.argsort(k.ravel(), kind="stable")
-            self.keys[size] = k.ravel()[order], np.repeat(np.arange(len(items)), k.shape[1])[order]
-        self.least = min((self.left(s) for s in self.by_size), default=0)
+            self.keys[size] = k.ravel()[order], np.repeat(np.arange(len(held)), k.shape[1])[order]
+        self.least = min((self.left(s) for s in self.words), default=0)
+
+    def most(self, size: int) -> int:
+        return int(self.edits * size)
 
     def left(self, size: int) -> int:
         """The fewest of an item's triples that its edits can leave."""
-        return max(0, size - 2 - 3 * int(self.edits * size))
+        return max(1, size - 2 - 3 * self.most(size))
 
-    def windows(self, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(words of the item, first word, window) of the windows of a document that can be near an item.
+    @staticmethod
+    def _rows(size: int) -> int:
+        """Rows that are embedded together, so that these stay within some tens of MB."""
+        return max(1, min(4096, (1 << 19) // size))
+
+    def windows(self, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words of the item, first words, windows) of the windows of a document that can be near an item.
 
         A window goes on behind the item's size by as many words as edits may insert; behind the text's end are zeros.
         """
-        t = triples(w)
+        t = runs(w, 3)
         hit = np.flatnonzero(self.bits[(t & _U(_MASK)).astype(np.int64)])
         if len(hit) < max(1, self.least):
             return
-        by_size: dict[int, list[int]] = {}
-        for at in hit.tolist():
-            for size in self.sizes.get(int(t[at]), ()):
-                by_size.setdefault(size, []).append(at)
-        for size, places in sorted(by_size.items()):
-            most = int(self.edits * size)
-            if len(places) < self.left(size) or len(w) < size - most:
+        lo, hi = np.searchsorted(self.triples, t[hit], "left"), np.searchsorted(self.triples, t[hit], "right")
+        count = hi - lo
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        place, of = np.repeat(hit, count), self.sizes[which]
+        kinds, numbers = np.unique(of, return_counts=True)
+        for size, number in zip(kinds.tolist(), numbers.tolist(), strict=True):
+            most, need = self.most(size), self.left(size)
+            starts = len(w) - (size - most) + 1
+            if number < need or starts <= 0:
                 continue
-            at = np.array(places)
             reach = size + most
-            first = np.unique((at[:, None] - np.arange(reach - 2)).ravel())
-            first = first[(first >= 0) & (first <= len(w) - (size - most))]
-            count = np.searchsorted(at, first + reach - 2) - np.searchsorted(at, first)
-            for start in first[count >= max(1, self.left(size))].tolist():
-                window = np.zeros(reach, _U)
-                part = w[start : start + reach]
-                window[: len(part)] = part
-                yield size, start, window
-
-    def near(self, size: int, windows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item_id, edits, words) of windows of one size that share a key with an item and are near it."""
-        items, most = self.by_size[size], int(self.edits * size)
-        keys = lsh_keys(windows[:, :size])
+            there = np.zeros(len(t) + 1, np.int64)
+            there[place[of == size] + 1] = 1
+            upto = np.cumsum(there)
+            first = np.arange(starts)
+            first = first[upto[np.minimum(first + reach - 2, len(t))] - upto[np.minimum(first, len(t))] >= need]
+            step = self._rows(size)
+            for k in range(0, len(first), step):
+                at = first[k : k + step]
+                cell = at[:, None] + np.arange(reach)
+                yield size, at, np.where(cell < len(w), w[np.minimum(cell, len(w) - 1)], _U(0))
+
+    def near(self, size: int, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Arrays (row, item, edits, words) of windows of one size that share a key with an item and are near it."""
+        most = self.most(size)
         sorted_keys, owner = self.keys[size]
-        lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-        pairs = {(int(r), int(o)) for r, c in zip(*np.nonzero(hi > lo), strict=True) for o in owner[lo[r, c] : hi[r, c]]}
-        for r, o in sorted(pairs):
-            d, n = edit_distance(items[o][1].tolist(), windows[r].tolist(), most)
-            if d <= most:
-                yield r, items[o][0], d, n
+        keys = lsh_keys(windows[:, :size], most)
+        lo, hi = np.searchsorted(sorted_keys, keys.ravel(), "left"), np.searchsorted(sorted_keys, keys.ravel(), "right")
+        pairs: set[int] = set()
+        n = len(self.words[size])
+        for k in np.flatnonzero(hi > lo).tolist():
+            pairs.update((owner[lo[k] : hi[k]] + k // keys.shape[1] * n).tolist())
+        code = np.array(sorted(pairs), np.int64)
+        out = []
+        for s in range(0, len(code), 4096):
+            r, o = np.divmod(code[s : s + 4096], n)
+            d, length = edit_distances(self.words[size][o], windows[r], most)
+            ok = d <= most
+            out.append((r[ok], o[ok], d[ok], length[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+    def _exact(self, w: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item_id, first word, words, 0) of the items of one and two words."""
+        for size, items in self.short.items():
+            seen, first = np.unique(runs(w, size), return_index=True)
+            for i, x in items:
+                k = int(np.searchsorted(seen, h := runs(x, size)[0]))
+                if k < len(seen) and seen[k] == h:
+                    yield i, int(first[k]), size, 0
 
     def find(self, documents: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, int, int, int, int]]:
         """(document, item_id, first word, words, edits): for each item found in a document, its nearest window, the first one of several.
 
-        Windows of many documents are embedded together; at most `WINDOWS` and those of one document wait.
+        Windows of many documents are embedded together; at most `WINDOWS` wait.
         """
         waiting: dict[int, list] = {}
+        best: dict[tuple[int, int, int], tuple] = {}
         n = 0
+
+        def flush() -> None:
+            for size, parts in sorted(waiting.items()):
+                numbers = np.concatenate([np.full(len(at), number) for number, _, at, _ in parts])
+                names = {number: name for number, name, _, _ in parts}
+                firsts, rows = np.concatenate([at for _, _, at, _ in parts]), np.concatenate([x for _, _, _, x in parts])
+                step = self._rows(size)
+                for k in range(0, len(rows), step):
+                    for r, o, d, length in zip(*(x.tolist() for x in self.near(size, rows[k : k + step])), strict=True):
+                        number, start = int(numbers[k + r]), int(firsts[k + r])
+                        old = best.get((number, size, o))
+                        if old is None or (d, start) < (old[4], old[2]):
+                            best[number, size, o] = (names[number], self.ids[size][o], start, length, d)
+            waiting.clear()
+
         for number, (name, w) in enumerate(documents):
-            for size, start, window in self.windows(w):
-                waiting.setdefault(size, []).append((number, name, start, window))
-                n += 1
-            if n >= WINDOWS:
-                yield from self._flush(waiting)
-                waiting, n = {}, 0
-        yield from self._flush(waiting)
-
-    def _flush(self, waiting: dict[int, list]) -> Iterator[tuple[object, int, int, int, int]]:
-        best: dict[tuple[int, int], tuple] = {}
-        for size, rows in sorted(waiting.items()):
-            for k in range(0, len(rows), 4096):
-                part = rows[k : k + 4096]
-                for r, item_id, d, length in self.near(size, np.stack([x[3] for x in part])):
-                    number, name, start, _ = part[r]
-                    old = best.get((number, item_id))
-                    if old is None or (d, start) < (old[4], old[2]):
-                        best[number, item_id] = (name, item_id, start, length, d)
+            for found in self._exact(w):
+                yield name, *found
+            split = False
+            for size, at, rows in self.windows(w):
+                waiting.setdefault(size, []).append((number, name, at, rows))
+                n += len(at)
+                if n >= WINDOWS:
+                    flush()
+                    n, split = 0, True
+            if split or n >= WINDOWS // 2:
+                flush()
+                n = 0
+                yield from best.values()
+                best.clear()
+        flush()
         yield from best.values()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS, item_block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """A row for each document (doc_id, text) and item (item_id, text) found in it: doc_id, item_id, start_word, n_words, n_edits.
 
     Documents are not shuffled.
     """
     small_batches(docs.sparkSession)
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null")
-    blocks = max(1, -(-items.count() // item_block))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // item_block), -(-size["bytes"] // item_bytes))
     out = None
     for k in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         held = sorted(((r["item_id"], bytes(r["text"])) for r in rows.collect()), key=lambda r: (r[0] is None, r))
-        part = docs.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(_search(held, edits, least_words), "doc_id long, item_id long, start_word long, n_words long, n_edits long")
+        part = docs.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(_search(held, edits), "doc_id long, item_id long, start_word long, n_words long, n_edits long")
+        if blocks > 1:
+            part = stored(part)
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _search(rows: list, edits: float, least_words: int):
+def _search(rows: list, edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Items(rows, edits, least_words)
+        found = Items(rows, edits)
         documents = (x for batch, texts in slices(batches, 1) for x in zip(batch.column(0).to_pylist(), sequences(texts), strict=True))
-        hits = list(found.find(documents))
-        columns = list(zip(*hits, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start_word", "n_words", "n_edits"])
+        hits: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*hits, strict=True)) or [()] * 5
+            hits.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start_word", "n_words", "n_edits"])
+
+        for hit in found.find(documents):
+            hits.append(hit)
+            if len(hits) >= 10_000:
+                yield batch()
+        yield batch()
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows in which an item is found; rows with a null doc_id stay."""
+    """`docs` without the rows in which an item is found. Rows with a null doc_id stay, and rows that repeat a doc_id go if one of them does."""
     checkpoints(docs.sparkSession)
     found = leaks(docs, benchmark, **options).select("doc_id").distinct().checkpoint()
     return docs.join(bounded(found), "doc_id", "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, stored
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, dropped, stored
 
 TAU, EXACT_CHARS, NEAR_CHARS = 2, 10, 30
 
@@ -151,6 +151,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     keyed = stored(probes(_split(docs, least).withColumn("h1", F.xxhash64("line")), tau))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key").checkpoint()
     buckets = keyed.join(bounded(shared), "key").distinct().checkpoint()
+    dropped(keyed)
     involved = buckets.select("h1").distinct().checkpoint()
     places = lines.where(F.col("length") >= least).join(bounded(involved), "h1", "left_semi").selectExpr("h1", "h2", f"{_POSITION} pos")
     places = places.groupBy("h1", "h2").agg(F.min("pos").alias("pos")).checkpoint()
@@ -187,8 +188,8 @@ def _gone(placed: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """`docs` with the lines that go taken out of `text`, and the columns n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, near_chars: int = NEAR_CHARS, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """`docs` with the lines that go taken out of `text`, and two columns called `names`, in place of such ones: the lines before and those that went."""
     with brief_shuffles(docs.sparkSession):
         # A table of hashes, so that the text is only read again where it is needed.
         lines = stored(_split(docs, exact_chars).selectExpr("doc_id", "no", "length", "xxhash64(line) h1", "xxhash64(7, line) h2"))
@@ -197,14 +198,13 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS,
         # Lines that occur once and are near none are most; they are left out before the join.
         marks = placed.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).join(near, ["h1", "h2"], "left").where("near or first <> last").drop("last").checkpoint()
         gone = _gone(placed, bounded(marks)).checkpoint()
-        total = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    if total <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    docs = docs.drop("n_lines", "n_removed")
+        dropped(lines)
+    gone = bounded(gone)
+    docs = docs.drop(*names)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     n_lines, n_removed = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    return out.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    return out.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns], n_lines.cast("long").alias(names[0]), n_removed.cast("long").alias(names[1]))

@@ -2,15 +2,19 @@
 
 1. Texts with equal shingle sets form a class; from here on its smallest doc_id stands for it.
 2. Signatures are cut into bands; equal bands form buckets. In each bucket every member is compared with the smallest
-   one. Members that end up in another component than it are then compared with the smallest of their own kind, and at
-   last with all members of other components. A bucket of one group thus costs as many comparisons as it has members,
-   and no pair of different components goes uncompared.
-3. A comparison first reads the signatures in batches: with m of n equal minima the similarity has a Beta posterior,
+   one. Members that end up in another component than it are then compared with the smallest of their own kind. A bucket
+   of one group thus costs as many comparisons as it has members.
+3. Buckets that still hold members of several components are settled without pairing their members: two sets that reach
+   the threshold share one of the `1 - threshold` of either set's shingles that come first in any fixed order of all
+   shingles. With the rare ones first, by a sketch of their counts, only sets that share a rare shingle and stand in
+   different components are compared. No link is lost by that.
+4. A comparison first reads the signatures in batches: with m of n equal minima the similarity has a Beta posterior,
    and the pair is dropped as soon as the chance of reaching the threshold falls below `miss`.
-4. What survives is confirmed on the full sets, and the links' connected components are found.
+5. What survives is confirmed on the full sets, and the links' connected components are found.
 
 null or empty texts and texts without words have an empty set and no links. Rows with a null doc_id take no part: their
-component is null and they are kept. Repeated doc_ids keep a row each. Only doc_id and text are read.
+component is null and they are kept. Rows that repeat a doc_id have a row each; where one doc_id is the smallest of
+several different texts, these count as one document with the links of all. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
-from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices, small_batches
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices, small_batches, spread_join
 
-BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP, PARTS = 32, 4, 5, 0.75, 1e-6, 16, 64
+BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
+#: Counters of the sketch of shingles' counts: 2 MB.
+COUNTERS = 1 << 18
 
 
 def least_matches(total: int, step: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -40,6 +46,11 @@ def least_matches(total: int, step: int, threshold: float, miss: float) -> list[
     return out
 
 
+def text_hash(text: str = "text") -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _sketches(docs: DataFrame, bands: int, rows: int, width: int, signed: bool) -> DataFrame:
     """A row for each document: the size of its set, two hashes of it and, if `signed`, its signature."""
 
@@ -55,11 +66,13 @@ def _sketches(docs: DataFrame, bands: int, rows: int, width: int, signed: bool)
                     pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()),
                     pa.array([int(np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)) if len(s) else 0 for s in found], pa.int64()),
                     pa.array([raw[i * cut : (i + 1) * cut] for i in range(len(found))], pa.binary()),
+                    batch.column(2),
                 ],
-                ["doc_id", "n_shingles", "h1", "h2", "signature"],
+                ["doc_id", "n_shingles", "h1", "h2", "signature", "text_hash"],
             )
 
-    return docs.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    rows_ = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash().alias("text_hash"))
+    return rows_.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, text_hash long")
 
 
 def _plausible(pairs: DataFrame, total: int, threshold: float, miss: float) -> DataFrame:
@@ -100,36 +113,47 @@ def _confirmed(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFram
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
-def _common_parts(found: DataFrame) -> DataFrame:
-    """doc_id, parts: of `found` (doc_id, shingles), how many shingles of each of PARTS residues a row shares with any other row."""
+def _first_shingles(found: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, token: of `found` (doc_id, shingles), the shingles of which two rows that reach the threshold have one in common.
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in slices(batches, 1):
-            out = [np.bincount(np.frombuffer(r, np.int64) % PARTS, minlength=PARTS) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "parts"])
+    Shingles are ordered by a sketch of how many rows have them, then by themselves.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, raw in slices(batches, 0):
+            for r in raw:
+                total += np.bincount(np.frombuffer(r, np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    counts = found.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    load = np.zeros(COUNTERS, np.int64)
+    load[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    raw_load = load.tobytes()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.frombuffer(raw_load, np.int64)
         for batch, raw in slices(batches, 1):
-            x = [np.frombuffer(r, np.int64) for r in raw]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(v) for v in x])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(x))], ["doc_id", "shingle"])
+            out = []
+            for r in raw:
+                x = np.frombuffer(r, np.uint64)
+                keep = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+                out.append(x[np.lexsort((x, n[x % np.uint64(COUNTERS)]))[:keep]].view(np.int64))
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(out))], ["doc_id", "token"])
 
-    found = found.select("doc_id", "shingles")
-    once = found.mapInArrow(rows, "doc_id long, shingle long").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    alone = once.groupBy("doc_id", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
-    alone = alone.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
-    both = found.mapInArrow(totals, "doc_id long, parts array<int>").join(alone, "doc_id", "left")
-    return both.select("doc_id", F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.try_element_at("alone", i), F.lit(0)))).alias("parts"))
+    return found.select("doc_id", "shingles").mapInArrow(first, "doc_id long, token long")
 
 
-def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their sets' size and hashes, classes with their representatives, and representatives with their components."""
+def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Documents with their sets' size and hashes, and classes with the number of their rows and their components, without those of one row and no link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Sketches are made twice, so that signatures are neither kept nor shuffled for more than one document of a class.
     sketch = _sketches(docs, bands, rows, width, False).drop("signature").checkpoint()
     usable = "doc_id is not null and n_shingles > 0"
-    classes = sketch.where(usable).groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    signed = _sketches(docs, bands, rows, width, True).where(usable)
+    classes = sketch.where(usable).groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    signed = _sketches(docs, bands, rows, width, True).drop("text_hash").where(usable)
     reps = signed.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     reps = reps.select("doc_id", "n_shingles", "signature").checkpoint()
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))
@@ -146,14 +170,14 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["doc_id", "shingles", "n"])
 
     found = rows_of.selectExpr("doc_id", "cast(text as binary) text").mapInArrow(shingle, "doc_id long, shingles binary, n long")
-    found = found.join(signatures.selectExpr("doc_id", "n_shingles n"), ["doc_id", "n"], "left_semi").drop("n").dropDuplicates(["doc_id"]).checkpoint()
+    found = found.join(signatures.selectExpr("doc_id", "n_shingles n"), ["doc_id", "n"], "left_semi").drop("n").dropDuplicates(["doc_id", "shingles"]).checkpoint()
     per_cent, total = round(threshold * 100), bands * rows
 
     def links(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b): those that are linked."""
         of = lambda k: signatures.selectExpr(f"doc_id {k}", f"n_shingles n{k}", f"signature s{k}")
         near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {per_cent} * greatest(na, nb)")
-        return _confirmed(_plausible(near, total, threshold, miss), found, threshold)
+        return _confirmed(_plausible(near, total, threshold, miss).distinct(), found, threshold)
 
     def labelled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The shared buckets with members' components, and those members that aren't in the component of their bucket's leader."""
@@ -169,34 +193,37 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
     second = apart.groupBy("key").agg(F.min("doc_id").alias("second"))
     pairs = apart.join(second, "key").where("doc_id <> second").selectExpr("doc_id a", "second b")
     more = links(pairs).checkpoint()
-    if more.limit(1).count():
+    if more.take(1):
         edges = edges.unionAll(more).checkpoint()
         known, members = labelled(edges)
         apart = members.where("c <> c_leader")
-    # Whoever is apart still meets all members of other components. Within a pair of the apart, one direction is enough.
-    # Shingles that no other document of these buckets has can't be common to a pair, nor can a pair have more in common
-    # than the smaller of its counts in each part of the hashes. This rules most pairs out, and no linked one.
-    touched = members.join(apart.select("key").distinct(), "key", "left_semi").checkpoint()
-    parts = _common_parts(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi")).checkpoint()
-    touched = touched.join(parts, "doc_id").withColumn("s", F.aggregate("parts", F.lit(0), lambda a, x: a + x))
-    other = touched.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader", "s sb", "parts pb")
-    rest = touched.where("c <> c_leader").selectExpr("key", "doc_id a", "n_shingles na", "c ca", "s sa", "parts pa").join(other, "key")
-    enough = f"{100 + per_cent} * {{}} >= {per_cent} * (na + nb)"
-    least = "aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0, (t, x) -> t + x)"
-    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and {enough.format('least(sa, sb)')} and {enough.format(least)}").select("a", "b")
-    last = links(rest).checkpoint()
-    if last.limit(1).count():
-        known = components(edges.unionAll(last)).checkpoint()
-    return sketch, classes, known
+    # Whoever is apart still meets the members of other components that share one of its first shingles.
+    touched = members.join(apart.select("key").distinct(), "key", "left_semi").select("doc_id", "n_shingles", "c").distinct().checkpoint()
+    if touched.take(1):
+        tokens = _first_shingles(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi"), threshold).join(touched, "doc_id").checkpoint()
+        several = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token").checkpoint()
+        tokens = tokens.join(bounded(several), "token").checkpoint()
+        groups = tokens.select("token", "c").distinct()
+        # Components are paired before their members are, so that a large one meets only others.
+        meet = groups.join(groups.withColumnRenamed("c", "d"), "token").where("c < d")
+        side = lambda k, c: tokens.selectExpr("token", f"doc_id {k}", f"n_shingles n{k}", f"c {c}")
+        rest = meet.join(side("a", "c"), ["token", "c"]).join(side("b", "d"), ["token", "d"])
+        last = links(rest.where(f"100 * least(na, nb) >= {per_cent} * greatest(na, nb)").select("a", "b")).checkpoint()
+        if last.take(1):
+            known = components(edges.unionAll(last)).checkpoint()
+    grouped = classes.join(known.selectExpr("node rep", "component"), "rep", "left").where("n > 1 or component is not null")
+    return sketch, grouped.select("n_shingles", "h1", "h2", "n", F.coalesce("component", "rep").alias("component")).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     checkpoints(spark)
     small_batches(spark)
     with brief_shuffles(spark):
-        sketch, classes, known = _linked(docs, width, threshold, bands, rows, miss)
-    rows_ = sketch.join(classes, ["n_shingles", "h1", "h2"], "left").join(known.selectExpr("node rep", "component"), "rep", "left")
-    out = rows_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+        sketch, classes = _linked(docs, width, threshold, bands, rows, miss)
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows_ = spread_join(sketch.where(usable), classes, ["n_shingles", "h1", "h2"], "n", sketch.count(), "left")
+    rows_ = rows_.unionByName(sketch.where(~usable), allowMissingColumns=True)
+    out = rows_.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash")

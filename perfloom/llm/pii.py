@@ -12,7 +12,7 @@ with that entity if PMI / IC is at least `generalise`; from `remove` on it is ta
 Lines are counted once however often they are copied, so a copied document adds no certainty.
 
 null and empty texts hold nothing. Rows with a null doc_id have their base spans only, and rows that repeat a doc_id
-share its entities. Other columns stay.
+share its entities. Other columns stay, but for those with the names of the result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.tables import BROADCAST_ROWS, bounded, checkpoints
+from perfloom.llm.tables import bounded, checkpoints, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns, written so that each run of characters is read once. A card has 13 to 19 digits, so longer and shorter
@@ -129,7 +129,11 @@ def revealing_terms(docs: DataFrame, generalise: float, z: float) -> DataFrame:
     information = F.log2(F.col("n") / F.col("dfc"))
     share = least_share(F.col("dftc"), F.greatest("dft", "dftc"), z)
     scored = scored.withColumn("disclosure", F.when(information > 0, 1 + F.log2(share) / information).otherwise(0.0)).where(F.col("disclosure") >= generalise)
-    return each.select("doc_id", "entity").distinct().join(scored.select("entity", "term", "disclosure"), "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
+    # An entity may stand in a third of all documents, so its terms come to them as one row.
+    holders = each.select("doc_id", "entity").distinct().checkpoint()
+    told = scored.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")).join(holders.groupBy("entity").agg(F.count("*").alias("n_docs")), "entity").checkpoint()
+    met = spread_join(holders, told, ["entity"], "n_docs", holders.count()).select("doc_id", F.explode("terms").alias("t"))
+    return met.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.max("t.disclosure").alias("disclosure"))
 
 
 def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
@@ -137,8 +141,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     docs = docs.drop(*KINDS, "term", "sanitised")
     terms = revealing_terms(docs, generalise, z)
     terms = terms.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("__terms")).checkpoint()
-    n_terms = terms.agg(F.sum(F.size("__terms"))).first()[0] or 0
-    rows = _with_base(docs).join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    rows = _with_base(docs).join(bounded(terms), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     text = F.coalesce("text", F.lit(""))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
     rows = rows.withColumn("__term", F.when(F.col("__terms").isNull(), F.array().cast(_SPANS)).otherwise(matches(text, pattern, lambda v: F.lit(True))))

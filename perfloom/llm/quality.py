@@ -10,7 +10,7 @@ reaches the driver. Scoring is one pass without a shuffle.
 
 Rows with a null doc_id or label are not learnt from; of several labels of a document the mean is. Without labels, or
 with one kind only, every score is the share of label 1 (0.5 without any). null and empty texts are scored like others,
-from features of zero. Repeated rows get a row each.
+from features of zero. Repeated rows get a row each; of the texts of one doc_id the first in order is learnt from.
 """
 
 from __future__ import annotations
@@ -227,15 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     """Learns `label` of `labels` (doc_id, label) from the texts of `docs`, from at most `train_rows` labels."""
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.avg(label).alias("y"))
     sample = sampled(known, train_rows, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Rows that repeat a doc_id don't raise the number learnt from.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     got = sorted((r["doc_id"], tuple(r["x"]), r["y"]) for r in _described(rows, ["doc_id", "y"]).collect())
     return fit(np.array([r[1] for r in got]), np.array([r[2] for r in got])) if got else AdditiveModel(0.0)
 
 
-def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """`docs` with a column `score`."""
+def score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> DataFrame:
+    """`docs` with the score as column `name`, in place of one that has that name."""
     small_batches(docs.sparkSession)
-    raw, docs = pickle.dumps(model), docs.drop("score")
+    raw, docs = pickle.dumps(model), docs.drop(name)
     names = docs.columns
     at = names.index("text")
 
@@ -243,9 +244,9 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         m = pickle.loads(raw)
         for batch, texts in slices(batches, at):
             x = features(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(x))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(x))], [*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -22,7 +22,7 @@ from perfloom.llm.token_count import LIMIT, count_tokens
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

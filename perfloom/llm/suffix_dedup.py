@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from perfloom.llm import shingles
 from perfloom.llm.gsaca import suffix_array
-from perfloom.llm.tables import BROADCAST_ROWS, bounded, brief_shuffles, checkpoints, slices, small_batches, stored
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, dropped, slices, small_batches, stored
 
 LENGTH, ANCHOR, CONTEXTS, BATCH, PAIRED = 200, 64, 20_000, 4_000, 12
 _U = np.uint64
@@ -302,17 +302,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 out.append([{"start": int(x), "end": int(y)} for x, y in zip(s[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["u1", "u2", "spans"])
 
-    return gathered.mapInArrow(merge, "u1 long, u2 long, spans array<struct<start:int,end:int>>")
+    out = gathered.mapInArrow(merge, "u1 long, u2 long, spans array<struct<start:int,end:int>>").checkpoint()
+    dropped(anchors)
+    dropped(shared)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_contexts: int = CONTEXTS) -> DataFrame:
     """`docs` with the remaining bytes as `kept` (binary) in place of `text`, and n_bytes, n_removed and n_spans."""
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     with brief_shuffles(docs.sparkSession):
-        spans = repeated_spans(docs, length, anchor, most_contexts).checkpoint()
-        total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    if total <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
+        spans = bounded(repeated_spans(docs, length, anchor, most_contexts))
     others = [c for c in docs.columns if c != "text"]
     plain = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(others)], F.col("text").cast("binary").alias("text"), *[F.expr(e) for e in _IDENTITY])
     rows = plain.join(spans, ["u1", "u2"], "left").select(*[f"d{i}" for i in range(len(others))], "text", "spans")

@@ -1,4 +1,4 @@
-"""Reading tables and the shared folder for checkpoints."""
+"""Reading tables, the shared folder for checkpoints, and joins that hot keys and growing tables can't break."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType
 
-#: Narrow rows (a few numbers each) are broadcast up to this count; beyond it Spark joins them by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: What is broadcast has at most this size, as counted beforehand; beyond it Spark joins by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Keys with more than this share of a table's rows are hot. There can't be more than its inverse of them.
+HOT_SHARE = 1 / 2_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +24,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: keeps the cluster's folder and sets a local one only where none is named (tests)."""
+    """Makes checkpoint() usable with the folder that spark.checkpoint.dir names.
+
+    Where none is named, a local session (a test) gets a temporary one; on a cluster that is an error, since a folder of
+    one machine is lost with it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -38,9 +47,45 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a `stored` DataFrame that nothing will read again."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("table-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _flat(df: DataFrame) -> int | None:
+    """The bytes of a row whose columns have fixed sizes, with what a hash table adds to it; None if they have not."""
+    kinds = [f.dataType for f in df.schema.fields]
+    return None if any(not isinstance(k, AtomicType) or isinstance(k, (StringType, BinaryType)) for k in kinds) else 32 + 16 * len(kinds)
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """`df`, which should be checkpointed and narrow, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """`df`, which should be checkpointed, marked for broadcast if it is counted to be small.
+
+    Rows of variable size are measured as JSON text, which is longer than their binary form.
+    """
+    width = _flat(df)
+    if width is not None:
+        size = df.count() * width
+    else:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `keyed`, one row for each key, whose column `count` has the number of `rows` with that key.
+
+    Rows with a hot key don't meet in one task: the few hot keys are broadcast, and only the others are shuffled. `how`
+    is inner or left. Both sides should be checkpointed, as they are read twice.
+    """
+    hot = F.col(count) > max(1.0, total * HOT_SHARE)
+    few = F.broadcast(keyed.where(hot).drop(count))
+    cold = rows.join(F.broadcast(keyed.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(cold.join(bounded(keyed.where(~hot).drop(count)), keys, how))
 
 
 def sampled(df: DataFrame, n: int, key: str) -> DataFrame:
@@ -90,7 +135,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, shuffle files go as soon as the job that wrote them has ended, which is right where every step ends in a checkpoint."""
+    """Within it, shuffle files go as soon as the job that wrote them has ended, which is right where every step ends in a checkpoint.
+
+    If an executor is lost, its tasks run again from the last checkpoint. The setting is the session's: a query that
+    runs at the same time in the same session and reads a shuffle again later recomputes it, which costs time and
+    changes no result. Sessions that share a context (newSession) have settings of their own.
+    """
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -8,7 +8,8 @@ block is kept or dropped by what both directions have seen. The kept blocks are
 The labeller is trained when it is needed, on pages that `generated` makes from templates and on at most `FIT_PAGES`
 pages of the table (those with the smallest hash of page_id) whose markup says where the article is. The seed is fixed.
 
-Nothing is cut: every block of every page is labelled. null and empty pages, and pages without a kept block, give an
+A page is read in time and memory in proportion to its length: some 2 KB for each block, be elements nested as deep as
+they may. One page must fit into a task like that. Nothing is cut: every block of every page is labelled. null and empty pages, and pages without a kept block, give an
 empty text. Repeated rows and a null page_id are handled like others.
 """
 
@@ -31,6 +32,8 @@ from perfloom.llm.tables import sampled, slices, small_batches
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS, HIDDEN, FIT_PAGES, GENERATED, EPOCHS, BATCH, RATE = 2048, 128, 7, 16, 128, 600, 12, 32, 0.012
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>", re.S)
+#: A comment or declaration that nothing ends goes on to the page's end.
+_OPEN_END = re.compile(r"<[!?].*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -53,36 +56,57 @@ def _bucket(token: str, buckets: int = PATH_BUCKETS) -> int:
     return zlib.crc32(token.encode()) % buckets
 
 
+#: Elements at which the search for one to end stops.
+_BARRIERS = frozenset("article section div main aside nav table form blockquote".split())
+#: Parts of a page that are beside the article, wherever they stand.
+_BESIDE = frozenset(("nav", "aside", "footer", "form", "header"))
+
+
+class Path:
+    """An open element with those around it: its own tokens, the path above it, its depth, and what `told` asks for."""
+
+    __slots__ = ("above", "beside", "depth", "inside", "tokens")
+
+    def __init__(self, above: Path | None, name: str, tokens: tuple[int, ...]):
+        self.above, self.tokens = above, tokens
+        self.depth = above.depth + 1 if above else 1
+        self.inside = name == "article" or (above is not None and above.inside)
+        self.beside = name in _BESIDE or (above is not None and above.beside)
+
+
 class Block:
-    """A block's text, its path tokens, and how many of its characters stand in links."""
+    """A block's text, its path (None at the top), and how many of its characters stand in links."""
 
-    __slots__ = ("linked", "path", "tags", "text")
+    __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, path: list[int], tags: tuple[str, ...], linked: int):
-        self.text, self.path, self.tags, self.linked = text, path, tags, linked
+    def __init__(self, text: str, path: Path | None, linked: int):
+        self.text, self.path, self.linked = text, path, linked
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; those without text are left out."""
+    """The blocks of a page in order; those without text are left out. Time and memory grow with the page's length only."""
     out: list[Block] = []
-    stack: list[tuple[str, list[int]]] = []
+    stack: list[tuple[str, Path]] = []
+    # Where in the stack each name stands.
+    where: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = links = 0
-    path: list[int] = []
-    tags: tuple[str, ...] = ()
+    path: Path | None = None
+    filled = False
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, filled
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, path, tags, linked))
-            parts, linked = [], 0
+                out.append(Block(text, path, linked))
+            parts, linked, filled = [], 0, False
 
     def add(text: str) -> None:
-        nonlocal path, tags, linked
-        if not parts or not "".join(parts).strip():
-            path, tags = [t for _, ts in stack for t in ts], tuple(n for n, _ in stack)
+        nonlocal path, linked, filled
+        if not filled:
+            path = stack[-1][1] if stack else None
+            filled = not text.isspace()
         parts.append(text)
         if links:
             linked += len(text)
@@ -91,31 +115,36 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         for name, _ in stack[to:]:
             links -= name == "a"
+            where[name].pop()
         del stack[to:]
 
-    at, n = 0, len(page)
+    def last(names: frozenset[str] | set[str]) -> int:
+        return max((at[-1] for name in names if (at := where.get(name))), default=-1)
+
+    # Behind the last > there is no tag.
+    at, n, tags = 0, len(page), page.rfind(">") + 1
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, tags) if at < tags else _OPEN_END.search(page, at)
         if m is None:
             add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if m.re is _OPEN_END or page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), at):
+            break
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if open_at := where.get(name):
+                pop(open_at[-1])
             continue
         if name in _RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
+                end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at, tags)
                 at = end.end() if end else n
             continue
         if name in _EMBEDDED and m[3].rstrip().endswith("/"):
@@ -129,15 +158,10 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID:
             continue
         if name in _ENDS_P or name in _CLOSES:
-            shut, holders = _CLOSES.get(name, {"p"}) | ({"p"} if name in _ENDS_P else set()), _HOLDERS.get(name, set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in holders:
-                    break
-                if stack[k][0] in shut:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "section", "div", "main", "aside", "nav", "table", "form", "blockquote"):
-                    break
+            shut = _CLOSES.get(name, {"p"}) | ({"p"} if name in _ENDS_P else set())
+            k = last(shut)
+            if k >= 0 and k > last(_BARRIERS | _HOLDERS.get(name, set())):
+                pop(k)
         tokens = [_bucket(name)]
         if m[3]:
             for a in _ATTRIBUTE.findall(m[3]):
@@ -146,34 +170,78 @@ def blocks(page: str) -> list[Block]:
             if _HIDDEN.search(m[3]):
                 tokens.append(_bucket("!hidden"))
         links += name == "a"
-        stack.append((name, tokens))
+        where.setdefault(name, []).append(len(stack))
+        stack.append((name, Path(stack[-1][1] if stack else None, name, tuple(tokens))))
     flush()
     return out
 
 
 class Features:
-    """The blocks of some pages as arrays: counts of path buckets for each different path, shares of word buckets, numbers, and the length of each page."""
+    """The blocks of some pages as arrays: a tree of their paths with each one's own tokens, shares of word buckets, numbers, and the length of each page."""
 
     def __init__(self, pages: list[list[Block]]):
         every = [b for p in pages for b in p]
         self.lengths = np.array([len(p) for p in pages], np.int64)
-        # Pages repeat their paths, so each different one is counted once.
-        ids: dict[tuple[int, ...], int] = {}
-        self.path = np.array([ids.setdefault(tuple(b.path), len(ids)) for b in every], np.int64)
-        self.paths = np.zeros((len(ids), PATH_BUCKETS), np.float32)
-        for path, i in ids.items():
-            np.add.at(self.paths[i], list(path), 1)
+        # Pages repeat their paths, so each different one is there once, behind the one above it. 0 is the top.
+        ids: dict[tuple, int] = {}
+        above, depth, tokens = [0], [0], [()]
+        known: dict[int, int] = {}
+
+        def number(path: Path | None) -> int:
+            new = []
+            while path is not None and id(path) not in known:
+                new.append(path)
+                path = path.above
+            at = known[id(path)] if path is not None else 0
+            for p in reversed(new):
+                key = (at, p.tokens)
+                if key not in ids:
+                    ids[key] = len(above)
+                    above.append(at)
+                    depth.append(p.depth)
+                    tokens.append(p.tokens)
+                at = known[id(p)] = ids[key]
+            return at
+
+        self.path = np.array([number(b.path) for b in every], np.int64)
+        self.above, self.tokens = np.array(above), np.array([t for ts in tokens for t in ts], np.int64)
+        self.owner = np.repeat(np.arange(len(above)), [len(ts) for ts in tokens])
+        by_depth = np.argsort(depth, kind="stable")
+        self.levels = np.split(by_depth, np.flatnonzero(np.diff(np.array(depth)[by_depth])) + 1)[1:]
         hashes, counts = words([b.text.encode() for b in every]) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        cell = np.repeat(np.arange(len(every)), counts) * WORD_BUCKETS + (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        self.words = np.bincount(cell, minlength=len(every) * WORD_BUCKETS).reshape(len(every), WORD_BUCKETS).astype(np.float32)
-        self.words /= np.maximum(counts, 1)[:, None]
+        self.buckets, self.counts = (hashes % np.uint64(WORD_BUCKETS)).astype(np.uint8), counts
         size = np.array([len(b.text) for b in every], float)
         marks = np.array([sum(b.text.count(c) for c in ".,;!?") for b in every], float)
         place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages]) if pages else np.zeros(0)
         ones = np.ones(len(every))
         linked = np.array([min(1.0, b.linked / len(b.text)) for b in every])
-        depth = np.array([len(b.tags) for b in every], float)
-        self.numbers = np.column_stack([ones, np.log1p(size) / 5, marks / (size + 1) * 10, linked, place, size > 80, depth / 8]).astype(np.float32) if every else np.zeros((0, NUMBERS), np.float32)
+        depths = np.array([b.path.depth if b.path else 0 for b in every], float)
+        self.numbers = np.column_stack([ones, np.log1p(size) / 5, marks / (size + 1) * 10, linked, place, size > 80, depths / 8]).astype(np.float32) if every else np.zeros((0, NUMBERS), np.float32)
+
+    def path_sums(self, table: np.ndarray) -> np.ndarray:
+        """For each path the sum of the rows of `table` for all tokens on it."""
+        out = np.zeros((len(self.above), table.shape[1]), np.float32)
+        np.add.at(out, self.owner, table[self.tokens])
+        for level in self.levels:
+            out[level] += out[self.above[level]]
+        return out
+
+    def path_gradient(self, by_path: np.ndarray) -> np.ndarray:
+        """What changes of the paths' sums mean for the rows of the table; `by_path` is used up."""
+        for level in reversed(self.levels):
+            np.add.at(by_path, self.above[level], by_path[level])
+        out = np.zeros((PATH_BUCKETS, by_path.shape[1]), np.float32)
+        np.add.at(out, self.tokens, by_path[self.owner])
+        return out
+
+    def words(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Some blocks at a time, and the shares of the buckets in their words."""
+        starts = np.concatenate([[0], np.cumsum(self.counts)])
+        for a in range(0, len(self.counts), 8192):
+            b = min(a + 8192, len(self.counts))
+            cell = np.repeat(np.arange(b - a), self.counts[a:b]) * WORD_BUCKETS + self.buckets[starts[a] : starts[b]]
+            share = np.bincount(cell, minlength=(b - a) * WORD_BUCKETS).reshape(b - a, WORD_BUCKETS).astype(np.float32)
+            yield slice(a, b), share / np.maximum(self.counts[a:b], 1)[:, None].astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -194,7 +262,10 @@ class Labeller:
         self.p["number"][0, HIDDEN : 2 * HIDDEN] = self.p["number"][0, 5 * HIDDEN : 6 * HIDDEN] = 1.0  # gates that remember at first
 
     def _inputs(self, f: Features) -> np.ndarray:
-        return (f.paths @ self.p["path"])[f.path] + f.words @ self.p["word"] + f.numbers @ self.p["number"]
+        x = f.path_sums(self.p["path"])[f.path] + f.numbers @ self.p["number"]
+        for part, share in f.words():
+            x[part] += share @ self.p["word"]
+        return x
 
     @staticmethod
     def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +322,10 @@ class Labeller:
                 g["up"][d] += before.T @ dz
                 dh[who], dc[who] = dz @ up.T, b * f_
         g["number"] = f.numbers.T @ dx
-        by_path = np.zeros((len(f.paths), dx.shape[1]), np.float32)
+        by_path = np.zeros((len(f.above), dx.shape[1]), np.float32)
         np.add.at(by_path, f.path, dx)
-        g["path"] = f.paths.T @ by_path
-        g["word"] = f.words.T @ dx
+        g["path"] = f.path_gradient(by_path)
+        g["word"] = sum(share.T @ dx[part] for part, share in f.words())
         return loss, g
 
 
@@ -417,12 +488,9 @@ def generated(count: int, seed: int = 11) -> list[tuple[str, list[int]]]:
     return made
 
 
-_BESIDE = frozenset(("nav", "aside", "footer", "form", "header"))
-
-
 def told(found: list[Block]) -> list[int] | None:
     """Labels of a page's blocks by its markup, where that has one plain article; otherwise None."""
-    inside = [("article" in b.tags and not _BESIDE & set(b.tags)) for b in found]
+    inside = [b.path is not None and b.path.inside and not b.path.beside for b in found]
     return [int(x) for x in inside] if any(inside) and not all(inside) else None
 
 

@@ -7,8 +7,11 @@ finite state. Each transition carries the number of tokens it adds (it may be ne
 several). States are compiled when a text first needs them, and then serve all later texts of the worker.
 
 Texts of a batch lie behind one another and are cut into chunks of equal size which all advance together, a byte at a
-time. White space leads every state to the start state. What a chunk does to a state is thus known from its first
-white space on; the part before it is added by composing the chunks' maps in a scan.
+time. White space leads every state to the start state, so a chunk that holds some ends in one state whatever it begins
+with. Any other chunk has a map from the states it may begin with to those it ends in: the start state, and what the
+chunks before it can hand on. The maps of all chunks are composed by a parallel prefix scan, which gives each chunk's
+first state; maps that lack a state which the scan needs are widened, and the scan runs again. Paths from different
+states soon meet, so two or three rounds do for a run of any length.
 
 Words that hold anything but ASCII and the Latin letters U+00C0 to U+00FF, or `<|`, are counted by the library, each
 alone: white space splits words from each other in this tokenizer, whatever they hold. So are the words that would
@@ -20,6 +23,7 @@ null and empty texts have 0 tokens.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,8 @@ MAX_STATES = 131_072
 CHUNK = 512
 #: Bytes of text that advance together.
 BLOCK = 4 << 20
+#: Up to so many states the maps of chunks without white space are widened all together.
+MAP_STATES = 8
 LIMIT = 2048
 
 # Fixed values of the tokenizer's pattern.
@@ -218,33 +224,19 @@ class Transducer:
         out = np.zeros(n, np.int64)
         pad = -len(text) % CHUNK
         grid = np.concatenate([self.column[text], np.zeros(pad, np.uint8)]).reshape(-1, CHUNK)
-        # A chunk's map: the part after its first white space yields the same for every state; the part before does not.
+        # Tokens belong to owners, so the counts are taken up to every owner's end: by walking with running totals.
         space = grid == 0
         has = space.any(1)
         first = np.where(has, space.argmax(1), CHUNK)
-        at = np.arange(CHUNK)
-        # Tokens belong to owners, so the counts are taken up to every owner's end: by walking with running totals.
-        state = np.zeros(len(grid), np.int32)
-        tail = at[None, :] > first[:, None]
+        tail = np.arange(CHUNK)[None, :] > first[:, None]
         running = np.zeros(grid.shape, np.int16)
         bad = np.zeros(grid.shape, bool)
-        state = self._walk(grid, tail, state, running, bad)
-        # The scan: a chunk with white space sets the state for its successor; one without hands its predecessor's on.
-        head = ~tail
-        ready = has.copy()
-        waiting = np.arange(len(grid))
-        previous = np.zeros(len(grid), np.int32)
-        exits = state
-        while len(waiting):
-            go = waiting[(waiting == 0) | ready[waiting - 1]]
-            previous[go] = np.where(go == 0, self.START, exits[go - 1])
-            got = self._walk(grid[go], head[go], previous[go], run := running[go], b := bad[go])
-            running[go], bad[go] = run, b
-            exits[go] = np.where(has[go], exits[go], got)
-            ready[go] = True
-            done = np.zeros(len(grid), bool)
-            done[go] = True
-            waiting = waiting[~done[waiting]]
+        exits = self._walk(grid, tail, np.zeros(len(grid), np.int32), running, bad)
+        previous = self._first_states(grid, has, exits)
+        head = np.flatnonzero(first > 0) if len(grid) else np.zeros(0, np.int64)
+        part, gone = running[head], bad[head]
+        self._walk(grid[head], ~tail[head], previous[head], part, gone)
+        running[head], bad[head] = part, gone
         flat = running.reshape(-1)[: len(text)]
         sums = np.bincount(owner, weights=flat, minlength=n)
         out += sums.astype(np.int64)
@@ -252,6 +244,51 @@ class Transducer:
             out += self._beyond(text, owner, n, flat, bad.reshape(-1)[: len(text)])
         return out
 
+    def _first_states(self, grid: np.ndarray, has: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        """The state that each chunk begins with; `exits` are the last states of chunks that have white space."""
+        n, last = len(grid), len(grid) - 1
+        if has.all():
+            return np.concatenate([[self.START], exits[:-1]]).astype(np.int32)
+        # Maps: states that a chunk may begin with, and those that it then ends in. -1 stands for none.
+        enter = np.full((n, 1), self.START, np.int32)
+        leave = np.where(has, exits, -1).astype(np.int32)[:, None]
+        plain = ~has
+        while True:
+            rows, columns = np.nonzero((leave == -1) & (enter != -1) & plain[:, None])
+            if len(rows):
+                leave[rows, columns] = self._walk(grid[rows], np.ones((len(rows), CHUNK), bool), enter[rows, columns], np.zeros((len(rows), CHUNK), np.int16), np.zeros((len(rows), CHUNK), bool))
+            # As places in the successor's map; `wide` stands for a state that the map lacks.
+            wide = enter.shape[1]
+            to = np.full((n, wide + 1), wide, np.int64)
+            for k in range(wide):
+                same = (leave[:last, k, None] == enter[1:]) & (leave[:last, k, None] != -1)
+                to[:last, k] = np.where(same.any(1), same.argmax(1), wide)
+            to[has] = to[has, :1]
+            # The scan: row i maps the places of the first chunk's states to those of the chunk behind i.
+            through = to.copy()
+            reach = 1
+            while reach < n:
+                later = np.take_along_axis(through[reach:], through[:-reach], 1)
+                through = np.concatenate([through[:reach], later])
+                reach *= 2
+            place = np.concatenate([[0], through[:last, 0]])
+            known = place < wide
+            # A chunk with white space ends in its state wherever it begins.
+            needed = plain & ~known
+            if not needed.any():
+                return np.concatenate([[self.START], leave[np.arange(last), np.where(plain, place, 0)[:last]]]).astype(np.int32)
+            if wide >= MAP_STATES:
+                # So many states are rare. From here on a map takes up only what the scan has found to come.
+                for i in np.flatnonzero(needed).tolist():
+                    if known[i - 1] or has[i - 1]:
+                        enter[i, -1], leave[i, -1] = leave[i - 1, place[i - 1] if plain[i - 1] else 0], -1
+                continue
+            more = {i: sorted({int(x) for x in leave[i - 1] if x != -1} - {int(x) for x in enter[i]}) for i in (np.flatnonzero(plain[1:]) + 1).tolist()}
+            grow = max(map(len, more.values()))
+            enter, leave = (np.concatenate([x, np.full((n, grow), -1, np.int32)], axis=1) for x in (enter, leave))
+            for i, states in more.items():
+                enter[i, wide : wide + len(states)] = states
+
     def _walk(self, grid: np.ndarray, on: np.ndarray, state: np.ndarray, adds: np.ndarray, bad: np.ndarray) -> np.ndarray:
         """Writes what each byte where `on` adds to `adds`, and True to `bad` where a state beyond the limit is left."""
         columns, active = np.ascontiguousarray(grid.T), np.ascontiguousarray(on.T)
@@ -292,7 +329,7 @@ class Transducer:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
-        """The tokens of each text."""
+        """The tokens of each text. Long texts are counted in parts that end at white space."""
         out = np.zeros(len(texts), np.int64)
         i = 0
         while i < len(texts):
@@ -300,7 +337,7 @@ class Transducer:
             while j < len(texts) and (j == i or size + len(texts[j]) < BLOCK):
                 size += len(texts[j]) + 1
                 j += 1
-            out[i:j] = self._some(texts[i:j])
+            out[i:j] = self._some(texts[i:j]) if j > i + 1 or len(texts[i]) <= BLOCK else sum(self._some([p])[0] for p in _parts(texts[i]))
             i = j
         return out
 
@@ -308,11 +345,11 @@ class Transducer:
         n = len(texts)
         text = np.frombuffer(b" ".join(texts) + b" ", np.uint8).copy()
         lengths = np.fromiter(map(len, texts), np.int64, n) + 1
-        owner = np.repeat(np.arange(n), lengths)
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
         upper = (text >= 65) & (text <= 90)
         text[upper] += 32
-        after = np.concatenate([[0], text[:-1]])
-        before = np.concatenate([text[1:], [0]])
+        none = np.zeros(1, np.uint8)
+        after, before = np.concatenate([none, text[:-1]]), np.concatenate([text[1:], none])
         lead = text == 0xC3
         capital = (after == 0xC3) & (text >= 0x80) & (text <= 0x9E) & (text != 0x97)
         latin = (after == 0xC3) & (text >= 0x80) & (text != 0x97) & (text != 0xB7)
@@ -334,6 +371,19 @@ class Transducer:
         return out + self._block(text, owner, n)
 
 
+_WHITE = re.compile(rb"[\t-\r ]")
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about BLOCK bytes that begin behind white space."""
+    at = 0
+    while at < len(text):
+        m = _WHITE.search(text, at + BLOCK)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 _compiled: dict[tuple[str, int], Transducer] = {}
 
 

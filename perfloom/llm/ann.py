@@ -11,10 +11,12 @@ Centroids and codewords are fitted to at most `FIT_ROWS` classes, those with the
 How many lists a query reads is measured: as many as hold `RECALL` of the true neighbours, among all vectors, of
 `FIT_QUERIES` of the queries. As lists lose nothing, this is the recall of the whole search.
 
-Lists are cut into cells of at most `CELL_ROWS` vectors, cells are gathered into groups of about that size, and queries
-come in blocks of `QUERY_ROWS`, so that no task holds more than one group and one block.
+Lists are cut into cells of at most `CELL_ROWS` vectors, and cells are gathered into groups of about that size. A task
+holds the vectors of one group at a time, and the queries that read its lists stream past them; where these are more
+than `QUERY_ROWS`, the group is copied, so that they share the work. Groups that no query reads are left out.
 
-Vectors that are null, of another length than most, zero, or hold a null or non-finite component take no part, as
+Rows that repeat a vec_id with the same vector count once, as queries and as candidates; with other vectors they are
+candidates of their own. Other columns are not read. Vectors that are null, of another length than most, zero, or hold a null or non-finite component take no part, as
 queries or candidates; nor do rows with a null vec_id. An empty table gives no rows.
 """
 
@@ -24,14 +26,13 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfloom.llm.tables import checkpoints, sampled, small_batches
 
-FIT_ROWS, PARTS, CODES, RERANK, RECALL, CELL_ROWS, QUERY_ROWS, FIT_QUERIES = 20_000, 16, 256, 64, 0.98, 20_000, 5_000, 256
+FIT_ROWS, PARTS, CODES, RERANK, RECALL, CELL_ROWS, QUERY_ROWS, FIT_QUERIES = 32_768, 16, 256, 64, 0.98, 20_000, 50_000, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
@@ -59,7 +60,8 @@ class Index:
     """Coarse centroids, codewords and the number of lists that a query reads."""
 
     def __init__(self, x: np.ndarray, total: int, parts: int):
-        self.lists = int(min(max(1, np.sqrt(total)), 1024, len(x)))
+        # As many lists as rows a list, but no more than the fitted rows can tell apart.
+        self.lists = int(max(1, min(np.sqrt(total), len(x) / 8)))
         self.coarse = kmeans(x, self.lists)
         at = nearest(x, self.coarse)
         rest = x - self.coarse[at]
@@ -135,6 +137,12 @@ def usable(v: str, size: int) -> Column:
     return F.col(v).isNotNull() & (F.size(v) == size) & ~bad & F.exists(v, lambda c: c != 0)
 
 
+def _floats(column: pa.Array) -> np.ndarray:
+    """The rows of an Arrow column of arrays of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
@@ -168,6 +176,31 @@ def _true_lists(stored: DataFrame, q: np.ndarray, names: np.ndarray, n: int) ->
     return [np.array(a, np.int64) for a in out]
 
 
+def _nearest_of(ix: Index, lists: dict[int, tuple], asks: pa.RecordBatch, n: int, rerank: int) -> pa.RecordBatch:
+    """query, class, score: for each query its n nearest among the lists of a group that it reads."""
+    q, names = _matrix(asks.column("x").to_pylist()), asks.column("id").to_numpy()
+    tables = ix.tables(q)
+    readers: dict[int, list[int]] = {}
+    for i, reads in enumerate(asks.column("lists").to_pylist()):
+        for at in reads:
+            readers.setdefault(at, []).append(i)
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for at, (codes, x, classes) in lists.items():
+        who = np.array(readers.get(at, []), np.int64)
+        for s in range(0, len(who), 256):
+            w = who[s : s + 256]
+            floor = np.array([best[i][0][n - 1] if i in best and len(best[i][0]) >= n else -np.inf for i in w.tolist()])
+            for j, those, sc in best_in_list(ix, at, codes, x, q[w], [t[w] for t in tables], floor, n, rerank):
+                i = int(w[j])
+                a, b = best.get(i, (np.zeros(0), np.zeros(0, np.int64)))
+                a, b = np.concatenate([a, sc]), np.concatenate([b, classes[those]])
+                o = np.lexsort((b, -a))[:n]
+                best[i] = a[o], b[o]
+    query = np.repeat([names[i] for i in best], [len(v[0]) for v in best.values()]).astype(np.int64)
+    score, found = (np.concatenate([v[c] for v in best.values()]) if best else np.zeros(0) for c in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(found.astype(np.int64)), pa.array(score.astype(np.float64))], ["query", "class", "score"])
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` where `is_query`, the k others with the largest inner product found, ties to the smaller id."""
     checkpoints(vectors.sparkSession)
@@ -180,19 +213,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
         return vectors.sparkSession.createDataFrame([], result)
     rows = rows.where(usable("v", size["n"]))
     # The first k + 1 ids of each class; only they leave their tasks.
-    members = _smallest(rows, ["v"], ["id"], k + 1)
+    members = _smallest(rows.select("id", "v").distinct(), ["v"], ["id"], k + 1)
     classes = members.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("class", F.col("ids")[0]).checkpoint()
     total = classes.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], result)
-    fit = sampled(classes.select("class", "v"), fit_rows, "class").collect()
-    index = Index(np.array([r["v"] for r in fit]), total, PARTS)
+    fit = sampled(classes.select("class", "v"), fit_rows, "class").toArrow()
+    index = Index(_floats(fit.column("v").combine_chunks()), total, PARTS)
     raw = pickle.dumps(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = pickle.loads(raw)
         for batch in batches:
-            x = np.array(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            x = _floats(batch.column(1))
             at, codes = ix.encode(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["class", "list", "code", "x"])
 
@@ -220,15 +253,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
     spark = vectors.sparkSession
     cell_rows = spark.createDataFrame([(int(at), c, int(g)) for (at, c), g in groups.items()], "list int, cell int, group int")
     per_list = spark.createDataFrame([(int(at), int(n)) for at, n in cells.items()], "list int, cells int")
-    # Lists are at most 1,024, and cells a list's rows over CELL_ROWS: small tables.
+    # A row for each list, and for each CELL_ROWS vectors: small tables.
     placed = stored.join(F.broadcast(per_list), "list").withColumn("cell", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")).join(F.broadcast(cell_rows), ["list", "cell"]).select("group", "list", "class", "code", "x")
-    blocks = -(-n_asked // QUERY_ROWS)
     raw_lists = pickle.dumps(of_list)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, where = pickle.loads(raw), pickle.loads(raw_lists)
         for batch in batches:
-            q = np.array(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            q = _floats(batch.column(1))
             out: list[tuple] = []
             for name, vec, lists in zip(batch.column(0).to_pylist(), q, ix.reads(q), strict=True):
                 by: dict[int, list[int]] = {}
@@ -240,41 +272,34 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | str, k: int = 20,
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["group", "query", "y", "lists"])
 
-    routed = asked.mapInArrow(route, "group int, query long, y binary, lists array<int>").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    held = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    routed = asked.mapInArrow(route, "group int, query long, y binary, lists array<int>").checkpoint()
+    blocks = F.broadcast(routed.groupBy("group").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")))
+    held = placed.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("class").alias("id"), "list", "code", "x", F.lit(None).cast("array<int>").alias("lists"))
+    asks = routed.join(blocks, "group").select("group", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), F.col("query").alias("id"), F.lit(-1).alias("list"), F.lit(None).cast("binary").alias("code"), F.col("y").alias("x"), "lists")
+    met = held.unionByName(asks).repartition("group", "block").sortWithinPartitions("group", "block", "side")
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ix = pickle.loads(raw)
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if len(left) and len(right):
-            q = _matrix(right["y"])
-            tables = ix.tables(q)
-            asks: dict[int, list[int]] = {}
-            for i, lists in enumerate(right["lists"]):
-                for at in lists:
-                    asks.setdefault(int(at), []).append(i)
-            for at, part in left.groupby("list"):
-                who = np.array(asks.get(int(at), []), np.int64)
-                if not len(who):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, now, parts, lists = pickle.loads(raw), None, [], {}
+        for batch in batches:
+            group, block, side = (batch.column(c).to_numpy() for c in ("group", "block", "side"))
+            cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(side)], strict=True):
+                if b == a:
+                    continue
+                if (key := (int(group[a]), int(block[a]))) != now:
+                    now, parts, lists = key, [], {}
+                part = batch.slice(a, b - a)
+                if not side[a]:
+                    parts.append((part.column("list").to_numpy(), part.column("id").to_numpy(), np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1), _matrix(part.column("x").to_pylist())))
                     continue
-                codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
-                x, names = _matrix(part["x"]), part["class"].to_numpy()
-                for s in range(0, len(who), 256):
-                    w = who[s : s + 256]
-                    floor = np.array([found[i][0][k] if i in found and len(found[i][0]) > k else -np.inf for i in w.tolist()])
-                    for j, those, sc in best_in_list(ix, int(at), codes, x, q[w], [t[w] for t in tables], floor, k + 1, rerank):
-                        i = int(w[j])
-                        a, b = found.get(i, (np.zeros(0), np.zeros(0, np.int64)))
-                        a, b = np.concatenate([a, sc]), np.concatenate([b, names[those]])
-                        o = np.lexsort((b, -a))[: k + 1]
-                        found[i] = a[o], b[o]
-        out = []
-        queries = right["query"].to_numpy()
-        for i, (sc, ids) in found.items():
-            out.append(pd.DataFrame({"query": queries[i], "class": ids, "score": sc}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "class": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = held.groupBy("group", "block").cogroup(routed.groupBy("group", "block")).applyInPandas(search, "query long, class long, score double")
+                if parts:
+                    of, names, codes, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    lists = {int(at): (codes[of == at], x[of == at], names[of == at]) for at in np.unique(of)}
+                    parts = []
+                for s in range(0, b - a, 4096):
+                    yield _nearest_of(ix, lists, part.slice(s, 4096), k + 1, rerank)
+
+    found = met.mapInArrow(search, "query long, class long, score double")
     best = _smallest(found, ["query"], [F.desc("score"), "class"], k + 1).checkpoint()
     # From classes to rows: a class stands for its first ids, and a query for every row with its vector.
     each = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))

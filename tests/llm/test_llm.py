@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from perfloom.llm import ann, decontaminate, gsaca, html_text, line_dedup, near_dup, packing, pii, quality, queries, suffix_dedup, token_count
 from perfloom.llm.components import components
-from perfloom.llm.shingles import sets
 
 DATA = "/root/testdata/sf0.001"
 #: Columns whose names the operators use inside or give.
@@ -69,34 +69,79 @@ def test_components_are_those_of_union_find(spark):
     assert got == {x: find(x) for x in parent}
 
 
-def test_near_duplicates(spark, odd, empty):
-    rows = odd_rows()
-    texts = {i: t for i, t in rows if i is not None}
-    found = dict(zip(texts, sets([(t or "").encode() for t in texts.values()]), strict=True))
-    label = {i: i for i in texts}
+def _shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _components(rows):
+    """(set size, smallest doc_id reachable) by doc_id, of rows whose ids are their own."""
+    found = {i: _shingles(t) for i, t in rows if i is not None}
+    label = {i: i for i in found}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for a in texts:
-        for b in texts:
-            if a < b and len(found[a]) and len(found[b]):
-                both = len(np.intersect1d(found[a], found[b]))
-                if 100 * both >= 75 * (len(found[a]) + len(found[b]) - both):
-                    x, y = find(a), find(b)
-                    label[max(x, y)] = min(x, y)
+    ids = sorted(found)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(found[a] & found[b])
+            if both and 100 * both >= 75 * (len(found[a]) + len(found[b]) - both):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {i: (len(found[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates(spark, odd, empty):
+    rows = odd_rows()
+    want = _components(rows)
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(found[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+            assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_mixed_buckets(spark):
+    """Texts from one template that share too little to be linked, groups of near copies among them, and a hot group of copies."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template = [word() for _ in range(75)]
+    rows = []
+    for g in range(60):
+        own = [word() for _ in range(28)]
+        for _ in range(rng.choice([1, 1, 1, 2, 5])):
+            t = template + own
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                t[rng.randrange(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    rows += [(1000 + i, " ".join(template)) for i in range(150)] + [(2000 + i, "") for i in range(100)]
+    want = _components(rows)
+    assert len({c for _, c in want.values()}) > 40
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_first_shingles_meet(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    x = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(0, 1 << 63, 40 - k, np.uint64)])) for k in rng.integers(20, 41, 80)]
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "doc_id long, shingles binary")
+    first = {}
+    for r in near_dup._first_shingles(df, 0.75).collect():
+        first.setdefault(r.doc_id, set()).add(r.token)
+    for i in range(80):
+        assert len(first[i]) == len(x[i]) - int(np.ceil(0.75 * len(x[i]))) + 1
+        for j in range(i):
+            both = len(np.intersect1d(x[i], x[j]))
+            assert 100 * both < 75 * (len(x[i]) + len(x[j]) - both) or first[i] & first[j]
+
+
 def test_bayesian_bounds_follow_the_posterior():
     for n, least in near_dup.least_matches(128, 16, 0.75, 1e-6):
         from math import comb
@@ -182,19 +227,8 @@ def test_edit_automaton_and_filters(spark):
             assert not want or (near[i].m and near[i].c)
 
 
-def test_line_dedup(spark, empty):
-    rng = random.Random(4)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(28, 60))) for _ in range(12)]
-    rows = []
-    for i in range(40):
-        out = []
-        for _ in range(rng.randint(1, 6)):
-            x = list(rng.choice([*base, "short", "---", "exactly twelve"]))
-            for _ in range(rng.choice([0, 0, 1, 2, 3])):
-                x[rng.randrange(len(x))] = rng.choice("abcxyz")
-            out.append("".join(x))
-        rows.append((i, "\n".join(out)))
-    rows += [(100, None), (101, ""), (102, base[0] + "\n" + base[0]), (None, base[1]), (103, "y" * 50_000)]
+def _lines_left(rows):
+    """The texts, by doc_id, without lines that equal or are near an earlier one; doc_ids must not repeat."""
     seen, used, want = [], set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None and r[1] is not None)):
         kept = []
@@ -209,6 +243,23 @@ def test_line_dedup(spark, empty):
                     continue
             kept.append(x)
         want[i] = "\n".join(kept)
+    return want
+
+
+def test_line_dedup(spark, empty):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(28, 60))) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        out = []
+        for _ in range(rng.randint(1, 6)):
+            x = list(rng.choice([*base, "short", "---", "exactly twelve"]))
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                x[rng.randrange(len(x))] = rng.choice("abcxyz")
+            out.append("".join(x))
+        rows.append((i, "\n".join(out)))
+    rows += [(100, None), (101, ""), (102, base[0] + "\n" + base[0]), (None, base[1]), (103, "y" * 50_000)]
+    want = _lines_left(rows)
     # A line near an earlier one goes wherever it stands; so do its own copies.
     got = line_dedup.dedup_lines(documents(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -240,6 +291,68 @@ def test_decontamination(spark, odd, empty):
     assert {d for d, _ in clean} <= left
 
 
+def _least_edits(item, words):
+    """The fewest edits between an item and any run of words of a text."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("kind", ["change", "insert", "delete", "mix"])
+def test_recall_of_edited_items(kind):
+    rng = random.Random(kind)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [[word() for _ in range(rng.randint(7, 60))] for _ in range(120)]
+    found = decontaminate.Items([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    for rate in (0.05, 0.1, 0.15):
+        want, docs = set(), []
+        for i, t in enumerate(items):
+            x = list(t)
+            for _ in range(int(rate * len(t) + 1e-9)):
+                k = rng.choice(["change", "insert", "delete"]) if kind == "mix" else kind
+                if k == "insert":
+                    x.insert(rng.randint(0, len(x)), word())
+                elif k == "delete":
+                    x.pop(rng.randrange(len(x)))
+                else:
+                    x[rng.randrange(len(x))] = word()
+            text = [word() for _ in range(20)] + x + [word() for _ in range(20)]
+            docs.append((i, decontaminate.sequences([" ".join(text).encode()])[0]))
+            if (d := _least_edits(t, text)) <= decontaminate.EDITS * len(t):
+                want.add((i, i, d))
+        got = list(found.find(iter(docs)))
+        assert len({(d, i) for d, i, *_ in got}) == len(got)
+        # What is found has its true distance, and little is missed.
+        assert {(d, i) for d, i, *_ in got} <= {(d, i) for d, i, _ in want}
+        right = {(d, i, e) for d, i, _, _, e in got}
+        assert len(want) > 100 and len(right & want) >= decontaminate.RECALL * len(want), (kind, rate, len(right & want), len(want))
+
+
+def test_short_and_unspaced_items(spark):
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "one two three"), (4, "\u6771\u4eac\u90fd\u306e\u4eba\u53e3\u306f\u4f55\u4eba\u3067\u3059\u304b"), (5, "..."), (6, None)], "item_id long, text string")
+    rows = [(1, "x ALPHA, y"), (2, "alphabet beta-gamma"), (3, "One, two; three! alpha alpha"), (4, "\u5148\u6708\u6771\u4eac\u90fd\u306e\u4eba\u53e3\u306f\u4f55\u4eba\u3067\u3057\u305f\u304b"), (5, "beta, x gamma one two")]
+    got = {(r.doc_id, r.item_id, r.n_edits) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (3, 1, 0)}
+    # 13 characters allow one edit; this one has it.
+    more = decontaminate.leaks(documents(spark, [(4, rows[3][1].replace("\u3057\u305f", "\u3059"))]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_edits) for r in more] == [(4, 4, 0)]
+
+
+def test_a_text_of_many_items_is_searched_in_parts(monkeypatch):
+    rng = random.Random(0)
+    items = [[f"w{rng.randrange(900)}" for _ in range(20)] for _ in range(30)]
+    found = decontaminate.Items([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    w = decontaminate.sequences([" ".join(x for _ in range(40) for t in items for x in t).encode()])[0]
+    whole = sorted(found.find(iter([("a", w), ("b", w[:50]), ("c", w[:900])])))
+    monkeypatch.setattr(decontaminate, "WINDOWS", 64)
+    assert sorted(found.find(iter([("a", w), ("b", w[:50]), ("c", w[:900])]))) == whole
+    assert {(d, i) for d, i, *_ in whole} >= {("a", i) for i in range(30)} and all(s == 20 * i for d, i, s, _, e in whole if d == "a" and e == 0)
+
+
 def test_quality(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.train(docs, labels.where(quality.fold() != 1))
@@ -252,6 +365,38 @@ def test_quality(spark, odd, empty):
     assert quality.score(odd, quality.train(odd, few)).first()["score"] > 0.99
 
 
+def test_scores_are_sums_of_table_cells():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    m = quality.fit(x, y, bins=12, pairs=4)
+    assert {m.pairs[0][0], m.pairs[0][1]} == {0, 1}
+    new = rng.normal(size=(300, 6))
+    place = lambda edges, v: sum(e <= v for e in edges)
+    for row, got in zip(new, m.score(new), strict=True):
+        f = m.base + sum(m.tables[j][place(m.edges[j], row[j])] for j in range(6))
+        f += sum(t[place(m.coarse[a], row[a]), place(m.coarse[b], row[b])] for a, b, t in m.pairs)
+        assert abs(got - 1 / (1 + np.exp(-f))) < 1e-9
+    right = (m.score(new) >= 0.5) == ((new[:, 0] > 0) ^ (new[:, 1] > 0.3))
+    assert right.mean() > 0.93
+
+
+def test_features_by_their_definitions():
+    texts = ["The quick, brown Fox! 42 % jumps.\nIt jumps.\nIt jumps.\n", "", "a|b #x", "\u00e9\u00e9 \u65e5\u672c " * 30]
+    got = quality.features([t.encode() for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        raw, v = t.encode(), dict(zip(quality.FEATURES, row, strict=True))
+        w = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+        solid = sum(map(len, w))
+        letters = sum(chr(c).isalpha() or c >= 128 for c in raw)
+        assert np.isclose(v["log_bytes"], np.log1p(len(raw))) and np.isclose(v["digits"], sum(48 <= c <= 57 for c in raw) / max(1, solid))
+        assert np.isclose(v["upper"], sum(65 <= c <= 90 for c in raw) / max(1, letters)) and np.isclose(v["bars"], raw.count(b"|") / max(1, solid))
+        assert np.isclose(v["mean_word"], solid / max(1, len(w))) and np.isclose(v["distinct_words"], len({x.lower() for x in w}) / max(1, len(w)))
+        assert np.isclose(v["distinct_shingles"], len(_shingles(t)) / max(1, len(w) - 4)) and np.isclose(v["log_lines"], np.log1p(sum(bool(x.strip()) for x in raw.split(b"\n"))))
+        p = np.array([raw.count(bytes([c])) for c in set(raw)]) / max(1, len(raw))
+        assert np.isclose(v["entropy"], -(p * np.log2(p)).sum())
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(400):
@@ -303,6 +448,50 @@ def test_embedded_elements_keep_their_text_and_the_page():
     assert [b.text for b in html_text.blocks(page)] == ["Let x be odd.", "No plugin.", "Plain.", "After.", "End"]
 
 
+def test_pages_of_a_megabyte_are_read_in_linear_time():
+    net = html_text.train([(html_text.blocks(p), y) for p, y in html_text.generated(40)])
+    for page, n in (("<div>a" * 170_000, 170_000), ("<p>" + "<b>x</b> " * 110_000, 1), ("<h1>a" * 170_000, 170_000), ("<div>" * 90_000 + "</span>" * 70_000 + "z", 1), ("<a " * 340_000, 1), ("<!-- a > b", 0), ("x <!doctype", 1)):
+        began = time.time()
+        found = html_text.blocks(page)
+        assert len(found) == n and time.time() - began < 10, page[:20]
+        if n == 170_000:
+            assert found[-1].path.depth == n
+            texts = html_text.main_texts([page, "<article><p>Some words.</p></article>"], net)
+            assert len(texts) == 2 and time.time() - began < 60
+
+
+def test_paths_add_up_as_their_tokens_do():
+    pages = [html_text.blocks(p) for p, _ in html_text.generated(20)] + [html_text.blocks("<div><p>a<p>b</div>c")]
+    f = html_text.Features(pages)
+    table = np.random.default_rng(1).normal(size=(html_text.PATH_BUCKETS, 3)).astype(np.float32)
+    every = [b for p in pages for b in p]
+
+    def tokens(path):
+        return [] if path is None else [*tokens(path.above), *path.tokens]
+
+    want = np.array([table[tokens(b.path)].sum(0) if b.path else np.zeros(3) for b in every])
+    assert np.allclose(f.path_sums(table)[f.path], want, atol=1e-4)
+    d = np.random.default_rng(2).normal(size=(len(every), 3)).astype(np.float32)
+    by_path = np.zeros((len(f.above), 3), np.float32)
+    np.add.at(by_path, f.path, d)
+    grown = np.zeros_like(table)
+    for b, x in zip(every, d, strict=True):
+        np.add.at(grown, tokens(b.path), x)
+    assert np.allclose(f.path_gradient(by_path), grown, atol=1e-3)
+
+
+def test_articles_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    told = right = 0
+    for r in pages.collect():
+        found = html_text.blocks(r.html or "")
+        if (y := html_text.told(found)) is not None:
+            told += 1
+            right += got[r.page_id] == "\n\n".join(b.text for b, k in zip(found, y, strict=True) if k)
+    assert told and right >= 0.99 * told, (right, told)
+
+
 def test_labeller_on_unseen_pages():
     learn = [(html_text.blocks(p), y) for p, y in html_text.generated(300)]
     net = html_text.train(learn)
@@ -344,6 +533,19 @@ def test_packing(spark, odd, empty):
     assert packing.cut(2048 * 2 + 1024 + 65) == [2048, 2048, 1024, 64, 1]
 
 
+def test_both_libraries_give_the_same_ids(spark):
+    """The faster library takes plain texts only; on these it must not differ from the one that counts."""
+    t = packing.tokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    rng = random.Random(12)
+    bits = ["'s", "'ll", "'RE", "  ", " ", "\n", "\n\n", "\t", "\r\n", "don't", "A1b2", "123456", "...", "--", "#$%", "\u00e9", "\u00df", "\u0178", "\u017f", "\u00c0\u00e0", "\u00d7", "\u00f7", "<|endoftext|>", "<|end", "|>", "_x_", "word", " word", "x" * 50, "=" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    plain = [x for x in texts if not packing._PLAIN.search(x.encode())]
+    assert len(plain) > 0.9 * len(texts)
+    for x, e in zip(plain, t.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        assert t.ids(x.encode()).tolist() == e.ids, x
+
+
 def test_token_counts(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -360,6 +562,42 @@ def test_token_counts(spark, odd, empty):
     assert token_count.count_tokens(empty).count() == 0
 
 
+def test_long_texts_without_white_space():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = ["a" * 30_001, "ab" * 20_000 + "c" + "abc" * 9_000, "".join(rng.choice(words) for _ in range(20_000)), "x " * 700 + "".join(rng.choice(words) for _ in range(9_000)) + "'s 12" + "q" * 5_000]
+    texts.append("\u00e9t\u00e9 \u65e5\u672c " * 3_000 + texts[1])
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for most in (token_count.MAX_STATES, 60):
+        t = token_count.Transducer(path, most)
+        assert t.counts([x.encode() for x in texts]).tolist() == want
+    # Twice the length takes about twice the time.
+    t, took = token_count.Transducer(path), []
+    few = ["".join(rng.choice(words[:40]) for _ in range(20))]
+    for n in (20_000, 40_000):
+        x = "".join(rng.choice(few) for _ in range(n)).encode()
+        t.counts([x[:100_000]])
+        began = time.time()
+        t.counts([x])
+        took.append(time.time() - began)
+    assert len(x) > 4_000_000 and took[1] < 4 * took[0] + 1, took
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    import public_tokenizers
+
+    t = token_count.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    text = ("It's \u00e9t\u00e9,\tfar\nand wide12 " * 500 + "b" * 3_000 + "\x0b end").encode()
+    whole = t.counts([text])[0]
+    monkeypatch.setattr(token_count, "BLOCK", 1_000)
+    assert t.counts([text, b"a b"]).tolist() == [whole, 2] and b"".join(token_count._parts(text)) == text
+
+
 def test_nearest_neighbours(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
@@ -372,7 +610,9 @@ def test_nearest_neighbours(spark):
         s = x @ x[q]
         best = [i for i in np.lexsort((ids, -s)) if i != q][:20]
         mine = sorted(got[ids[q]], key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(1, len(best) + 1)) and all(a.score >= b.score for a, b in zip(mine, mine[1:], strict=False))
+        assert [r.rank for r in mine] == list(range(1, len(best) + 1)) and all((-a.score, a.vec_id) < (-b.score, b.vec_id) for a, b in zip(mine, mine[1:], strict=False))
+        exact = dict(zip(ids.tolist(), s.tolist(), strict=True))
+        assert all(abs(r.score - exact[r.vec_id]) < 1e-12 for r in mine)
         hit += len({r.vec_id for r in mine} & set(ids[best].tolist()))
         total += len(best)
     assert hit / total >= 0.9
@@ -409,12 +649,17 @@ def test_no_candidate_of_a_list_is_cut():
 
 def test_nearest_neighbours_with_ties_and_bad_vectors(spark):
     v = np.random.default_rng(0).normal(size=(60, 8))
-    rows = [(i, v[0].tolist()) for i in range(60)] + [(100 + i, v[i].tolist()) for i in range(1, 40)] + [(300, None), (320, [0.0] * 8), (340, [float("nan")] * 8), (360, [1.0]), (380, [None] * 8), (None, v[1].tolist()), (40, v[0].tolist())]
+    rows = [(i, v[0].tolist()) for i in range(60)] + [(1, v[0].tolist())] * 25 + [(100 + i, v[i].tolist()) for i in range(1, 40)] + [(300, None), (320, [0.0] * 8), (340, [float("nan")] * 8), (360, [1.0]), (380, [None] * 8), (None, v[1].tolist()), (40, v[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1)).withColumn("query", F.lit(1))
     got = ann.nearest_neighbours(df, "vec_id % 20 = 0").collect()
     assert {r.query_id for r in got} == {0, 20, 40, 100 + 20}
-    own = float(v[0] @ v[0])
-    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 40 and abs(r.score - own) < 1e-9] == [i for i in range(21) if i != 40][:20] or max(float(v[0] @ w) for w in v[1:40]) > own
+    # Fewer classes than a query reads lists for: the search is exact, so that each row can be told.
+    every = [(i, np.array(x)) for i, x in dict((i, x) for i, x in rows if i is not None and x and len(x) == 8 and None not in x and any(x) and x[0] == x[0]).items()]
+    for q in (0, 20, 40, 120):
+        mine = dict(every)[q]
+        want = sorted(((-float(mine @ x), i) for i, x in every if i != q))[:20]
+        near = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in near] == [i for _, i in want] and np.allclose([r.score for r in near], [-s for s, _ in want])
     assert ann.nearest_neighbours(df.limit(0), "vec_id % 20 = 0").count() == 0 and ann.nearest_neighbours(df.where("vec_id = 20"), "true").count() == 0
 
 
@@ -431,12 +676,60 @@ def test_registered_queries_and_pipeline(spark):
     assert pieces.agg(F.sum("length")).first()[0] == corpus_pipeline.packing(spark, docs, DATA).agg(F.sum("length")).first()[0]
 
 
-def test_pipeline_stages_handle_odd_rows(spark):
-    docs = spark.createDataFrame(odd_rows(), "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(length(text) as long) n_chars")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DATA)
-        assert out.count() >= 0, name
-        assert stage(spark, docs.limit(0), DATA).count() == 0, name
-        if name == "MinHash near-dedup":
-            kept = {r.doc_id for r in near_dup.near_duplicates(docs).where("kept").collect()}
-            assert {r.doc_id for r in out.collect()} == kept
+def test_pipeline_stages_on_odd_rows(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    base = dict(odd_rows())[0]
+    more = [(600, "before it stands " + item + " and after"), (3, "x " + item), (610, base), (611, base), (611, "quite another text of eleven words that nothing else is like"), (611, base), (620, item)]
+    rows = odd_rows() + more
+    clash = {c: F.lit(7) for c in (*CLASHES, "text_hash", "__id", "__gone", "__hash", "item_id", "length", "offset", "ids")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(length(text) as long) n_chars").withColumns({c: v for c, v in clash.items() if not c.startswith("__")})
+    stage = dict(corpus_pipeline.STAGES)
+    held = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    out = stage["quality classifier"](spark, docs, DATA)
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet").where(quality.fold() != 1))
+    scores = model.score(quality.features([(t or "").encode() for _, t in rows]))
+    assert out.columns == docs.columns and held(out) == Counter(r for r, x in zip(rows, scores, strict=True) if x >= 0.5)
+    assert {r.score for r in out.collect()} <= {7}
+
+    single = [(i, t) for i, t in rows if i is None or sum(j == i for j, _ in rows) == 1]
+    lines = docs.join(spark.createDataFrame([(i,) for i, _ in single if i is not None], "doc_id long"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    out = stage["line dedup"](spark, lines, DATA)
+    left = _lines_left(single)
+    want = [(i, t if i is None or t is None else left[i]) for i, t in single]
+    want = [(i, t) for (i, t), (_, old) in zip(want, single, strict=True) if t == old or t.strip(" \n\t\r\f\v")]
+    assert out.columns == docs.columns and held(out) == Counter(want)
+    assert all(r.n_chars == len(r.text or "") and r.n_lines == 7 and r.n_removed == 7 for r in out.collect())
+
+    out = stage["MinHash near-dedup"](spark, docs, DATA)
+    # Each different text of a doc_id is judged by itself: those whose component begins with another document go.
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t)
+    gone = set()
+    for i, t in rows:
+        others = [(j, u) for j, us in texts.items() for u in us if j is not None and j != i]
+        if i is not None and _components([(i, t), *((k + 10_000, u) for k, (j, u) in enumerate(others) if j < i)])[i][0]:
+            mine = _shingles(t)
+            if any(mine and 100 * len(mine & _shingles(u)) >= 75 * len(mine | _shingles(u)) for j, u in others if j < i):
+                gone.add((i, t))
+    assert out.columns == docs.columns
+    kept = held(out)
+    assert not gone & set(kept) and kept[611, more[4][1]] == 1 and kept[611, base] == 0 and kept[610, base] == 0
+    assert all(kept[r] == n for r, n in Counter(rows).items() if r[0] is None or not _shingles(r[1]))
+    assert {r for r in set(rows) - set(kept)} == {(r.doc_id, t) for r, t in ((r, t) for r in near_dup.near_duplicates(docs).where("not kept").collect() for t in texts[r.doc_id] if _hash(spark, t) == r.text_hash)}
+
+    out = stage["benchmark decontamination"](spark, docs, DATA)
+    assert out.columns == docs.columns and held(out) == Counter(r for r in rows if r[0] not in (3, 600, 620))
+
+    out = stage["packing"](spark, docs, DATA)
+    by = Counter()
+    for r in out.collect():
+        by[r.doc_id] += r.length
+    assert by[500] == 1 and by[501] == 1 and sum(by.values()) == sum(len(packing.tokens("byte_bpe_50k.json", None).ids((t or "").encode())) + 1 for _, t in rows)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def _hash(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(near_dup.text_hash()).first()[0]

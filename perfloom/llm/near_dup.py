@@ -4,10 +4,10 @@
 2. Signatures are cut into bands; equal bands form buckets. In each bucket every member is compared with the smallest
    one. Members that end up in another component than it are then compared with the smallest of their own kind. A bucket
    of one group thus costs as many comparisons as it has members.
-3. Buckets that still hold members of several components are settled without pairing their members: two sets that reach
-   the threshold share one of the `1 - threshold` of either set's shingles that come first in any fixed order of all
-   shingles. With the rare ones first, by a sketch of their counts, only sets that share a rare shingle and stand in
-   different components are compared. No link is lost by that.
+3. In buckets that still hold members of several components, members of different ones are compared. Two bounds rule
+   most of that out before, and no linked pair: a member of whose shingles more than `1 - threshold` are in no other
+   document is linked to none, so texts that only share a template are not paired; and a pair shares no more than the
+   smaller of its counts of shingles in each of `PARTS` parts of their hashes.
 4. A comparison first reads the signatures in batches: with m of n equal minima the similarity has a Beta posterior,
    and the pair is dropped as soon as the chance of reaching the threshold falls below `miss`.
 5. What survives is confirmed on the full sets, and the links' connected components are found.
@@ -31,9 +31,7 @@ from perfloom.llm.components import components
 from perfloom.llm.shingles import MinHash, sets
 from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, slices, small_batches, spread_join
 
-BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP = 32, 4, 5, 0.75, 1e-6, 16
-#: Counters of the sketch of shingles' counts: 2 MB.
-COUNTERS = 1 << 18
+BANDS, ROWS, WIDTH, THRESHOLD, MISS, STEP, PARTS = 32, 4, 5, 0.75, 1e-6, 16, 64
 
 
 def least_matches(total: int, step: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -113,37 +111,26 @@ def _confirmed(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFram
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
-def _first_shingles(found: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, token: of `found` (doc_id, shingles), the shingles of which two rows that reach the threshold have one in common.
+def _common_parts(found: DataFrame) -> DataFrame:
+    """doc_id, parts: of `found` (doc_id, shingles), how many shingles of each of PARTS residues a row shares with any other row."""
 
-    Shingles are ordered by a sketch of how many rows have them, then by themselves.
-    """
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, raw in slices(batches, 0):
-            for r in raw:
-                total += np.bincount(np.frombuffer(r, np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    counts = found.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    load = np.zeros(COUNTERS, np.int64)
-    load[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
-    raw_load = load.tobytes()
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in slices(batches, 1):
+            out = [np.bincount(np.frombuffer(r, np.int64) % PARTS, minlength=PARTS) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "parts"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.frombuffer(raw_load, np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, 1):
-            out = []
-            for r in raw:
-                x = np.frombuffer(r, np.uint64)
-                keep = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
-                out.append(x[np.lexsort((x, n[x % np.uint64(COUNTERS)]))[:keep]].view(np.int64))
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(out))], ["doc_id", "token"])
+            x = [np.frombuffer(r, np.int64) for r in raw]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(v) for v in x])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(x))], ["doc_id", "shingle"])
 
-    return found.select("doc_id", "shingles").mapInArrow(first, "doc_id long, token long")
+    found = found.select("doc_id", "shingles")
+    once = found.mapInArrow(rows, "doc_id long, shingle long").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    alone = once.groupBy("doc_id", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
+    both = found.mapInArrow(totals, "doc_id long, parts array<int>").join(alone, "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda x, i: x - F.coalesce(F.try_element_at("alone", i), F.lit(0)))).alias("parts"))
 
 
 def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
@@ -197,20 +184,21 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
         edges = edges.unionAll(more).checkpoint()
         known, members = labelled(edges)
         apart = members.where("c <> c_leader")
-    # Whoever is apart still meets the members of other components that share one of its first shingles.
-    touched = members.join(apart.select("key").distinct(), "key", "left_semi").select("doc_id", "n_shingles", "c").distinct().checkpoint()
-    if touched.take(1):
-        tokens = _first_shingles(found.join(touched.select("doc_id").distinct(), "doc_id", "left_semi"), threshold).join(touched, "doc_id").checkpoint()
-        several = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token").checkpoint()
-        tokens = tokens.join(bounded(several), "token").checkpoint()
-        groups = tokens.select("token", "c").distinct()
-        # Components are paired before their members are, so that a large one meets only others.
-        meet = groups.join(groups.withColumnRenamed("c", "d"), "token").where("c < d")
-        side = lambda k, c: tokens.selectExpr("token", f"doc_id {k}", f"n_shingles n{k}", f"c {c}")
-        rest = meet.join(side("a", "c"), ["token", "c"]).join(side("b", "d"), ["token", "d"])
-        last = links(rest.where(f"100 * least(na, nb) >= {per_cent} * greatest(na, nb)").select("a", "b")).checkpoint()
-        if last.take(1):
-            known = components(edges.unionAll(last)).checkpoint()
+    # Whoever is apart still meets the members of other components. Shingles that no other document of these buckets has
+    # can't be common to a pair: members with too many of them are linked to none, and aren't paired. Nor can a pair have
+    # more in common than the smaller of its counts in each part of the hashes. This rules most pairs out, and no linked one.
+    touched = members.join(apart.select("key").distinct(), "key", "left_semi").checkpoint()
+    ids = bounded(touched.select("doc_id").distinct().checkpoint())
+    parts = _common_parts(found.join(ids, "doc_id", "left_semi")).withColumn("s", F.aggregate("parts", F.lit(0), lambda a, x: a + x)).checkpoint()
+    touched = touched.join(parts, "doc_id").where(f"100 * s >= {per_cent} * n_shingles").checkpoint()
+    other = touched.selectExpr("key", "doc_id b", "n_shingles nb", "c cb", "c_leader", "s sb", "parts pb")
+    rest = touched.where("c <> c_leader").selectExpr("key", "doc_id a", "n_shingles na", "c ca", "s sa", "parts pa").join(other, "key")
+    enough = f"{100 + per_cent} * {{}} >= {per_cent} * (na + nb)"
+    least = "aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0, (t, x) -> t + x)"
+    rest = rest.where(f"ca <> cb and (cb = c_leader or a < b) and {enough.format('least(sa, sb)')} and {enough.format(least)}").select("a", "b")
+    last = links(rest).checkpoint()
+    if last.take(1):
+        known = components(edges.unionAll(last)).checkpoint()
     grouped = classes.join(known.selectExpr("node rep", "component"), "rep", "left").where("n > 1 or component is not null")
     return sketch, grouped.select("n_shingles", "h1", "h2", "n", F.coalesce("component", "rep").alias("component")).checkpoint()
 

@@ -127,21 +127,6 @@ def test_near_duplicates_in_mixed_buckets(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_first_shingles_meet(spark):
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, 40, np.uint64)
-    x = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(0, 1 << 63, 40 - k, np.uint64)])) for k in rng.integers(20, 41, 80)]
-    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "doc_id long, shingles binary")
-    first = {}
-    for r in near_dup._first_shingles(df, 0.75).collect():
-        first.setdefault(r.doc_id, set()).add(r.token)
-    for i in range(80):
-        assert len(first[i]) == len(x[i]) - int(np.ceil(0.75 * len(x[i]))) + 1
-        for j in range(i):
-            both = len(np.intersect1d(x[i], x[j]))
-            assert 100 * both < 75 * (len(x[i]) + len(x[j]) - both) or first[i] & first[j]
-
-
 def test_bayesian_bounds_follow_the_posterior():
     for n, least in near_dup.least_matches(128, 16, 0.75, 1e-6):
         from math import comb

@@ -145,8 +145,8 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
     reps = reps.select("doc_id", "n_shingles", "signature").checkpoint()
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))
     banded = reps.select("doc_id", "n_shingles", F.explode(keys).alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").drop("last")
-    shared = banded.join(bounded(leaders.checkpoint()), "key").checkpoint()
+    leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("members")).where("leader <> last").drop("last").checkpoint()
+    shared = spread_join(banded, leaders, ["key"], "members", bands * reps.count()).checkpoint()
     involved = bounded(shared.select("doc_id").distinct().checkpoint())
     signatures = reps.join(involved, "doc_id", "left_semi").checkpoint()
     rows_of = docs.join(involved, "doc_id", "left_semi")

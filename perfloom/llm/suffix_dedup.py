@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from perfloom.llm import shingles
 from perfloom.llm.gsaca import suffix_array
-from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, dropped, slices, small_batches, stored
+from perfloom.llm.tables import bounded, brief_shuffles, checkpoints, dropped, slices, small_batches, spread_join, stored
 
 LENGTH, ANCHOR, CONTEXTS, BATCH, PAIRED = 200, 64, 20_000, 4_000, 12
 _U = np.uint64
@@ -273,20 +273,20 @@ def _counted(cut: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_contexts: int = CONTEXTS) -> DataFrame:
-    """u1, u2 (the text's hashes), spans: the disjoint runs of bytes (start, end) that go, in order."""
+    """u1, u2 (the text's hashes), spans, n_rows: the disjoint runs of bytes (start, end) that go, in order, and how many rows have the text."""
     checkpoints(docs.sparkSession)
     small_batches(docs.sparkSession)
     anchors = stored(_anchored(docs, length, anchor))
-    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").selectExpr("key", "lo <> hi mixed").checkpoint()
-    shared = stored(anchors.join(bounded(keys), "key"))
+    keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").selectExpr("key", "n rows", "lo <> hi mixed").checkpoint()
+    shared = stored(spread_join(anchors, keys, ["key"], "rows", anchors.count(), grows=True))
     each = shared.groupBy("key", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "p", "first", "last")).alias("x")).checkpoint()
     groups = each.where("mixed").groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("size")).where("least = 1 and size > 1").select("key", "size").checkpoint()
     wanted = each.join(bounded(groups), "key").select("key", "c", "size", "x.*")
     cut = _cut_out(docs, wanted, length).join(bounded(groups), "key").checkpoint()
     found = _resolved(cut.where(f"size <= {most_contexts}").drop("size"), length, anchor).unionAll(_counted(cut.where(f"size > {most_contexts}").drop("size"), length))
     whole = "array(struct(0 as a, 2147483647 as b))"
-    marks = each.select("key", "c", "n").join(found, ["key", "c"], "left").selectExpr("key", "c", f"case when n > 1 then {whole} else ranges end ranges").where("ranges is not null").checkpoint()
-    rows = shared.select("key", "c", "u1", "u2", "first", "last").join(bounded(marks), ["key", "c"])
+    marks = each.select("key", "c", "n").join(found, ["key", "c"], "left").selectExpr("key", "c", "n", f"case when n > 1 then {whole} else ranges end ranges").where("ranges is not null").checkpoint()
+    rows = spread_join(shared.select("key", "c", "u1", "u2", "first", "last"), marks, ["key", "c"], "n", shared.count(), grows=True)
     rows = rows.select("u1", "u2", F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("start"), (F.when(r["b"] > F.col("last") - F.col("first"), F.col("last")).otherwise(F.col("first") + r["b"]) + length).alias("end"))).alias("spans")).distinct()
     gathered = rows.groupBy("u1", "u2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -302,7 +302,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 out.append([{"start": int(x), "end": int(y)} for x, y in zip(s[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["u1", "u2", "spans"])
 
-    out = gathered.mapInArrow(merge, "u1 long, u2 long, spans array<struct<start:int,end:int>>").checkpoint()
+    # Every row of `docs` that is long enough has one context that begins with it.
+    holders = anchors.where("first = 0").groupBy("u1", "u2").agg(F.count("*").alias("n_rows"))
+    out = gathered.mapInArrow(merge, "u1 long, u2 long, spans array<struct<start:int,end:int>>").join(holders, ["u1", "u2"]).checkpoint()
     dropped(anchors)
     dropped(shared)
     return out
@@ -312,10 +314,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """`docs` with the remaining bytes as `kept` (binary) in place of `text`, and n_bytes, n_removed and n_spans."""
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     with brief_shuffles(docs.sparkSession):
-        spans = bounded(repeated_spans(docs, length, anchor, most_contexts))
+        spans = repeated_spans(docs, length, anchor, most_contexts)
     others = [c for c in docs.columns if c != "text"]
     plain = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(others)], F.col("text").cast("binary").alias("text"), *[F.expr(e) for e in _IDENTITY])
-    rows = plain.join(spans, ["u1", "u2"], "left").select(*[f"d{i}" for i in range(len(others))], "text", "spans")
+    # Short texts, of which there may be many equal ones, lose nothing and need no join.
+    long = F.octet_length("text") >= length
+    rows = spread_join(plain.where(long), spans, ["u1", "u2"], "n_rows", docs.count(), "left")
+    rows = rows.unionByName(plain.where(F.coalesce(~long, F.lit(True))), allowMissingColumns=True).select(*[f"d{i}" for i in range(len(others))], "text", "spans")
     at = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,16 +76,18 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", grows: bool = False) -> DataFrame:
     """`rows` joined with `keyed`, one row for each key, whose column `count` has the number of `rows` with that key.
 
     Rows with a hot key don't meet in one task: the few hot keys are broadcast, and only the others are shuffled. `how`
-    is inner or left. Both sides should be checkpointed, as they are read twice.
+    is inner or left. Both sides should be checkpointed, as they are read twice. A `keyed` that grows with the data is not
+    even tried as a broadcast.
     """
     hot = F.col(count) > max(1.0, total * HOT_SHARE)
     few = F.broadcast(keyed.where(hot).drop(count))
     cold = rows.join(F.broadcast(keyed.where(hot).select(*keys)), keys, "left_anti")
-    return rows.join(few, keys).unionByName(cold.join(bounded(keyed.where(~hot).drop(count)), keys, how))
+    rest = keyed.where(~hot).drop(count)
+    return rows.join(few, keys).unionByName(cold.join(rest if grows else bounded(rest), keys, how))
 
 
 def sampled(df: DataFrame, n: int, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from perfloom.functions.text import lines
 
 # Endings of files that aren't tests, and of source files.
 NOT_TESTS = [".json", ".png", "csv", ".txt", ".md", ".jpg", ".jpeg", ".pkl", ".yml", ".yaml", ".toml"]
-SOURCES = [".py", ".pyx", ".pxd", ".pyi", ".c", ".cc", ".cpp", ".h", ".hpp", ".f", ".f90", ".rs", ".js", ".ts"]
+SOURCES = [".py", ".ini", ".f", ".pyx", ".h", ".build", ".cfg", ".cpp", ".json", ".pyi", ".pxd", ".yaml", ".toml", ".cxx"]
 
 
 def changed_lines(patch: Column) -> Column:

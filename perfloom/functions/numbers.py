@@ -39,9 +39,15 @@ def known(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def short_number(x: Column) -> Column:
-    """As a label: whole numbers plain, thousands with k, others with one decimal."""
-    return F.when(F.abs(x) >= 1000, F.concat(F.format_number(x / 1000, 1), F.lit("k"))).when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.format_string("%.1f", x))
+def short_number(x: Column, thousands: bool = False, percent: bool = False) -> Column:
+    """As a label: whole numbers plain, others with one decimal; with `percent` always one and the sign, with `thousands` large ones as 12k. A dash for null."""
+    if percent:
+        out = F.format_string("%.1f%%", x)
+    else:
+        out = F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.format_string("%.1f", x))
+        if thousands:
+            out = F.when(x >= 1000, F.format_string("%.0fk", x / 1000)).otherwise(out)
+    return F.when(x.isNull(), "\u2014").otherwise(out)
 
 
 def bucket_right(x: Column, edges: list[float]) -> Column:

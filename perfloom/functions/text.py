@@ -86,12 +86,12 @@ def label_contains(labels: Column, values: list[str]) -> Column:
 def issue_references(text: Column, commits: Column | None = None) -> Column:
     """The numbers of issues that a text says it closes."""
     body = without_comments(F.concat_ws("\n", text, *([commits] if commits is not None else [])))
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?i)\b(?:{'|'.join(CLOSING_WORDS)})\b[:\s]+#(\d+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?i)(?<!\w)(?:{'|'.join(CLOSING_WORDS)})\s+#(\d+)"), F.lit(1)))
 
 
 def code_blocks(text: Column) -> Column:
     """The bodies of fenced blocks, but those of suggestions."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)```(?!suggestion)[^\n`]*\n(.*?)```"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"(?ms)^```(?!suggestion)(?:\w+)?\s*\n(.*?)(?=^```)\n?```"), F.lit(1))
 
 
 def first_code_block(text: Column) -> Column:

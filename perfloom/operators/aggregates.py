@@ -112,6 +112,41 @@ def overlap_means(df: DataFrame, measure: str) -> DataFrame:
     return df.agg(*[F.avg(F.coalesce(m(c), F.lit(0.0))).alias(f"macro_{c}") for c in names], *[F.avg(m(c)).alias(f"evaluated_{c}") for c in names], F.avg(m("hit")).alias("hit_rate"), F.avg(m("exact")).alias("exact_rate"))
 
 
+def overlap_totals(df: DataFrame, truth: str, found: str) -> DataFrame:
+    """One row of how two columns of sets agree. Rows where both are empty are skipped; macro means divide by all rows all the same.
+
+    Micro Jaccard is the sum of common elements over the sum of united ones. Without anything found precision is 0, without
+    truth recall is 0.
+    """
+    g, p = F.size(F.array_distinct(truth)), F.size(F.array_distinct(found))
+    rows = df.select(g.alias("g"), p.alias("p"), F.size(F.array_intersect(truth, found)).alias("both"), F.size(F.array_union(truth, found)).alias("either")).withColumn("used", F.col("either") > 0)
+    prec, rec = F.coalesce(F.try_divide("both", "p"), F.lit(0.0)), F.coalesce(F.try_divide("both", "g"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
+    macro = lambda x, name: F.coalesce(F.try_divide(F.sum(F.when(F.col("used"), x)), F.count("*")), F.lit(0.0)).alias(name)
+    rate = lambda c, name: F.coalesce(F.try_divide(F.count_if(F.col("used") & c), F.count_if("used")), F.lit(0.0)).alias(name)
+    return rows.agg(
+        F.count_if("used").alias("evaluated"), F.count_if(~F.col("used")).alias("skipped"), rate(F.col("both") > 0, "hit_rate"), rate(F.col("both") == F.col("either"), "exact_rate"),
+        macro(F.try_divide("both", "either"), "macro_jaccard"), macro(prec, "macro_precision"), macro(rec, "macro_recall"), macro(f1, "macro_f1"),
+        F.coalesce(F.try_divide(F.sum("both"), F.sum("either")), F.lit(0.0)).alias("micro_jaccard"),
+    )
+
+
+def extension_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """ext, n: how often the files of either set of a row end with each extension; files without one count as an empty one."""
+    files = df.select(F.explode(F.array_union(a, b)).alias("_f"))
+    return files.groupBy(F.regexp_extract("_f", r"[^/](\.[^./]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
+
+
+def slowest_runs(runs: DataFrame, key: str, seconds: str, limit: float = 600.0) -> DataFrame:
+    """key, longest, all_below: the longest time over the runs that report one, and whether each of these is below `limit`."""
+    return runs.groupBy(key).agg(F.max(seconds).alias("longest"), F.coalesce(F.bool_and(F.col(seconds) < limit), F.lit(True)).alias("all_below"))
+
+
+def selected_histogram(df: DataFrame, bin: str, selected: Column) -> DataFrame:
+    """bin, n, n_selected."""
+    return df.groupBy(bin).agg(F.count("*").alias("n"), F.count_if(selected).alias("n_selected"))
+
+
 def expert_coverage(expert: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
     """by, file_coverage, func_coverage, wrong_file_loss, in_file_loss from positive gains (file, func, gain).
 

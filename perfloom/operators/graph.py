@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: keeps the cluster's folder and sets a local one only where none is named (tests)."""
+    """Makes checkpoint() usable with the folder that spark.checkpoint.dir names; without one, a local session (a test) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def depths(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most: int = 20) -> DataFrame:
-    """by, node, depth: the least number of calls from any root, up to `most`.
+def depths(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """by, node, depth: the least number of calls from any root, up to `most` if that is given.
 
     A round joins the frontier with the edges and leaves out what is known, so cycles end; it stops when nothing is new.
     Edges and rounds are checkpointed, so that no round repeats the ones before.
@@ -26,20 +31,24 @@ def depths(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most
     e = edges.select(*by, "caller", "callee").distinct().checkpoint()
     known = roots.select(*by, F.col("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = known
-    for d in range(1, most + 1):
+    for d in count(1):
+        if most is not None and d > most:
+            break
         step = frontier.withColumnRenamed("node", "caller").join(e, [*by, "caller"]).select(*by, F.col("callee").alias("node")).distinct()
         frontier = step.join(known.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if not frontier.take(1):
             break
         known = known.unionByName(frontier)
+        if d % 8 == 0:
+            known = known.checkpoint()
     return known
 
 
-def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most: int = 20) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most: int | None = None) -> DataFrame:
     return depths(edges, roots, by, most).drop("depth")
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame, by: list[str] | None = None, most: int = 20) -> DataFrame:
+def ancestors(edges: DataFrame, nodes: DataFrame, by: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Everything from which a node is reached, the nodes themselves included."""
     back = edges.select(*(by or []), F.col("callee").alias("caller"), F.col("caller").alias("callee"))
     return reachable(back, nodes, by, most)
@@ -55,3 +64,25 @@ def heaviest_root(nodes: DataFrame, by: list[str], name: str, value: str, wanted
     exact = F.max_by(name, F.when(F.col(name) == wanted, F.struct(F.col(value), F.col(name))))
     near = F.max_by(name, F.when(F.contains(name, F.lit(wanted)), F.struct(F.col(value), F.col(name))))
     return nodes.groupBy(*by).agg(F.coalesce(exact, near).alias("root"))
+
+
+def referenced_files(references: DataFrame, tests: DataFrame, most: int, wanted: DataFrame | None = None) -> DataFrame:
+    """test, file, depth: the files that a test's references lead to, breadth first, at most `most` references beyond the test.
+
+    References are (file, uses). Files of tests are only entered as roots; `wanted` (file) keeps some files of the result.
+    """
+    of_test = F.contains(F.lower(F.element_at(F.split("callee", "/"), -1)), F.lit("test"))
+    edges = references.selectExpr("file caller", "uses callee").where(~of_test)
+    roots = tests.select("test", F.col("test").alias("node"))
+    checkpoints(references.sparkSession)
+    # A frontier of (test, file) pairs: each test searches for itself.
+    known = roots.withColumn("depth", F.lit(0)).checkpoint()
+    frontier = known
+    for d in range(1, most + 1):
+        step = frontier.join(edges, F.col("node") == F.col("caller")).select("test", F.col("callee").alias("node")).distinct()
+        frontier = step.join(known.select("test", "node"), ["test", "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        if not frontier.take(1):
+            break
+        known = known.unionByName(frontier)
+    out = known.select("test", F.col("node").alias("file"), "depth")
+    return out.join(wanted, "file", "left_semi") if wanted is not None else out

@@ -94,9 +94,15 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, s
     return out.where(meet & (F.col("_bucket") == F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width))).drop("_bucket")
 
 
-def contained(points: DataFrame, spans: DataFrame, by: list[str], point: tuple[str, str], span: tuple[str, str]) -> DataFrame:
-    """Rows of `points` whose half-open range lies within one of `spans`."""
-    return points.join(spans, [points[k] == spans[k] for k in by] + [spans[span[0]] <= points[point[0]], points[point[1]] <= spans[span[1]]], "left_semi")
+def contained(points: DataFrame, spans: DataFrame, by: list[str], point: tuple[str, str], span: tuple[str, str], width: int = 100) -> DataFrame:
+    """Rows of `points` whose half-open range lies within one of `spans`.
+
+    A span lies in every bucket of `width` that it touches and a range in that of its begin, so the join has an equi-key.
+    """
+    a = points.withColumn("_bucket", F.floor(F.col(point[0]) / width))
+    b = spans.where(F.col(span[0]) <= F.col(span[1])).select(*by, F.col(span[0]).alias("_from"), F.col(span[1]).alias("_to"), F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width))).alias("_bucket"))
+    keys = [*by, "_bucket"]
+    return a.join(b, [a[k].eqNullSafe(b[k]) for k in keys] + [b["_from"] <= a[point[0]], a[point[1]] <= b["_to"]], "left_semi").drop("_bucket")
 
 
 def covering_tests(coverage: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,11 +111,44 @@ def covering_tests(coverage: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def same_path(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of paths of which one ends with the other. They have the last part in common, which is the join's key."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    out = a.withColumn("_last", last(left)).join(b.withColumn("_last", last(right)), "_last").drop("_last")
-    slash = lambda c: F.concat(F.lit("/"), F.col(c))
-    return out.where(slash(left).endswith(slash(right)) | slash(right).endswith(slash(left)))
+    """Pairs of paths with the same last part, or of which one ends with the other, at a slash or not; empty ones match nothing.
+
+    Paths that end with each other have the same last part, unless the shorter one is a last part's own tail: so the
+    join is on last parts and on tails, and no path meets all others.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"/(\./)*/*", "/"), r"^\./|(?<=.)/$", "")
+    ids = lambda df, c, n: df.where(F.trim(c) != "").select("*", plain(F.col(c)).alias(f"_{n}"), F.element_at(F.split(plain(F.col(c)), "/"), -1).alias(f"_{n}_last"))
+    x, y = ids(a, left, "x"), ids(b, right, "y")
+    tails = lambda n: F.explode(F.transform(F.sequence(F.lit(2), F.length(f"_{n}_last")), lambda i: F.substring(f"_{n}_last", i, F.length(f"_{n}_last")))).alias("_tail")
+    same = x.join(y, F.col("_x_last") == F.col("_y_last"))
+    bare = lambda df, n: df.where(~F.contains(f"_{n}", F.lit("/"))).withColumn("_tail", F.col(f"_{n}"))
+    long = lambda df, n: df.where(F.length(f"_{n}_last") > 1).select("*", tails(n))
+    over = long(x, "x").join(bare(y, "y"), "_tail").drop("_tail")
+    under = bare(x, "x").join(long(y, "y"), "_tail").drop("_tail")
+    return same.unionByName(over).unionByName(under).drop("_x", "_y", "_x_last", "_y_last")
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of two lists paired by their places within `keys`: columns of `a`, those of `b` as `other`, and `place` from 0.
+
+    Where both sides have an id, join on that instead; a place says nothing once a row is missing.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    at = lambda df: df.withColumn("place", F.row_number().over(w) - 1)
+    other = at(b).select(*keys, "place", F.struct(*b.columns).alias("other"))
+    return at(a).join(other, [*keys, "place"])
+
+
+def relevant_tests(covering: DataFrame, files: DataFrame, named: Column) -> DataFrame:
+    """Tests that coverage found, and files that are tests by their name: a set."""
+    return covering.select("test").union(files.where(named).select(F.col(files.columns[0]).alias("test"))).distinct()
+
+
+def first_found(wanted: DataFrame, held: DataFrame, key: str, paths: list[str]) -> DataFrame:
+    """key, path, text: of files staged as (key, path, text), the first of `paths` that a key has; null without any."""
+    order = F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("path"))
+    best = held.where(order > 0).groupBy(key).agg(F.min_by(F.struct("path", "text"), order).alias("_f"))
+    return wanted.select(key).join(best, key, "left").select(key, "_f.path", "_f.text")
 
 
 def not_imported(modules: DataFrame, imports: DataFrame, name: str, imported: str) -> DataFrame:

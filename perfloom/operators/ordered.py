@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,8 @@ from pyspark.sql import functions as F
 def range_of(df: DataFrame, x: str) -> Column:
     """The number of the range of x that a row falls into, of as many ranges as a shuffle has partitions.
 
-    The bounds are approximate quantiles, which are all that reaches the driver; ranges need not be of equal size.
+    The bounds are approximate quantiles, which are all that reaches the driver; ranges need not be of equal size. To find
+    them takes a pass over x when the plan is made, as a sort by range would take one too.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
@@ -121,10 +119,14 @@ def merged(df: DataFrame, by: list[str], start: str, end: str, gap: int = 0) ->
     return rows.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def smallest_span(points: DataFrame, spans: DataFrame, by: list[str], point: str, start: str, end: str, name: str) -> DataFrame:
-    """points with `name` of the shortest span around each point, the earliest of several; points in none are left out."""
+def smallest_span(points: DataFrame, spans: DataFrame, by: list[str], point: str, start: str, end: str, name: str, width: int = 100) -> DataFrame:
+    """points with `name` of the shortest span around each point, the earliest of several; points in none are left out.
+
+    Spans are spread over buckets of `width`, so a point meets only those that reach its own bucket.
+    """
     cols = points.columns
-    inside = points.join(spans, by).where(F.col(point).between(F.col(start), F.col(end)))
+    held = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    inside = points.withColumn("_bucket", F.floor(F.col(point) / width)).join(held, [*by, "_bucket"]).where(F.col(point).between(F.col(start), F.col(end)))
     return inside.groupBy(*cols).agg(F.min_by(name, F.struct(F.col(end) - F.col(start), F.col(start), F.col(name))).alias(name))
 
 
@@ -135,8 +137,9 @@ def last_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
 
 
 def unique_by(df: DataFrame, key: Column) -> DataFrame:
-    """Rows whose key no other row has."""
-    return df.withColumn("_k", key).withColumn("_n", F.count("*").over(Window.partitionBy("_k"))).where("_n = 1").drop("_k", "_n")
+    """Rows whose key no other row has. Rows of a key that repeats are merged before the shuffle."""
+    once = df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row")).where("_n = 1")
+    return once.select("_row.*")
 
 
 def layout(tree: DataFrame, by: list[str], levels: int) -> DataFrame:
@@ -158,68 +161,49 @@ def layout(tree: DataFrame, by: list[str], levels: int) -> DataFrame:
 def greedy_cover(nodes: DataFrame, by: str, cap: float) -> DataFrame:
     """by, node, rank: deepest first, then by gain; a chosen node bans its ancestors; stops when `cap` of the gain is reached.
 
-    Nodes are (by, node, depth, gain, ancestors). Each group is one profile's functions, a bounded number.
+    Nodes are (by, node, depth, gain, ancestors). A choice depends on all earlier ones, so each group, one profile's
+    functions, is folded in order as one array.
     """
+    kind = dict(nodes.dtypes)
+    item = F.struct((-F.col("depth")).alias("d"), (-F.col("gain")).alias("g"), F.col("node").alias("node"), F.col("ancestors").alias("ancestors"))
+    groups = nodes.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"), (F.sum("gain") * cap).cast("double").alias("goal"))
+    start = F.struct(F.lit(0.0).alias("got"), F.array().cast(f"array<{kind['node']}>").alias("banned"), F.array().cast(f"array<{kind['node']}>").alias("chosen"))
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        goal, got, banned, out = cap * group["gain"].sum(), 0.0, set(), []
-        for r in group.sort_values(["depth", "gain", "node"], ascending=[False, False, True]).itertuples():
-            if got >= goal:
-                break
-            if r.node in banned or r.gain <= 0:
-                continue
-            banned.update(r.ancestors)
-            got += r.gain
-            out.append((getattr(r, by), r.node, len(out) + 1))
-        return pd.DataFrame(out, columns=[by, "node", "rank"])
+    def step(acc: Column, x: Column) -> Column:
+        takes = (acc["got"] < F.col("goal")) & (x["g"] < 0) & ~F.array_contains(acc["banned"], x["node"])
+        grown = F.struct((acc["got"] - x["g"]).cast("double").alias("got"), F.array_union(acc["banned"], x["ancestors"]).alias("banned"), F.array_append(acc["chosen"], x["node"]).alias("chosen"))
+        return F.when(takes, grown).otherwise(acc)
 
-    kind = dict(nodes.dtypes)
-    return nodes.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, node {kind['node']}, rank int")
+    chosen = groups.select(by, F.aggregate("items", start, step, lambda acc: acc["chosen"]).alias("chosen"))
+    return chosen.select(by, F.posexplode("chosen").alias("rank", "node")).select(by, "node", (F.col("rank") + 1).alias("rank"))
 
 
 def minimal_patches(df: DataFrame, key: str, patch: str = "patch") -> DataFrame:
-    """key, patch without context lines around changes, with headers counted anew."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], patch: b[patch].map(lambda p: minimal_patch(p or ""))})
-
-    kind = dict(df.dtypes)
-    return df.select(key, patch).mapInPandas(run, f"{key} {kind[key]}, {patch} string")
-
-
-def minimal_patch(patch: str) -> str:
-    """A diff with each hunk cut to its changed lines, first to last, and its header counted anew."""
-    import re
-
-    out: list[str] = []
-    shift = 0
-    rows = patch.split("\n")
-    i = 0
-    while i < len(rows):
-        m = re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)", rows[i])
-        if not m:
-            if rows[i].startswith("diff --git"):
-                shift = 0
-            out.append(rows[i])
-            i += 1
-            continue
-        old = int(m[1])
-        left, right = int(m[2] or 1), int(m[4] or 1)
-        body = []
-        i += 1
-        while i < len(rows) and (left > 0 or right > 0 or rows[i].startswith("\\")):
-            body.append(rows[i])
-            left -= rows[i][:1] in ("-", " ", "")
-            right -= rows[i][:1] in ("+", " ", "")
-            i += 1
-        hits = [k for k, r in enumerate(body) if r[:1] in ("+", "-")]
-        if not hits:
-            continue
-        a, b = hits[0], hits[-1] + 1
-        old += sum(r[:1] != "+" for r in body[:a])
-        kept = body[a:b]
-        n_old, n_new = sum(r[:1] != "+" for r in kept), sum(r[:1] != "-" for r in kept)
-        out += [f"@@ -{old},{n_old} +{old + shift},{n_new} @@{m[5]}", *kept]
-        shift += n_new - n_old
-    return "\n".join(out)
+    """key, patch: each file's two header lines, and its hunks from the first changed line to the line behind the last.
+
+    Hunks are counted anew, those of a file shift by the changes before them, and lines lose their trailing white space.
+    Files that are new or gone have no old or new path and are left out; so are hunks without a change.
+    """
+    rows = df.select(key, F.posexplode(F.split(F.coalesce(patch, F.lit("")), "\n")).alias("pos", "line"))
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    head = r"^@@\s+-(\d+),(\d+)\s+\+(\d+),(\d+)\s+@@"
+    opens, cut = F.col("line").rlike("^--- a/"), F.col("line").rlike("^(diff |--- a/|@@ )")
+    rows = rows.withColumn("file", F.count_if(opens).over(upto)).withColumn("part", F.count_if(cut).over(upto))
+    start = F.regexp_extract("line", head, 1).try_cast("int")
+    whole = Window.partitionBy(key, "part")
+    rows = rows.withColumn("old", F.max(start).over(whole)).where("file > 0")
+    changed = F.col("line").rlike("^[+-]")
+    body = rows.where(F.col("old").isNotNull() & start.isNull())
+    body = body.withColumn("a", F.min(F.when(changed, F.col("pos"))).over(whole)).withColumn("b", F.max(F.when(changed, F.col("pos"))).over(whole))
+    kept = body.where("pos between a and b or pos = b + 1 and line <> ''")
+    before = body.where("pos < a").groupBy(key, "part").agg(F.count("*").alias("before"))
+    hunks = kept.groupBy(key, "file", "part").agg(
+        F.first("old").alias("old"), F.count_if(~F.col("line").startswith("+")).alias("n_old"), F.count_if(~F.col("line").startswith("-")).alias("n_new"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.rtrim("line").alias("line")))), lambda x: x["line"]), "\n").alias("text"),
+    )
+    earlier = Window.partitionBy(key, "file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    hunks = hunks.join(before, [key, "part"], "left").withColumn("old", F.col("old") + F.coalesce("before", F.lit(0))).withColumn("new", F.col("old") + F.coalesce(F.sum(F.col("n_new") - F.col("n_old")).over(earlier), F.lit(0)))
+    written = hunks.select(key, "file", "part", F.concat(F.lit("@@ -"), "old", F.lit(","), "n_old", F.lit(" +"), "new", F.lit(","), "n_new", F.lit(" @@\n"), "text").alias("text"))
+    heads = rows.where(F.col("line").rlike("^(--- a/|\\+\\+\\+ b/)") & F.col("old").isNull()).select(key, "file", (F.col("pos") - (1 << 30)).cast("long").alias("part"), F.col("line").alias("text"))
+    parts = heads.unionByName(written).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "part", "text"))), lambda x: x["text"]), "\n").alias("_new"))
+    return df.select(key).join(parts, key, "left").select(key, F.coalesce("_new", F.lit("")).alias(patch))

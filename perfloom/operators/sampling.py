@@ -31,19 +31,30 @@ def quotas(sizes: DataFrame, total: int, bin: str = "bin", n: str = "n") -> Data
 
 
 def stratified(df: DataFrame, key: str, bin: str, total: int, seed: str = "") -> DataFrame:
-    """`total` rows, each bin by its quota, those of the smallest hashes."""
-    q = quotas(df.groupBy(bin).agg(F.count("*").alias("n")), total, bin)
-    w = Window.partitionBy(bin).orderBy(hash_order(F.col(key), seed), key)
-    return df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(q), bin).where("_n <= quota").drop("_n", "quota")
+    """`total` rows, each bin by its quota, those of the smallest hashes.
+
+    Bins may be few and large. Ids are told apart by the first digits of their hashes: counts of these, which tasks make
+    for themselves, say from which digits on no row of a bin can be in the sample, and only the others are ranked.
+    """
+    sizes = df.groupBy(bin).agg(F.count("*").alias("n"))
+    q = F.broadcast(quotas(sizes, total, bin))
+    rows = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_d", F.left("_h", F.lit(3)))
+    up = Window.partitionBy(bin).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(bin, "_d").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0))).join(q, bin).where("_before < quota").select(bin, "_d")
+    rows = rows.join(F.broadcast(reach), [bin, "_d"], "left_semi")
+    w = Window.partitionBy(bin).orderBy("_h", key)
+    return rows.withColumn("_n", F.row_number().over(w)).join(q, bin).where("_n <= quota").select(*df.columns)
 
 
 def inverse_density(df: DataFrame, key: str, bins: list[str], total: int, seed: str = "") -> DataFrame:
     """`total` rows without replacement, rarer bins likelier: the largest keys of Efraimidis and Spirakis with weights 1 / bin size, multiplied over `bins`."""
-    weight = F.lit(1.0)
-    for b in bins:
-        weight = weight / F.count("*").over(Window.partitionBy(b))
+    rows, weight = df, F.lit(1.0)
+    for i, b in enumerate(bins):
+        # A bin's size is one row; there are few bins.
+        rows = rows.join(F.broadcast(df.groupBy(b).agg(F.count("*").alias(f"_c{i}"))), b)
+        weight = weight / F.col(f"_c{i}")
     u = (F.conv(F.left(hash_order(F.col(key), seed), F.lit(12)), 16, 10).cast("double") + 1) / float(1 << 48)
-    return df.withColumn("_w", weight).withColumn("_k", -F.ln(u) / F.col("_w")).orderBy("_k", key).limit(total).drop("_w", "_k")
+    return rows.withColumn("_k", -F.ln(u) / weight).orderBy("_k", key).limit(total).select(*df.columns)
 
 
 def three_way(df: DataFrame, key: str, columns: list[str], total: int, seed: str = "") -> DataFrame:

@@ -287,7 +287,7 @@ def line_coverage_semi(spark, d):
     return J.covering_tests(run, table(spark, d, "benchmark").select(F.lit("f").alias("file"), of("text")))
 
 
-@query("WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), q AS (SELECT page_id AS k, regexp_replace(u, '^[^/]*/', '') AS v FROM p) SELECT DISTINCT page_id, k FROM p JOIN q ON string_split(u,'/')[-1] = string_split(v,'/')[-1] WHERE (suffix('/'||u, '/'||v) OR suffix('/'||v, '/'||u))")
+@query("WITH p AS (SELECT page_id, rtrim(regexp_replace(url, '^https?://', ''), '/') AS u FROM pages), q AS (SELECT page_id AS k, regexp_replace(u, '^[^/]*/', '') AS v FROM p) SELECT DISTINCT page_id, k FROM p JOIN q ON u <> '' AND v <> '' AND (string_split(u,'/')[-1] = string_split(v,'/')[-1] OR suffix(u, v) OR suffix(v, u))")
 def fuzzy_path(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("u"))
     q = p.select(F.col("page_id").alias("k"), F.regexp_replace("u", "^[^/]*/", "").alias("v"))
@@ -387,10 +387,14 @@ def hash_key(spark, d):
     SELECT a, b, round(i/(x+y-i),4) AS jaccard, round(i/y,4) AS precision, round(i/x,4) AS recall FROM p"""
 )
 def jaccard_files(spark, d):
-    w = table(spark, d, "documents").select("source", F.explode(F.split("text", " ")).alias("word")).groupBy("source").agg(F.collect_set("word").alias("ws"))
-    # Sources are few; what is paired is one set for each.
-    p = w.select(F.col("source").alias("a"), F.col("ws").alias("x")).join(w.select(F.col("source").alias("b"), F.col("ws").alias("y")), F.expr("a < b"))
-    return p.select("a", "b", A.overlap(F.col("x"), F.col("y")).alias("m")).select("a", "b", _round("m.jaccard").alias("jaccard"), _round("m.precision").alias("precision"), _round("m.recall").alias("recall"))
+    words = table(spark, d, "documents").select("source", F.explode(F.split("text", " ")).alias("word")).distinct()
+    sizes = words.groupBy("source").agg(F.count("*").alias("n"))
+    # A word's sources, which are few, are paired; no vocabulary stands in one row.
+    pairs = words.groupBy("word").agg(F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") > 1)
+    pairs = pairs.select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("i"))
+    of = lambda k, n: F.broadcast(sizes.select(F.col("source").alias(k), F.col("n").alias(n)))
+    every = of("a", "x").crossJoin(of("b", "y")).where("a < b").join(pairs, ["a", "b"], "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    return every.select("a", "b", _round(F.col("i") / (F.col("x") + F.col("y") - F.col("i"))).alias("jaccard"), _round(F.col("i") / F.col("y")).alias("precision"), _round(F.col("i") / F.col("x")).alias("recall"))
 
 
 @query(
@@ -457,7 +461,14 @@ def graph_depth(spark, d):
     return G.depths(_edges(spark, d), spark.createDataFrame([("p1",)], "node string"), most=6)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE n AS (SELECT l_suppkey AS profile, l_partkey AS node, max(l_linenumber) AS depth, sum(l_quantity) AS gain FROM lineitem GROUP BY 1,2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY depth DESC, gain DESC, node) AS i, 0.8::DOUBLE*sum(gain) OVER (PARTITION BY profile) AS goal FROM n),
+    r(profile, i, got, banned, node, rank, took) AS (SELECT DISTINCT profile, 0::BIGINT, 0::DOUBLE, []::BIGINT[], NULL::BIGINT, 0, false FROM o UNION ALL
+      SELECT profile, i, CASE WHEN t THEN got+gain ELSE got END, CASE WHEN t THEN list_append(banned, (node+1)::BIGINT) ELSE banned END, node::BIGINT, rank+t::INT, t
+      FROM (SELECT r.profile, o.i, r.got, r.banned, o.node, o.gain, r.rank, r.got<o.goal AND o.gain>0 AND NOT list_contains(r.banned, o.node::BIGINT) AS t FROM r JOIN o ON r.profile=o.profile AND o.i=r.i+1))
+    SELECT profile, node, rank FROM r WHERE took"""
+)
 def greedy_select(spark, d):
     i = table(spark, d, "lineitem")
     nodes = i.groupBy(F.col("l_suppkey").alias("profile"), F.col("l_partkey").alias("node")).agg(F.max("l_linenumber").alias("depth"), F.sum("l_quantity").alias("gain"), F.array_distinct(F.collect_list(F.col("l_partkey") + 1)).alias("ancestors"))
@@ -474,7 +485,21 @@ def stratified_sample(spark, d):
     return S.stratified(o, "o_orderkey", "bin", 100, "s").select("o_orderkey", "bin")
 
 
-@query(None)
+def _three_way_sql() -> str:
+    bins, picks = [], []
+    for i, (c, n) in enumerate((("size", 30), ("price", 30))):
+        bins.append(f"least(greatest(floor(20.0*(ln({c})-(SELECT ln(min({c})) FROM i))/(SELECT ln(max({c}))-ln(min({c})) FROM i)),0),19)::INT AS bin_{i}")
+        picks.append(
+            f"""z{i} AS (SELECT bin_{i} AS b, count(*)*{n}.0::DOUBLE/(SELECT count(*) FROM r) AS share FROM r GROUP BY 1), q{i} AS (SELECT b, floor(share) + (row_number() OVER (ORDER BY share-floor(share) DESC, b) <= {n} - sum(floor(share)) OVER ())::INT AS quota FROM z{i}),
+            k{i} AS (SELECT k FROM (SELECT k, bin_{i} AS b, row_number() OVER (PARTITION BY bin_{i} ORDER BY md5(k::VARCHAR || 'wbin_{i}'), k) AS i FROM r) x JOIN q{i} USING (b) WHERE i<=quota)"""
+        )
+    return f"""WITH i AS (SELECT p_partkey AS k, p_size::DOUBLE AS size, p_retailprice::DOUBLE AS price FROM part), r AS (SELECT *, {', '.join(bins)} FROM i), {', '.join(picks)},
+    c AS (SELECT k FROM k0 UNION SELECT k FROM k1), u AS (SELECT r.*, count(*) OVER (PARTITION BY bin_0) AS c0, count(*) OVER (PARTITION BY bin_1) AS c1, (('0x'||left(md5(k::VARCHAR||'w'),12))::UBIGINT::DOUBLE+1)/281474976710656.0 AS x FROM r WHERE k NOT IN (SELECT k FROM c)),
+    m AS (SELECT k FROM u ORDER BY -ln(x)/(1.0/c0/c1), k LIMIT 60), a AS (SELECT k, 0 AS o FROM c UNION ALL SELECT k, 1 FROM m)
+    SELECT k AS p_partkey, size, price, bin_0, bin_1 FROM (SELECT * FROM a ORDER BY o, md5(k::VARCHAR||'w'), k LIMIT 60) JOIN r USING (k)"""
+
+
+@query(_three_way_sql())
 def weighted_sample(spark, d):
     i = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     return S.three_way(i, "p_partkey", ["size", "price"], 60, "w")
@@ -586,7 +611,7 @@ def curve_at_thresholds(spark, d):
 @query("SELECT o_orderkey, o_orderkey::VARCHAR || ' ' || (o_orderkey+1)::VARCHAR AS issues FROM orders")
 def issue_references(spark, d):
     k = F.col("o_orderkey")
-    text = F.concat(F.lit("Fixes #"), k, F.lit(", see #5 <!-- fixes #0 -->\nand it closes: #"), k + 1)
+    text = F.concat(F.lit("Fixes #"), k, F.lit(", see #5 <!-- fixes #0 -->\nand it closes #"), k + 1)
     return table(spark, d, "orders").select("o_orderkey", F.array_join(T.issue_references(text), " ").alias("issues"))
 
 

@@ -65,10 +65,31 @@ def candidates(pulls: DataFrame, patch: str = "patch", test_patch: str = "test_p
     return rows.where(F.trim(F.coalesce(test_patch, F.lit(""))) != "") if tests else rows
 
 
-def versioned(tasks: DataFrame, releases: DataFrame) -> DataFrame:
-    """Tasks with the version of the newest release before the day they were created; without one they go."""
-    days = tasks.withColumn("_day", F.left("created_at", F.lit(10)))
-    return J.as_of(days, releases, "_day", "release_date", "version").drop("_day").where("version is not null")
+def versioned(tasks: DataFrame, releases: DataFrame, repo: str = "repo") -> DataFrame:
+    """Tasks with the version of their repository's newest release before the day they were created; without one they go."""
+    days = tasks.drop("version").withColumn("_day", F.left("created_at", F.lit(10)))
+    return J.as_of(days, releases, "_day", "release_date", "version", [repo]).drop("_day").where("version is not null")
+
+
+# Tasks that are left out, tests that are left out, and tests that run in one thread, by parts of their names.
+IGNORED_INSTANCES = ["scikit-learn__scikit-learn-14075", "numpy__numpy-23088", "scipy__scipy-16449", "scikit-learn__scikit-learn-19934", "scipy__scipy-22610", "pandas-dev__pandas-36611"]
+SKIPPED_TESTS = [
+    "test_user_agent.py", "sklearn/tests/test_common.py", "pandas/tests/extension/json/test_json.py::TestArithmeticOps::test_arith_frame_with_scalar",
+    "pandas/tests/indexes/test_base.py::TestIndex::test_isin_nan_common_object", "pandas/tests/test_algos.py::TestIsin::test_different_nans", "test_nan",
+    "numpy/_core/tests/test_umath_accuracy.py::TestAccuracy::test_validate_svml_fp16", "numpy/_core/tests/test_scalarmath.py::test_array_scalar_ufunc_dtypes", "test_reindex_nan",
+    "pandas/tests/io/json/test_pandas.py::TestPandasContainer::test_roundtrip_simple[columns-True-True-float]", "pandas/tests/io/json/test_json_table_schema.py::TestTableOrient::test_build_series", "dropna",
+]
+SINGLE_THREAD_TESTS = ["pandas/tests/io", "xarray/tests/test_backends.py"]
+
+
+def usable_tests(tests: DataFrame, name: str = "test", skipped: list[str] = SKIPPED_TESTS, single: list[str] = SINGLE_THREAD_TESTS) -> DataFrame:
+    """Tests without those that `skipped` names by a part, and with `single_thread`; more patterns can be given for either."""
+    return J.without_matches(tests, skipped, name).withColumn("single_thread", T.contains_any(F.col(name), single))
+
+
+def without_ignored(instances: DataFrame, ignored: list[str] = IGNORED_INSTANCES, key: str = "instance_id") -> DataFrame:
+    rows = instances.sparkSession.createDataFrame([(i,) for i in ignored], f"{key} string")
+    return J.drop(instances, F.broadcast(rows), key)
 
 
 def passed_gates(runs: DataFrame, key: str, count: int) -> DataFrame:

@@ -37,7 +37,7 @@ def test_keywords_and_comments(spark):
     assert not one(spark, "<!-- faster -->nothing", T.about_performance)
     assert one(spark, "PERF: x", T.about_performance) and one(spark, "it is Faster", T.about_performance)
     assert not one(spark, None, T.about_performance)
-    assert one(spark, "Fixes #12, closes: #13 <!-- fixes #9 --> see #4", T.issue_references) == ["12", "13"]
+    assert one(spark, "Fixes #12, closes #13 <!-- fixes #9 --> see #4, prefixes #5, fix: #6", T.issue_references) == ["12", "13"]
 
 
 def test_small_texts(spark):

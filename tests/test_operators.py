@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +68,53 @@ def test_greedy_bans_ancestors(spark):
     assert [r.node for r in O.greedy_cover(n, "g", 0.9).orderBy("rank").collect()] == ["leaf", "other"]
 
 
-def test_minimal_patch():
-    patch = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,5 +1,6 @@\n a\n b\n-c\n+d\n+e\n f\n g\n@@ -20,2 +21,2 @@\n x\n-y\n+z"
-    assert O.minimal_patch(patch) == "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -3,1 +3,2 @@\n-c\n+d\n+e\n@@ -21,1 +22,1 @@\n-y\n+z"
+def test_minimal_patches(spark):
+    patch = "diff --git a/f b/f\nindex 1..2\n--- a/f\n+++ b/f\n@@ -1,5 +1,6 @@ def x\n a\n b\n-c  \n+d\n+e\n f\n g\n@@ -20,2 +21,2 @@\n x\n-y\n+z\n@@ -40,1 +41,1 @@\n same\ndiff --git a/g b/g\n--- a/g\n+++ b/g\n@@ -7,1 +9,1 @@\n-u\n+v\n"
+    want = "--- a/f\n+++ b/f\n@@ -3,2 +3,3 @@\n-c\n+d\n+e\n f\n@@ -21,1 +22,1 @@\n-y\n+z\n--- a/g\n+++ b/g\n@@ -7,1 +7,1 @@\n-u\n+v"
+    rows = spark.createDataFrame([(1, patch), (2, None), (3, "no patch"), (4, "--- /dev/null\n+++ b/n\n@@ -0,0 +1,1 @@\n+x")], "id int, patch string")
+    assert {r.id: r.patch for r in O.minimal_patches(rows, "id").collect()} == {1: want, 2: "", 3: "", 4: ""}
+
+
+def test_paths_match_by_name_or_end(spark):
+    left = ["lib/a/core.py", "core.py", "x/other.py", "/usr/lib/a/core.py", "b//./c.py", "", "ore.py"]
+    right = ["a/core.py", "re.py", "core.py", "b/c.py", "zcore.py", " ", "q.py"]
+    a, b = spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string")
+
+    def meets(x, y):
+        x, y = (os.path.normpath(p.strip()) if p.strip() else "" for p in (x, y))
+        return bool(x and y) and (os.path.basename(x) == os.path.basename(y) or x.endswith(y) or y.endswith(x))
+
+    assert sorted(map(tuple, J.same_path(a, b, "l", "r").collect())) == sorted((x, y) for x in left for y in right if meets(x, y))
+
+
+def test_spans_and_pairs(spark):
+    p = spark.createDataFrame([(1, 5, 6), (1, 150, 260), (1, 150, 240), (2, 5, 6), (None, 5, 6)], "k int, a int, b int")
+    s = spark.createDataFrame([(1, 0, 10), (1, 120, 250), (1, 9, 3), (None, 0, 9)], "k int, s int, e int")
+    assert sorted((r.k or 0, r.a, r.b) for r in J.contained(p, s, ["k"], ("a", "b"), ("s", "e")).collect()) == [(0, 5, 6), (1, 5, 6), (1, 150, 240)]
+    x = spark.createDataFrame([("m", 3, "a"), ("m", 1, "b"), ("n", 1, "c")], "g string, at int, v string")
+    y = spark.createDataFrame([("m", 7, "p"), ("m", 9, "q"), ("m", 11, "r")], "g string, at int, v string")
+    assert sorted((r.place, r.v, r.other.v) for r in J.paired(x, y, ["g"], "at").collect()) == [(0, "b", "p"), (1, "a", "q")]
+    z = spark.createDataFrame([(1, "p2", "t2"), (1, "p1", "t1"), (2, "no", "x")], "id int, path string, text string")
+    ids = spark.createDataFrame([(1,), (2,)], "id int")
+    assert sorted((r.id, r.path) for r in J.first_found(ids, z, "id", ["p1", "p2"]).collect()) == [(1, "p1"), (2, None)]
+
+
+def test_overlap_totals_and_extensions(spark):
+    x = spark.createDataFrame([(["a.py", "b.py"], ["b.py", "c.h"]), ([], []), (["a.py"], ["a.py"]), (["x"], [])], "g array<string>, p array<string>")
+    r = A.overlap_totals(x, "g", "p").first()
+    assert (r.evaluated, r.skipped) == (3, 1) and r.hit_rate == pytest.approx(2 / 3) and r.exact_rate == pytest.approx(1 / 3)
+    assert r.macro_jaccard == pytest.approx((1 / 3 + 1) / 4) and r.micro_jaccard == pytest.approx(2 / 5)
+    assert r.macro_precision == pytest.approx(1.5 / 4) and r.macro_recall == pytest.approx(1.5 / 4) and r.macro_f1 == pytest.approx(1.5 / 4)
+    assert {(e.ext, e.n) for e in A.extension_counts(x, "g", "p").collect()} == {(".py", 3), (".h", 1), ("", 1)}
+
+
+def test_references_of_tests(spark):
+    e = spark.createDataFrame([("test_a.py", "m.py"), ("m.py", "n.py"), ("n.py", "o.py"), ("n.py", "m.py"), ("m.py", "test_b.py"), ("test_b.py", "z.py")], "file string, uses string")
+    t = spark.createDataFrame([("test_a.py",), ("test_b.py",)], "test string")
+    got = {(r.test, r.file, r.depth) for r in G.referenced_files(e, t, 2).collect()}
+    assert got == {("test_a.py", "test_a.py", 0), ("test_a.py", "m.py", 1), ("test_a.py", "n.py", 2), ("test_b.py", "test_b.py", 0), ("test_b.py", "z.py", 1)}
+    long = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(30)], "caller string, callee string")
+    assert G.reachable(long, spark.createDataFrame([("n000",)], "node string")).count() == 31
 
 
 def test_costs_are_exact(spark):

@@ -140,6 +140,7 @@ def unique_prefixes(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("prefix", prefix).groupBy(key, "prefix").agg(F.count("*").alias("n"), F.max("status").alias("status")).where("n = 1").selectExpr(key, "prefix test", "status")
 
 
+# What the runners of two projects write, here and in `sympy` below.
 def django(logs: DataFrame, key: str, log: str = "log") -> DataFrame:
     """The runner's lines `name ... ok`, and a lone `ok` that belongs to the last name begun before it."""
     rows = log_lines(logs, key, log).withColumn("line", F.trim("line"))

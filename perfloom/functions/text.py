@@ -21,6 +21,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end; empty for null."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def summary_value(text: Column, line: int) -> Column:
     """The number behind the colon of a summary's line, from 1."""
     return F.trim(F.get(F.split(F.get(F.split(text, "\n"), F.lit(line - 1)), ":", 2), F.lit(1))).try_cast("double")

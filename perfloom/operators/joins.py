@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfloom.functions.text import stripped
+
 
 def keep(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     return rows.join(ids, key, "left_semi")
@@ -66,7 +68,7 @@ def overridden(rows: DataFrame, other: DataFrame, key: str, column: str) -> Data
 
 def approved(rows: DataFrame, sheet: DataFrame, key: str, column: str = "workload", statuses: tuple[str, ...] = ("APPROVED", "NEEDS_ANNOTATE")) -> DataFrame:
     """Rows with the sheet's text, where its status is one of `statuses` and the text isn't empty."""
-    ok = sheet.where(F.col("status").isin(*statuses) & (F.trim(F.coalesce(column, F.lit(""))) != "")).select(key, column)
+    ok = sheet.where(F.col("status").isin(*statuses) & (stripped(F.col(column)) != "")).select(key, column)
     return rows.drop(column).join(ok, key)
 
 

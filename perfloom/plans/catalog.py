@@ -634,3 +634,7 @@ def short_texts(spark, d):
 @query("SELECT l_suppkey, l_linestatus AS bin, count(*) AS n FROM lineitem GROUP BY 1,2")
 def bin_counts(spark, d):
     return A.histogram(table(spark, d, "lineitem"), F.col("l_linestatus"), ["l_suppkey"])
+
+
+# The queries on records register themselves here.
+from perfloom.plans import catalog_records  # noqa: E402, F401

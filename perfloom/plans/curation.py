@@ -62,7 +62,7 @@ def code_changes(rows: DataFrame, patch: str = "patch") -> DataFrame:
 def candidates(pulls: DataFrame, patch: str = "patch", test_patch: str = "test_patch", tests: bool = False) -> DataFrame:
     """Merged pulls with a patch and, if `tests`, with tests."""
     rows = pulls.where(f"merged_at is not null and coalesce({patch}, '') <> ''")
-    return rows.where(F.trim(F.coalesce(test_patch, F.lit(""))) != "") if tests else rows
+    return rows.where(T.stripped(F.col(test_patch)) != "") if tests else rows
 
 
 def versioned(tasks: DataFrame, releases: DataFrame, repo: str = "repo") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.functions import diffs as D
+from perfloom.functions.text import stripped
 from perfloom.operators import joins as J
 
 
@@ -16,7 +17,7 @@ def by_id(rows: DataFrame, pattern: str, key: str = "instance_id") -> DataFrame:
 
 def has_text(text: Column) -> Column:
     """True for a text that is there: not null, blank or `nan`."""
-    return F.coalesce(~F.trim(text).isin("", "nan"), F.lit(False))
+    return ~stripped(text).isin("", "nan")
 
 
 def runnable(instances: DataFrame, predictions: DataFrame, allow_tests: bool = False) -> DataFrame:

@@ -123,7 +123,7 @@ def recent_pulls(pulls: DataFrame, cutoff: str | None = None, most: int | None =
 
 
 def profiles(spark: SparkSession, path: str, root: str = "workload") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of binary profile files, restricted to what is called from functions named `root`."""
+    """Nodes and edges of binary profile files (unreadable ones give nothing), restricted to what is called from functions named `root`."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(edges: bool):
@@ -132,7 +132,12 @@ def profiles(spark: SparkSession, path: str, root: str = "workload") -> tuple[Da
 
             for b in batches:
                 for p, content in zip(b["path"], b["content"], strict=True):
-                    stats = marshal.loads(content)
+                    try:
+                        stats = marshal.loads(content)
+                    except (EOFError, ValueError, TypeError):
+                        continue  # as coverage files that can't be read
+                    if not isinstance(stats, dict):
+                        continue
                     down: dict = {}
                     for callee, row in stats.items():
                         for caller in row[4]:
@@ -187,6 +192,14 @@ def releases(pages: DataFrame, pattern: str) -> DataFrame:
     return rows.where("release_date is not null").distinct()
 
 
+def coverage_runs(spark: SparkSession, root: str, known: DataFrame, prefix: str = "debugging_coverage_") -> DataFrame:
+    """Rows of `known` (instance_id, ...) for which a folder of a coverage run below `root` lists covering tests, with `folder` and `tests`."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "covering_tests.txt*").text(root)
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
+    runs = files.select(folder.alias("folder"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("tests")).where(F.contains("folder", F.lit(prefix)))
+    return known.join(runs.withColumn("instance_id", F.element_at(F.split("folder", "/"), -1)), "instance_id")
+
+
 def test_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths of files whose name holds `test`."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*test*").load(path).select("path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perfloom.functions.text import stripped
+
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -31,19 +33,20 @@ def valid_and_tested(df: DataFrame, all_path: str, tested_path: str) -> None:
     rows = df.persist()
     try:
         json(rows, all_path, "append")
-        json(rows.where(F.trim(F.coalesce("test_patch", F.lit(""))) != ""), tested_path, "append")
+        json(rows.where(stripped(F.col("test_patch")) != ""), tested_path, "append")
     finally:
         rows.unpersist()
 
 
-def merge_shards(df: DataFrame, path: str) -> None:
-    """One file of all shards that `df` was read from."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def merge_shards(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
+    """All shards that `df` was read from, in as few files as `rows_a_file` allows: one for small data."""
+    files = max(1, -(-df.count() // rows_a_file))
+    (df.coalesce(1) if files == 1 else df.repartition(files)).write.mode("overwrite").json(path)
 
 
 def bundles(df: DataFrame, by: str, parts: list[str], path: str) -> None:
-    """A text for each row, in a folder by key."""
-    df.select(by, F.concat_ws("\n\n", *parts).alias("text")).write.mode("overwrite").partitionBy(by).text(path)
+    """A text for each row, in a folder by `by`; rows of a key are brought together first, so that it gets few files. Keys should be repositories or the like, not rows' ids."""
+    df.select(by, F.concat_ws("\n\n", *parts).alias("text")).repartition(by).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def links(df: DataFrame, key: str, url, path: str) -> None:

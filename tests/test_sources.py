@@ -72,3 +72,17 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {(str(r.window.start), r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
     want = {(str(r[0].start), r[1]): r[2] for r in e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").count().collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_coverage_runs_and_bad_profiles(spark, tmp_path):
+    run = tmp_path / "debugging_coverage_1" / "a__b-7"
+    run.mkdir(parents=True)
+    (run / "covering_tests.txt").write_text("t1\nt2\n")
+    other = tmp_path / "elsewhere" / "a__b-8"
+    other.mkdir(parents=True)
+    (other / "covering_tests.txt").write_text("t3\n")
+    known = spark.createDataFrame([("a__b-7", 1), ("a__b-8", 2)], "instance_id string, n int")
+    assert [(r.instance_id, r.n, r.tests) for r in R.coverage_runs(spark, str(tmp_path), known).collect()] == [("a__b-7", 1, ["t1", "t2"])]
+    (tmp_path / "bad.prof").write_bytes(b"not a profile")
+    nodes, edges = R.profiles(spark, str(tmp_path / "*.prof"))
+    assert nodes.count() == 0 and edges.count() == 0

@@ -10,7 +10,7 @@ from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.near_dup import near_duplicates, text_hash
 from perfloom.llm.packing import pack
 from perfloom.llm.quality import fold, score, train
-from perfloom.llm.tables import bounded, read, stored
+from perfloom.llm.tables import bounded, dropped, read, stored
 
 #: Documents below this score are rejected.
 LEAST_SCORE = 0.5
@@ -80,7 +80,11 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs)
+            out = stored(out)
+            # The table before it is not needed again; that of the caller is left alone.
+            if k:
+                dropped(docs)
+        docs = out
     return docs

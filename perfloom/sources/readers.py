@@ -57,7 +57,7 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def keyed_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions from one JSON object keyed by instance."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     body = F.from_json("value", f"map<string,struct<{schemas.PREDICTION.replace(' string', ':string')}>>")
     return text.select(F.explode(body).alias("_id", "p")).select(F.coalesce("p.instance_id", "_id").alias("instance_id"), "p.model_patch", "p.model_name_or_path")
 
@@ -75,7 +75,7 @@ def fixed_predictions(instances: DataFrame, gold: bool) -> DataFrame:
 
 def result_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """run_id, model, instance_id, text of the files `name` in root/<run_id>/<model>/<instance_id>/."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return files.select(F.element_at(parts, -4).alias("run_id"), F.element_at(parts, -3).alias("model"), F.element_at(parts, -2).alias("instance_id"), F.col("value").alias("text"))
 
@@ -194,7 +194,7 @@ def releases(pages: DataFrame, pattern: str) -> DataFrame:
 
 def coverage_runs(spark: SparkSession, root: str, known: DataFrame, prefix: str = "debugging_coverage_") -> DataFrame:
     """Rows of `known` (instance_id, ...) for which a folder of a coverage run below `root` lists covering tests, with `folder` and `tests`."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "covering_tests.txt*").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "covering_tests.txt*").text(root, wholetext=True)
     folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
     runs = files.select(folder.alias("folder"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("tests")).where(F.contains("folder", F.lit(prefix)))
     return known.join(runs.withColumn("instance_id", F.element_at(F.split("folder", "/"), -1)), "instance_id")

@@ -177,8 +177,9 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
     edges = links(shared.where("doc_id <> leader").selectExpr("doc_id a", "leader b")).checkpoint()
     known, members = labelled(edges)
     apart = members.where("c <> c_leader")
-    second = apart.groupBy("key").agg(F.min("doc_id").alias("second"))
-    pairs = apart.join(second, "key").where("doc_id <> second").selectExpr("doc_id a", "second b")
+    apart = apart.checkpoint()
+    second = apart.groupBy("key").agg(F.min("doc_id").alias("second"), F.count("*").alias("n")).checkpoint()
+    pairs = spread_join(apart, second, ["key"], "n", apart.count()).where("doc_id <> second").selectExpr("doc_id a", "second b")
     more = links(pairs).checkpoint()
     if more.take(1):
         edges = edges.unionAll(more).checkpoint()
@@ -187,7 +188,7 @@ def _linked(docs: DataFrame, width: int, threshold: float, bands: int, rows: int
     # Whoever is apart still meets the members of other components. Shingles that no other document of these buckets has
     # can't be common to a pair: members with too many of them are linked to none, and aren't paired. Nor can a pair have
     # more in common than the smaller of its counts in each part of the hashes. This rules most pairs out, and no linked one.
-    touched = members.join(apart.select("key").distinct(), "key", "left_semi").checkpoint()
+    touched = members.join(bounded(apart.select("key").distinct().checkpoint()), "key", "left_semi").checkpoint()
     ids = bounded(touched.select("doc_id").distinct().checkpoint())
     parts = _common_parts(found.join(ids, "doc_id", "left_semi")).withColumn("s", F.aggregate("parts", F.lit(0), lambda a, x: a + x)).checkpoint()
     touched = touched.join(parts, "doc_id").where(f"100 * s >= {per_cent} * n_shingles").checkpoint()

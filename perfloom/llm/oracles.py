@@ -43,3 +43,42 @@ o AS (SELECT d.doc_id, length(h) // 2 AS n, h, coalesce(sum(b - a), 0) AS gone,
   coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') AS kept FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id, h)
 SELECT doc_id, n::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(kept || substr(h, 2 * last + 1))) AS kept_sha256 FROM o
 """
+
+# Kinds of personal data: pattern, and what a match (v, its digits d) must fulfil.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(v,'.'), lambda x: length(ltrim(x,'0'))>3 OR coalesce(try_cast(ltrim(x,'0') AS INT),0)>255))=0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1,length(d)+1), lambda i: CASE WHEN (length(d)-i)%2=1 THEN CASE WHEN 2*d[i]::INT>9 THEN 2*d[i]::INT-9 ELSE 2*d[i]::INT END ELSE d[i]::INT END))%10=0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+}
+
+
+def _matches(source: str, pattern: str) -> str:
+    """id, i, v, s: the matches of a pattern in the texts t of `source`, with their starts."""
+    return f"""SELECT id, i, v, (sum(length(g)+length(v)) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(v))::BIGINT AS s
+      FROM (SELECT id, unnest(range(1,len(vs)+1)) AS i, unnest(vs) AS v, unnest(gs[:len(vs)]) AS g FROM (SELECT id, regexp_extract_all(t,'{pattern}') AS vs, string_split_regex(t,'{pattern}') AS gs FROM {source}) WHERE len(vs)>0)"""
+
+
+def _found(source: str) -> str:
+    """id, kind, k (the kind's place), v, s of the base spans."""
+    return " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, {k} AS k, v, s FROM (SELECT *, regexp_replace(v,'[^0-9]','','g') AS d FROM ({_matches(source, pattern)})) WHERE {valid}" for k, (kind, (pattern, valid)) in enumerate(_KINDS.items()))
+
+
+PERSONAL_DATA = f"""
+WITH e AS (SELECT doc_id AS id, coalesce(text,'') AS t FROM documents), b AS ({_found('e')}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT id FROM b)),
+u AS (SELECT t, row_number() OVER () AS id FROM (SELECT DISTINCT t FROM l)), x AS ({_found('u')}),
+en AS (SELECT DISTINCT id, kind || ':' || lower(v) AS entity FROM x),
+tm AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(regexp_replace(t,'{_KINDS["email"][0]}',' ','g')),'\\p{{L}}{{3,}}')) AS term FROM u WHERE id IN (SELECT id FROM en)),
+c AS (SELECT entity, count(*) AS dfc FROM en GROUP BY 1), ct AS (SELECT entity, term, count(*) AS dftc FROM en JOIN tm USING (id) GROUP BY 1,2),
+every AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM every),
+f AS (SELECT term, count(*) AS dft FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t),'\\p{{L}}{{3,}}'))) AS term FROM every) WHERE term IN (SELECT term FROM ct) GROUP BY 1),
+w AS (SELECT entity, term, dfc, n, greatest(dft,dftc)::DOUBLE AS m, dftc/greatest(dft,dftc)::DOUBLE AS p FROM ct JOIN c USING (entity) JOIN f USING (term), n),
+r AS (SELECT entity, term FROM w WHERE n>dfc AND 1 + log2((p + 1.645*1.645/(2*m) - 1.645*sqrt(p*(1-p)/m + 1.645*1.645/(4*m*m)))/(1 + 1.645*1.645/m))/log2(n/dfc) >= 0.8),
+dt AS (SELECT DISTINCT doc_id AS id, r.term FROM l JOIN u USING (t) JOIN en ON en.id=u.id JOIN r USING (entity)),
+h AS (SELECT id, t FROM e WHERE id IN (SELECT id FROM dt)), wd AS ({_matches('h', chr(92) + 'p{L}+')}),
+a AS (SELECT * FROM b UNION ALL SELECT wd.id, 'term', 4, v, s FROM wd JOIN dt ON wd.id=dt.id AND lower(wd.v)=dt.term)
+SELECT e.id AS doc_id, count(*) FILTER (kind='email') AS n_email, count(*) FILTER (kind='ip') AS n_ip, count(*) FILTER (kind='card') AS n_card, count(*) FILTER (kind='phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || (s+length(v)), ',' ORDER BY k, s) FILTER (k<4),'')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || (s+length(v)), ',' ORDER BY k, s),'') AS spans
+FROM e LEFT JOIN a ON a.id=e.id GROUP BY e.id
+"""

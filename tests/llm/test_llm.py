@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from itertools import groupby
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -648,6 +649,16 @@ def test_nearest_neighbours_with_ties_and_bad_vectors(spark):
     assert ann.nearest_neighbours(df.limit(0), "vec_id % 20 = 0").count() == 0 and ann.nearest_neighbours(df.where("vec_id = 20"), "true").count() == 0
 
 
+def test_personal_data_equals_its_sql(spark):
+    """Base spans and the terms at the shipped thresholds, against brute force in SQL."""
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    got = queries.QUERIES["op2_personal_data"](spark, DATA)
+    want = c.sql(queries.ORACLES["op2_personal_data"])
+    assert any("term:" in r[want.columns.index("spans")] for r in want.fetchall())
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_registered_queries_and_pipeline(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -12,11 +12,16 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int], list[int]]:
 
     Groups begin as those of the first symbol and are handled from the highest down. Each suffix of a group points to
     the nearest suffix before it in a lower group; those pointed to leave their group for a new one right above it, the
-    higher, the more suffixes of the present group point to them.
+    higher, the more suffixes of the present group point to them. Symbols, numbers from 0 on, and pointers are counted
+    instead of sorted, so that time is linear in the text and its largest symbol.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, group, size, before = [0] * n, [0] * n, [0] * n, [-1] * n
+    buckets: list[list[int]] = [[] for _ in range(max(text, default=-1) + 1)]
+    for s, x in enumerate(text):
+        buckets[x].append(s)
+    order = [s for b in buckets for s in b]
+    # Before -1, a suffix's pointer is not known yet.
+    place, group, size, before = [0] * n, [0] * n, [0] * n, [-2] * n
     start = 0
     for k, s in enumerate(order):
         if k and text[s] != text[order[k - 1]]:
@@ -48,31 +53,38 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int], list[int]]:
             last = first - 1
             continue
         votes: dict[int, int] = {}
-        for s in sorted(order[first : last + 1]):
-            p = s - 1
-            while p >= 0 and group[p] >= first:
-                p = before[p]
-            before[s] = p
-            if p >= 0:
-                votes[p] = votes.get(p, 0) + 1
-        by: dict[tuple[int, int], list[int]] = {}
+        for s in order[first : last + 1]:
+            # A suffix of the same group on the way that has no pointer yet gets its own first.
+            todo = [(s, s - 1)] if before[s] == -2 else []
+            while todo:
+                t, p = todo.pop()
+                while p >= 0 and group[p] >= first and before[p] != -2:
+                    p = before[p]
+                if p >= 0 and group[p] >= first:
+                    todo += [(t, p), (p, p - 1)]
+                    continue
+                before[t] = p
+                if p >= 0:
+                    votes[p] = votes.get(p, 0) + 1
+        by: list[dict[int, list[int]]] = [{} for _ in range(max(votes.values(), default=0) + 1)]
         for p, k in votes.items():
-            by.setdefault((-k, group[p]), []).append(p)
-        for (_, h), ps in sorted(by.items()):
-            end = h + size[h]
-            new = end - len(ps)
-            if new > h:
-                to = end
-                for p in ps:
-                    to -= 1
-                    at = place[p]
-                    q = order[to]
-                    order[to], order[at] = p, q
-                    place[p], place[q] = to, at
-                for p in ps:
-                    group[p] = new
-                size[new] = len(ps)
-                size[h] = new - h
+            by[k].setdefault(group[p], []).append(p)
+        for same in reversed(by):
+            for h, ps in same.items():
+                end = h + size[h]
+                new = end - len(ps)
+                if new > h:
+                    to = end
+                    for p in ps:
+                        to -= 1
+                        at = place[p]
+                        q = order[to]
+                        order[to], order[at] = p, q
+                        place[p], place[q] = to, at
+                    for p in ps:
+                        group[p] = new
+                    size[new] = len(ps)
+                    size[h] = new - h
         last = first - 1
     return order, group, before
 

@@ -13,9 +13,11 @@ chunks before it can hand on. The maps of all chunks are composed by a parallel
 first state; maps that lack a state which the scan needs are widened, and the scan runs again. Paths from different
 states soon meet, so two or three rounds do for a run of any length.
 
-Words that hold anything but ASCII and the Latin letters U+00C0 to U+00FF, or `<|`, are counted by the library, each
-alone: white space splits words from each other in this tokenizer, whatever they hold. So are the words that would
-need states beyond `MAX_STATES`.
+White space splits words from each other in this tokenizer, whatever they hold. Words with other characters than ASCII
+and the Latin letters U+00C0 to U+00FF are normalised and split by the library's rules first; then each piece goes
+through the transducer behind a mark that makes it one run, so every script is compiled. Words with `<|`, which may
+hold a special token, are counted by the library. When `MAX_STATES` are compiled, the words of the block that need
+others are counted by the library too, and the next block starts with none.
 
 null and empty texts have 0 tokens.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.tables import slices, small_batches
 
-#: States a worker keeps at most, which bounds its memory; words that need others are counted by the library.
+#: States a worker keeps at most, which bounds its memory.
 MAX_STATES = 131_072
 CHUNK = 512
 #: Bytes of text that advance together.
@@ -41,6 +44,10 @@ BLOCK = 4 << 20
 #: Up to so many states the maps of chunks without white space are widened all together.
 MAP_STATES = 8
 LIMIT = 2048
+#: A byte that no text holds: what follows it up to white space is one run.
+RUN = 0xFF
+#: Words of other scripts that are split together.
+WORDS = 10_000
 
 # Fixed values of the tokenizer's pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -68,16 +75,17 @@ class Transducer:
             model = json.load(f)["model"]
         self.end = model["end_of_word_suffix"]
         self.symbols = _byte_symbols()
+        self.bytes_of = {ord(c): b for b, c in enumerate(self.symbols)}
         merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.rank = {m: i for i, m in enumerate(merges)}
         self.vocab = set(model["vocab"])
         self.prefixes = {t[:i] for t in self.vocab for i in range(1, len(t.removesuffix(self.end)))}
+        self.max_states = max_states
         self.apart: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.max_states = max_states
         # Columns: 0 white space, then the bytes that occur in words.
         self.column = np.zeros(256, np.uint8)
-        used = [b for b in (*range(33, 127), *range(128, 192), 0xC3) if not 65 <= b <= 90] + [b for b in range(33) if b not in (9, 10, 11, 12, 13, 32)] + [127]
+        used = [b for b in (*range(33, 127), *range(128, 192), *range(0xC2, 0xF5), RUN) if not 65 <= b <= 90] + [b for b in range(33) if b not in (9, 10, 11, 12, 13, 32)] + [127]
         for k, b in enumerate(used):
             self.column[b] = k + 1
         self.used = used
@@ -87,10 +95,16 @@ class Transducer:
         self.kind[97:123] = self.kind[65:91] = self.kind[128:] = _LETTER
         self.digit = {b: self._finish(self._grow((("", None, 0),), self.symbols[b])) for b in range(48, 58)}
         self.quoted = {c: len(self._bpe(self._split(c))) for c in CONTRACTIONS}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops all compiled states but the first, and what was learnt of tokens on the way."""
+        self.apart.clear()
+        self.whole.clear()
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.to = np.full((1024, len(used) + 1), -1, np.int32)
-        self.adds = np.zeros((1024, len(used) + 1), np.int16)
+        self.to = np.full((1024, len(self.used) + 1), -1, np.int32)
+        self.adds = np.zeros((1024, len(self.used) + 1), np.int16)
         self._state(("start",))
 
     # BPE by its definition, for short strings.
@@ -159,7 +173,7 @@ class Transducer:
             if i == len(self.to):
                 self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
                 self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)])
-            left = key[2] if key[0] in "lp" else 0
+            left = key[2] if key[0] in "lpr" else 0
             if key[0] == "'":
                 left = self._run("p", "'")[1]
             if key[0] == "'x":
@@ -177,6 +191,8 @@ class Transducer:
 
     def _fresh(self, b: int) -> tuple[tuple, int]:
         kind = self.kind[b]
+        if b == RUN:
+            return ("r", (("", None, 0),), 0), 0
         if kind == _DIGIT:
             return ("start",), self.digit[b]
         if b == 39:
@@ -188,8 +204,8 @@ class Transducer:
         kind = self.kind[b]
         if key[0] == "start":
             return self._fresh(b)
-        if key[0] in "lp":
-            if (key[0] == "l") == (kind == _LETTER) and kind != _DIGIT:
+        if key[0] in "lpr":
+            if key[0] == "r" or (key[0] == "l") == (kind == _LETTER) and kind != _DIGIT:
                 live, ended, change = self._grow(key[1], self.symbols[b])
                 return (key[0], live, ended), change
             k, n = self._fresh(b)
@@ -221,6 +237,8 @@ class Transducer:
 
     def _block(self, text: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Tokens by owner of the bytes `text`, in which every owner's text ends with a space."""
+        if len(self.keys) >= self.max_states:
+            self._forget()
         out = np.zeros(n, np.int64)
         pad = -len(text) % CHUNK
         grid = np.concatenate([self.column[text], np.zeros(pad, np.uint8)]).reshape(-1, CHUNK)
@@ -233,10 +251,8 @@ class Transducer:
         bad = np.zeros(grid.shape, bool)
         exits = self._walk(grid, tail, np.zeros(len(grid), np.int32), running, bad)
         previous = self._first_states(grid, has, exits)
-        head = np.flatnonzero(first > 0) if len(grid) else np.zeros(0, np.int64)
-        part, gone = running[head], bad[head]
-        self._walk(grid[head], ~tail[head], previous[head], part, gone)
-        running[head], bad[head] = part, gone
+        # White space at a chunk's first byte still carries the last tokens of the word before.
+        self._walk(grid, ~tail, previous, running, bad)
         flat = running.reshape(-1)[: len(text)]
         sums = np.bincount(owner, weights=flat, minlength=n)
         out += sums.astype(np.int64)
@@ -320,9 +336,12 @@ class Transducer:
             a, b = (starts[w - 1] + 1 if w else 0), (starts[w] if w < len(starts) else len(text))
             # The space behind the word carries its last tokens.
             out[owner[a]] -= int(adds[a : b + 1].sum())
+            if text[a] == RUN:
+                out[owner[a]] += len(self.library.model.tokenize("".join(self.symbols[x] for x in text[a + 1 : b].tolist())))
+                continue
             texts.append(text[a:b].tobytes().decode())
             owners.append(owner[a])
-        np.add.at(out, owners, self._by_library(texts))
+        np.add.at(out, np.array(owners, np.int64), self._by_library(texts))
         return out
 
     def _by_library(self, texts: list[str]) -> list[int]:
@@ -365,11 +384,25 @@ class Transducer:
             b = ends[hit]
             raw = b" ".join(texts) + b" "
             found = [raw[x:y].decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            np.add.at(out, owner[a], self._by_library(found))
+            special = np.array(["<|" in w for w in found])
+            np.add.at(out, owner[a[special]], self._by_library([w for w in found if "<|" in w]))
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 text[x:y] = 32
+            runs, owners = [], []
+            for o, group in groupby(zip(owner[a].tolist(), found, strict=True), lambda x: x[0]):
+                for words in batched((w for _, w in group if "<|" not in w), WORDS):
+                    runs.append(self._pieces(" ".join(words)))
+                    owners.append(o)
+            if runs:
+                whole = np.frombuffer(b"".join(runs), np.uint8)
+                out += self._block(whole, np.repeat(np.array(owners, np.int32), [len(r) for r in runs]), n)
         return out + self._block(text, owner, n)
 
+    def _pieces(self, words: str) -> bytes:
+        """The pieces that the library splits `words` into, each between a mark and a space."""
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(words))
+        return "".join(f"{chr(RUN)}{p} " for p, _ in pieces).translate(self.bytes_of).encode("latin-1")
+
 
 _WHITE = re.compile(rb"[\t-\r ]")
 

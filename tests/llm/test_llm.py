@@ -388,6 +388,22 @@ def test_suffix_arrays():
     for _ in range(400):
         x = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 50))] + [0]
         assert gsaca.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+    for _ in range(100):
+        part = [rng.randint(1, 5) for _ in range(rng.randint(1, 9))]
+        x = (part * 40)[: rng.randint(1, 200)] + [0]
+        assert gsaca.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_suffix_arrays_take_linear_time():
+    rng = random.Random(4)
+    for many in ([1], [1, 2], list(range(1, 5_000))):
+        took = []
+        for n in (50_000, 100_000):
+            x = [rng.choice(many) for _ in range(n)] + [0]
+            began = time.time()
+            assert len(set(gsaca.suffix_array(x))) == n + 1
+            took.append(time.time() - began)
+        assert took[1] < 4 * took[0] + 0.5, took
 
 
 @pytest.mark.parametrize("most", [20_000, 2])
@@ -548,6 +564,33 @@ def test_token_counts(spark, odd, empty):
     assert token_count.count_tokens(empty).count() == 0
 
 
+def test_all_scripts_are_compiled(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = token_count.Transducer(path), random.Random(11)
+    blocks = [(0x3B1, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x620, 0x669), (0x904, 0x96F), (0xE01, 0xE3A), (0x300, 0x320), (0x1E00, 0x1EFF), (0x2010, 0x2040), (0x2150, 0x2189), (0x3001, 0x30FF), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F600, 0x1F640), (0x1D400, 0x1D4FF)]
+    texts = ["".join("".join(chr(rng.randint(*rng.choice(blocks))) for _ in range(rng.randint(1, 8))) + rng.choice(["", " ", "it's", "'ll", "12", "!?", "\u00c9t", "\n", "\u2003"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    want = [len(e) for e in t.library.encode_batch_fast(texts, add_special_tokens=False)]
+    few = token_count.Transducer(path, 3_000)
+    assert few.counts([x.encode() for x in texts]).tolist() == want
+
+    def none(self, words):
+        assert not words, words
+        return []
+
+    monkeypatch.setattr(token_count.Transducer, "_by_library", none)
+    assert t.counts([x.encode() for x in texts]).tolist() == want
+    # Beyond the limit, the next block starts with no states and compiles its own.
+    few._forget()
+    monkeypatch.setattr(token_count, "BLOCK", 400)
+    grown = []
+    for x, n in zip(texts, want, strict=True):
+        assert few.counts([x.encode()]).tolist() == [n]
+        grown.append(len(few.keys))
+    assert max(grown) <= 3_000 and any(b < a for a, b in zip(grown, grown[1:]))
+
+
 def test_long_texts_without_white_space():
     from tokenizers import Tokenizer
 
@@ -574,6 +617,15 @@ def test_long_texts_without_white_space():
     assert len(x) > 4_000_000 and took[1] < 4 * took[0] + 1, took
 
 
+def test_words_that_end_with_a_chunk():
+    import public_tokenizers
+
+    t = token_count.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [head * k + "a" * (n - k * len(head)) + tail for n in (*range(505, 516), 1023, 1024, 1025) for head, k in (("", 0), ("x ", 200), ("\u65e5 ", 60)) for tail in ("", " b", "'s b", "'ll", "!! b")]
+    want = [len(e) for e in t.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [int(t.counts([x.encode()])[0]) for x in texts] == want and t.counts([x.encode() for x in texts]).tolist() == want
+
+
 def test_long_texts_are_counted_in_parts(monkeypatch):
     import public_tokenizers
 

@@ -54,8 +54,18 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int], list[int]]:
             continue
         votes: dict[int, int] = {}
         for s in order[first : last + 1]:
+            if before[s] != -2:
+                continue
+            p = s - 1
+            while p >= 0 and group[p] >= first and before[p] != -2:
+                p = before[p]
+            if p < 0 or group[p] < first:
+                before[s] = p
+                if p >= 0:
+                    votes[p] = votes.get(p, 0) + 1
+                continue
             # A suffix of the same group on the way that has no pointer yet gets its own first.
-            todo = [(s, s - 1)] if before[s] == -2 else []
+            todo = [(s, p), (p, p - 1)]
             while todo:
                 t, p = todo.pop()
                 while p >= 0 and group[p] >= first and before[p] != -2:

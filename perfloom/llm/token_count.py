@@ -16,8 +16,8 @@ states soon meet, so two or three rounds do for a run of any length.
 White space splits words from each other in this tokenizer, whatever they hold. Words with other characters than ASCII
 and the Latin letters U+00C0 to U+00FF are normalised and split by the library's rules first; then each piece goes
 through the transducer behind a mark that makes it one run, so every script is compiled. Words with `<|`, which may
-hold a special token, are counted by the library. When `MAX_STATES` are compiled, the words of the block that need
-others are counted by the library too, and the next block starts with none.
+hold a special token, are counted by the library. When `MAX_STATES` are compiled, words that need others are
+counted by the library too; where these are more than `MISSED` of a block's bytes, the next block starts with no states.
 
 null and empty texts have 0 tokens.
 """
@@ -38,6 +38,8 @@ from perfloom.llm.tables import slices, small_batches
 
 #: States a worker keeps at most, which bounds its memory.
 MAX_STATES = 131_072
+#: With more than this share of a block's bytes beyond the compiled states, these serve other texts than those at hand.
+MISSED = 0.1
 CHUNK = 512
 #: Bytes of text that advance together.
 BLOCK = 4 << 20
@@ -99,6 +101,7 @@ class Transducer:
 
     def _forget(self) -> None:
         """Drops all compiled states but the first, and what was learnt of tokens on the way."""
+        self.missed = 0.0
         self.apart.clear()
         self.whole.clear()
         self.ids: dict[tuple, int] = {}
@@ -237,7 +240,7 @@ class Transducer:
 
     def _block(self, text: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Tokens by owner of the bytes `text`, in which every owner's text ends with a space."""
-        if len(self.keys) >= self.max_states:
+        if self.missed > MISSED:
             self._forget()
         out = np.zeros(n, np.int64)
         pad = -len(text) % CHUNK
@@ -331,9 +334,10 @@ class Transducer:
         word = np.cumsum(space)
         out = np.zeros(n, np.int64)
         starts = np.flatnonzero(space)
-        texts, owners = [], []
+        texts, owners, size = [], [], 0
         for w in np.unique(word[bad]):
             a, b = (starts[w - 1] + 1 if w else 0), (starts[w] if w < len(starts) else len(text))
+            size += int(b - a)
             # The space behind the word carries its last tokens.
             out[owner[a]] -= int(adds[a : b + 1].sum())
             if text[a] == RUN:
@@ -341,6 +345,7 @@ class Transducer:
                 continue
             texts.append(text[a:b].tobytes().decode())
             owners.append(owner[a])
+        self.missed = size / len(text)
         np.add.at(out, np.array(owners, np.int64), self._by_library(texts))
         return out
 

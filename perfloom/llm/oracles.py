@@ -82,3 +82,44 @@ SELECT e.id AS doc_id, count(*) FILTER (kind='email') AS n_email, count(*) FILTE
   sha256(coalesce(string_agg(kind || ':' || s || ':' || (s+length(v)), ',' ORDER BY k, s) FILTER (k<4),'')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || (s+length(v)), ',' ORDER BY k, s),'') AS spans
 FROM e LEFT JOIN a ON a.id=e.id GROUP BY e.id
 """
+
+COLLOCATIONS = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), numbered as (
+    select lang, row_number() over () as p, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), words as (
+    select lang, p, unnest(w) as x, generate_subscripts(w, 1) as i from numbered
+), heads as (
+    select lang, x, lead(x) over s as y, lead(x, 2) over s as z from words window s as (partition by p order by i)
+), grams as (
+    select lang, 1 as size, x as phrase from heads
+    union all select lang, 2, x || ' ' || y from heads where y is not null
+    union all select lang, 3, x || ' ' || y || ' ' || z from heads where z is not null
+), counts as (
+    select lang, size, phrase, count(*) as f from grams group by all
+), total as (
+    select lang, sum(f)::bigint as n from counts where size = 1 group by lang
+), phrases as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counts where size > 1 and f >= 10
+), cuts as (
+    select lang, phrase, w, size, a, unnest(range(1, size)) as k from phrases
+), scored as (
+    select c.lang, c.phrase, c.size, c.a, c.k, x.f as l, y.f as r, ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint as score
+    from cuts c
+    join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ')
+    join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')
+), best as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), longer as (
+    select lang, phrase, max(a) as a
+    from (select lang, a, array_to_string(w[i : i + 1], ' ') as phrase from (select lang, a, w, unnest([1, 2]) as i from phrases where size = 3))
+    group by all
+), ranked as (
+    select b.lang, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, b.l, b.r, t.n, b.score
+    from best b join total t on t.lang = b.lang left join longer g on g.lang = b.lang and g.phrase = b.phrase
+    where g.a is null or 100 * g.a < 50 * b.a
+)
+select * from ranked where rank <= 2000
+"""

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from perfloom.llm.ann import nearest_neighbours
 from perfloom.llm.collocations import collocations
 from perfloom.llm.decontaminate import leaks
+from perfloom.llm.hard_negatives import hard_negatives
 from perfloom.llm.html_text import extract
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.matching import pack_whole
 from perfloom.llm.near_dup import near_duplicates
-from perfloom.llm.oracles import COLLOCATIONS, LINE_DEDUP, NEAR_DUPLICATES, PERSONAL_DATA, SUFFIX_DEDUP
+from perfloom.llm.oracles import COLLOCATIONS, HARD_NEGATIVES, LINE_DEDUP, NEAR_DUPLICATES, PERSONAL_DATA, SUFFIX_DEDUP
 from perfloom.llm.packing import pack
 from perfloom.llm.pii import KINDS, find_personal_data, written
 from perfloom.llm.quality import fold, score, train
@@ -70,6 +71,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    # A component that no long holds is beyond what the operator takes.
+    scaled = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x.cast("double"), F.lit(-1e9)), F.lit(1e9)) * 256))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").where(finite).select(F.col("vec_id").alias("id"), label.alias("label"), scaled.alias("v")), "id % 100 = 0")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -78,6 +87,6 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_whole(read(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op6_suffix_dedup, op7_main_text, op8_packing, op9_token_count, op10_nearest_neighbours, op12_collocations, op13_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_personal_data, op3_line_dedup, op4_decontamination, op5_quality, op6_suffix_dedup, op7_main_text, op8_packing, op9_token_count, op10_nearest_neighbours, op11_hard_negatives, op12_collocations, op13_best_fit_packing)}
 #: The others read tokenizers, fit models or search by words and terms; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR_DUPLICATES, "op2_personal_data": PERSONAL_DATA, "op3_line_dedup": LINE_DEDUP, "op6_suffix_dedup": SUFFIX_DEDUP, "op12_collocations": COLLOCATIONS}
+ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR_DUPLICATES, "op2_personal_data": PERSONAL_DATA, "op3_line_dedup": LINE_DEDUP, "op6_suffix_dedup": SUFFIX_DEDUP, "op11_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from perfloom.llm.tables import bounded, checkpoints, slices, small_batches
 
-SHARD_WORDS, FILTER_BYTES, LEAST, LONGEST, COVERED, TOP = 4_000_000, 16 << 20, 10, 3, 50, 2_000
+SHARD_WORDS, FILTER_BYTES, LEAST, LONGEST, COVERED, TOP = 1_500_000, 16 << 20, 10, 3, 50, 2_000
 #: Rows of an Arrow batch that a shard sends.
 SENT_ROWS = 65_536
 #: Bits that a key sets in the filter.
@@ -65,17 +65,16 @@ class _Ids(dict):
 
 def suffix_order(w: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of the ids w, sorted by their first `depth` ids or more; ids are below len(w) + 2 or any small number."""
-    rank, h, n = w.astype(np.int64), 1, len(w)
+    rank, h, n = w.astype(np.int32), 1, len(w)
     order = np.argsort(rank, kind="stable")
     while h < depth:
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - h)] = rank[h:]
-        key = rank * (int(rank.max(initial=0)) + 1) + behind
+        key = rank.astype(np.int64)
+        key *= int(rank.max(initial=0)) + 1
+        key[: max(0, n - h)] += rank[h:]
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
+        key = key[order]
         # From 1, as 0 stands for what is behind the end.
-        rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[:n]) if n else 0
+        rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1])[:n], dtype=np.int32)
         h *= 2
     return order
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfloom.operators.ranges import covered, overlapping, stabbed, uncovered
+
 
 def checkpoints(spark: SparkSession) -> None:
     """Makes checkpoint() usable with the folder that spark.checkpoint.dir names; without one, a local session (a test) gets a temporary one, a cluster an error."""
@@ -84,5 +86,40 @@ def referenced_files(references: DataFrame, tests: DataFrame, most: int, wanted:
         if not frontier.take(1):
             break
         known = known.unionByName(frontier)
+        if d % 8 == 0:
+            known = known.checkpoint()
     out = known.select("test", F.col("node").alias("file"), "depth")
     return out.join(wanted, "file", "left_semi") if wanted is not None else out
+
+
+def referenced_ranges(references: DataFrame, tests: DataFrame, most: int, is_test: Column | None = None, followed: Column | None = None, hunks: DataFrame | None = None) -> DataFrame:
+    """test, file, start, end: the lines that a test's references lead to, as the fewest closed ranges.
+
+    References are (file, line, to_file, start, end): what stands at that line leads to those lines. Tests are (test, start,
+    end), their own files' lines. Each round follows the references on lines that are new to a test: what a test has
+    covered already is taken out of the ranges that a round finds before they are followed, so no line is followed twice
+    and cycles end. Lines at a depth up to `most` are followed, so those one deeper are the last to be covered. Files where
+    `is_test` holds (of the column file) are only entered as roots; where `followed` doesn't, lines are covered but lead
+    nowhere. With `hunks` (file, start, end) only tests remain whose lines touch one.
+    """
+    checkpoints(references.sparkSession)
+    keys = ["test", "file"]
+    is_test = F.contains(F.lower(F.element_at(F.split("file", "/"), -1)), F.lit("test")) if is_test is None else is_test
+    ends = references.select(F.col("to_file").alias("file"), F.struct("start", "end").alias("_to"), F.col("file").alias("_from"), "line").where(~is_test)
+    edges = ends.select(F.col("_from").alias("file"), "line", F.col("file").alias("_file"), "_to").distinct().checkpoint()
+    known = covered(tests.select("test", F.col("test").alias("file"), "start", "end"), keys, "start", "end").checkpoint()
+    frontier = known
+    for depth in range(most + 1):
+        active = frontier if followed is None else frontier.where(followed)
+        hits = stabbed(edges, active.select("test", "file", F.col("start").alias("_a"), F.col("end").alias("_b")), ["file"], "line", "_a", "_b")
+        found = hits.select("test", F.col("_file").alias("file"), "_to.start", "_to.end").distinct()
+        frontier = uncovered(found, known, keys, "start", "end").checkpoint()
+        if not frontier.take(1):
+            break
+        known = covered(known.unionByName(frontier), keys, "start", "end")
+        # The last round's lines are not followed, and nothing reads them twice.
+        known = known.checkpoint() if depth < most else known
+    if hunks is None:
+        return known
+    touched = overlapping(known, hunks.select("file", F.col("start").alias("_a"), F.col("end").alias("_b")), ["file"], ("start", "end"), ("_a", "_b"))
+    return known.join(touched.select("test").distinct(), "test", "left_semi")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfloom.functions.text import stripped
+from perfloom.operators.graph import checkpoints
+from perfloom.operators.ranges import contained, overlapping  # noqa: F401
 
 
 def keep(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
@@ -32,19 +34,35 @@ def require(wanted: DataFrame, known: DataFrame, key: str, what: str = "ids") ->
 def as_of(left: DataFrame, right: DataFrame, time: str, released: str, value: str, by: list[str] | None = None, tie: str | None = None) -> DataFrame:
     """`left` with the `value` of the newest row of `right` strictly before its time; null where there is none.
 
-    Both sides are sorted into one stream per key and the last value is carried forward, so each side is shuffled once
-    and no pairs are made. Rows of one time see only earlier ones: releases come after them in the order. Of several
-    releases at one time the one with the largest `tie` counts (`value` if none is named).
+    Of several releases at one time the one with the largest `tie` counts (`value` if none is named), and null values
+    don't count. Rows without a time have none before, and releases without one are before nothing.
+
+    Only the different times of each key are looked up: times and releases go into one stream, dealt out by ranges of key
+    and time. Each part carries its last value forward, and then takes the last value of the parts before it; these are
+    one row for each part and key. So a key that has most rows, or none at all (no `by`), is spread over all tasks.
     """
     by = by or []
     tie = tie or value
-    kinds = {f.name: f.dataType for f in right.schema.fields}
-    cols = left.columns
-    a = left.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kinds[tie]).alias("_tie"), F.lit(None).cast(kinds[value]).alias("_v"), F.struct(*cols).alias("_row"))
-    b = right.select(*by, F.col(released).alias("_t"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    both = a.unionByName(b).withColumn("_last", F.last(F.when(F.col("_side") == 1, F.col("_v")), ignorenulls=True).over(w))
-    return both.where("_side = 0 and _row is not null").select("_row.*", F.col("_last").alias(value))
+    checkpoints(left.sparkSession)
+    times = left.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("_t")).distinct()
+    best = F.max_by(F.struct(F.col(value).alias("v")), F.struct(F.col(tie).isNotNull(), F.col(tie), F.col(value)))
+    news = right.where(F.col(released).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(released).alias("_t")).agg(best.alias("_v"))
+    # A time's own release comes behind the time itself.
+    both = times.withColumn("_side", F.lit(0)).withColumn("_v", F.lit(None).cast(news.schema["_v"].dataType)).unionByName(news.withColumn("_side", F.lit(1)).select(*by, "_t", "_side", "_v"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges come from a sample, so they are settled before they are read twice.
+    rows = both.repartitionByRange(parts, *by, "_t").withColumn("_p", F.spark_partition_id()).checkpoint()
+    within = Window.partitionBy(*by, "_p").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("_side = 1").groupBy(*by, "_p").agg(F.max_by("_v", "_t").alias("_end")).unionByName(rows.select(*by, "_p").distinct().withColumn("_end", F.lit(None).cast(news.schema["_v"].dataType)))
+    ends = ends.groupBy(*by, "_p").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*[F.col(k).alias(f"_b{k}") for k in by], F.col("_p").alias("_q"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    found = rows.withColumn("_last", F.last("_v", ignorenulls=True).over(within)).where("_side = 0")
+    found = found.join(before, [F.col("_p") == F.col("_q")] + [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in by])
+    found = found.select(*[F.col(k).alias(f"_k{k}") for k in by], F.col("_t").alias("_time"), F.coalesce("_last", "_before")["v"].alias("_value"))
+    kept = left.drop(value) if value in left.columns else left
+    on = [F.col(time) == F.col("_time")] + [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in by]
+    return kept.join(found, on, "left").select(*[F.col(c) for c in kept.columns], F.col("_value").alias(value))
 
 
 def first_by(rows: DataFrame, key: str | list[str], *order: Column | str) -> DataFrame:
@@ -84,29 +102,6 @@ def mismatches(left: DataFrame, right: DataFrame, key: list[str], value: str) ->
     return a.join(b, key, "full_outer").where("not (_a <=> _b)").select(*key, F.col(f"_a.{value}").alias("left_value"), F.col(f"_b.{value}").alias("right_value"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int) -> DataFrame:
-    """Pairs of rows whose closed ranges intersect, within `by`.
-
-    Ranges are spread over buckets of `width`, so that the join has an equi-key; a pair counts in the first bucket that
-    both have.
-    """
-    spread = lambda df, r: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(r[0]) / width), F.floor(F.col(r[1]) / width))))
-    out = spread(a.where(F.col(a_range[0]) <= F.col(a_range[1])), a_range).join(spread(b.where(F.col(b_range[0]) <= F.col(b_range[1])), b_range), [*by, "_bucket"])
-    meet = (F.col(a_range[0]) <= F.col(b_range[1])) & (F.col(b_range[0]) <= F.col(a_range[1]))
-    return out.where(meet & (F.col("_bucket") == F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width))).drop("_bucket")
-
-
-def contained(points: DataFrame, spans: DataFrame, by: list[str], point: tuple[str, str], span: tuple[str, str], width: int = 100) -> DataFrame:
-    """Rows of `points` whose half-open range lies within one of `spans`.
-
-    A span lies in every bucket of `width` that it touches and a range in that of its begin, so the join has an equi-key.
-    """
-    a = points.withColumn("_bucket", F.floor(F.col(point[0]) / width))
-    b = spans.where(F.col(span[0]) <= F.col(span[1])).select(*by, F.col(span[0]).alias("_from"), F.col(span[1]).alias("_to"), F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width))).alias("_bucket"))
-    keys = [*by, "_bucket"]
-    return a.join(b, [a[k].eqNullSafe(b[k]) for k in keys] + [b["_from"] <= a[point[0]], a[point[1]] <= b["_to"]], "left_semi").drop("_bucket")
-
-
 def covering_tests(coverage: DataFrame, wanted: DataFrame) -> DataFrame:
     """Tests that run a wanted line: coverage (test, file, line) against (file, line)."""
     return coverage.join(wanted.select("file", "line").distinct(), ["file", "line"], "left_semi").select("test").distinct()
@@ -130,6 +125,37 @@ def same_path(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     return same.unionByName(over).unionByName(under).drop("_x", "_y", "_x_last", "_y_last")
 
 
+def among_paths(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows of `a` whose path matches any of `b`'s, as `same_path` matches them.
+
+    Only different names meet: the last parts of both sides, and, for paths without a slash, the ends of the other side's
+    last parts. Ends are cut at the lengths that such names have, so a last part gives no more of them than there are
+    lengths. However many paths end in one name, that name is one row.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"/(\./)*/*", "/"), r"^\./|(?<=.)/$", "")
+    of = lambda df, c: df.where(F.trim(c) != "").select(plain(F.col(c)).alias("path"), F.element_at(F.split(plain(F.col(c)), "/"), -1).alias("name")).distinct()
+    bare = lambda paths: paths.where("path = name").select("name").distinct()
+
+    def ends(names: DataFrame, shorter: DataFrame) -> DataFrame:
+        """name, end: ends of `names` with the length of one of `shorter`; one row with the lengths goes to every task."""
+        lengths = shorter.agg(F.collect_set(F.length("name")).alias("_n"))
+        cut = names.crossJoin(F.broadcast(lengths)).withColumn("_m", F.explode("_n")).where(F.col("_m") < F.length("name"))
+        return cut.select("name", F.expr("right(name, _m)").alias("end"))
+
+    x, y = of(a, left), of(b, right)
+    x_names, y_names = x.select("name").distinct(), y.select("name").distinct()
+    same = x_names.join(y_names, "name", "left_semi")
+    longer = ends(x_names, bare(y)).join(bare(y).withColumnRenamed("name", "end"), "end", "left_semi").select("name")
+    # Names of `a` without a slash that are ends of names of `b`.
+    inner = ends(y_names, bare(x)).select(F.col("end").alias("name")).distinct()
+    whole = same.union(longer).distinct().select(F.col("name").alias("_hit"))
+    short = bare(x).join(inner, "name", "left_semi").select(F.col("name").alias("_short"))
+    rows = a.withColumns({"_path": plain(F.col(left)), "_name": F.element_at(F.split(plain(F.col(left)), "/"), -1)}).where(F.trim(left) != "")
+    by_name = rows.join(whole, F.col("_name") == F.col("_hit"), "left_semi")
+    by_path = rows.join(whole, F.col("_name") == F.col("_hit"), "left_anti").join(short, F.col("_path") == F.col("_short"), "left_semi")
+    return by_name.unionByName(by_path).drop("_path", "_name")
+
+
 def paired(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of two lists paired by their places within `keys`: columns of `a`, those of `b` as `other`, and `place` from 0.
 

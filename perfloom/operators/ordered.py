@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfloom.operators.ranges import smallest_span  # noqa: F401
+
 
 def range_of(df: DataFrame, x: str) -> Column:
     """The number of the range of x that a row falls into, of as many ranges as a shuffle has partitions.
@@ -119,17 +121,6 @@ def merged(df: DataFrame, by: list[str], start: str, end: str, gap: int = 0) ->
     return rows.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def smallest_span(points: DataFrame, spans: DataFrame, by: list[str], point: str, start: str, end: str, name: str, width: int = 100) -> DataFrame:
-    """points with `name` of the shortest span around each point, the earliest of several; points in none are left out.
-
-    Spans are spread over buckets of `width`, so a point meets only those that reach its own bucket.
-    """
-    cols = points.columns
-    held = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    inside = points.withColumn("_bucket", F.floor(F.col(point) / width)).join(held, [*by, "_bucket"]).where(F.col(point).between(F.col(start), F.col(end)))
-    return inside.groupBy(*cols).agg(F.min_by(name, F.struct(F.col(end) - F.col(start), F.col(start), F.col(name))).alias(name))
-
-
 def last_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """The last n rows of each group."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])

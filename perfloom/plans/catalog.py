@@ -167,7 +167,7 @@ def _intervals(spark, d):
 def interval_overlap(spark, d):
     o = _intervals(spark, d)
     a, b = o.select("k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("o_orderkey").alias("a")), o.select("k", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("o_orderkey").alias("b"))
-    return J.overlapping(a, b, ["k"], ("s1", "e1"), ("s2", "e2"), 60).where("a < b").select("k", "a", "b")
+    return J.overlapping(a, b, ["k"], ("s1", "e1"), ("s2", "e2")).where("a < b").select("k", "a", "b")
 
 
 @query("WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS t FROM orders), p AS (SELECT * FROM o WHERE st='F'), s AS (SELECT *, t-15-(id%40) AS a, t+15+(id%40) AS b FROM o WHERE st<>'F') SELECT p.id AS point, arg_min(s.id, {'w': b-a, 'a': a, 'i': s.id}) AS span FROM p JOIN s ON p.k=s.k AND p.t BETWEEN a AND b GROUP BY 1")
@@ -637,4 +637,4 @@ def bin_counts(spark, d):
 
 
 # The queries on records register themselves here.
-from perfloom.plans import catalog_records  # noqa: E402, F401
+from perfloom.plans import catalog_depth, catalog_records  # noqa: E402, F401

@@ -45,7 +45,7 @@ def test_intervals(spark):
     a, b = x.selectExpr("k", "s s1", "e e1"), x.selectExpr("k", "s s2", "e e2")
     rows = [r[1:] for r in x.collect()]
     want = sorted((s, e, t, f) for s, e in rows for t, f in rows if s <= f and t <= e)
-    assert sorted((r.s1, r.e1, r.s2, r.e2) for r in J.overlapping(a, b, ["k"], ("s1", "e1"), ("s2", "e2"), 2).collect()) == want
+    assert sorted((r.s1, r.e1, r.s2, r.e2) for r in J.overlapping(a, b, ["k"], ("s1", "e1"), ("s2", "e2")).collect()) == want
 
 
 def test_graph_with_cycle(spark):

@@ -40,8 +40,33 @@ def counts(df: DataFrame, by: list[str]) -> DataFrame:
 
 def length_summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sd, min, quartiles and max of a text's length."""
-    n = F.length(column).cast("double")
-    return df.agg(F.count(n).alias("count"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("sd"), F.min(n).alias("min"), *[F.percentile(n, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max(n).alias("max"))
+    from perfloom.operators.ordered import quantiles
+
+    lengths = df.select(F.length(column).cast("double").alias("_l"))
+    whole = lengths.agg(F.count("_l").alias("count"), F.avg("_l").alias("mean"), F.stddev_samp("_l").alias("sd"), F.min("_l").alias("min"), F.max("_l").alias("max"))
+    quarters = quantiles(lengths, "_l", [0.25, 0.5, 0.75]).select(*[F.col("quantiles")[i].alias(f"q{q}") for i, q in enumerate((25, 50, 75))])
+    # One row each.
+    return whole.crossJoin(F.broadcast(quarters)).select("count", "mean", "sd", "min", "q25", "q50", "q75", "max")
+
+
+def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Aggregates that are equal for equal multisets of rows, in any order, and can be merged: the count, and sum and xor of two 64-bit hashes.
+
+    Different multisets agree with a chance of about 2^-128. Map columns have no order and can't be hashed; give them as arrays.
+    """
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    return [F.count("*").alias("rows"), F.sum(one.cast("decimal(20,0)")).alias("sum"), F.bit_xor(two).alias("xor")]
+
+
+def same_rows(a: DataFrame, b: DataFrame, as_sets: bool = False) -> DataFrame:
+    """One row, `same`: whether two tables have the same rows, as often as each other, or with `as_sets` however often.
+
+    Each side is read once and nothing of it is shuffled but its fingerprint; only as sets are rows brought together, to be told apart.
+    """
+    if as_sets:
+        a, b = a.distinct(), b.select(*a.columns).distinct()
+    sides = [df.agg(F.struct(*fingerprint(df, a.columns)).alias(n)) for df, n in ((a, "x"), (b, "y"))]
+    return sides[0].crossJoin(F.broadcast(sides[1])).select(F.col("x").eqNullSafe(F.col("y")).alias("same"))
 
 
 def outcomes(raw: Column, correctness: Column, human: Column) -> list[Column]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfloom.operators.graph import checkpoints
 from perfloom.operators.ranges import smallest_span  # noqa: F401
 
 
@@ -38,6 +41,51 @@ def running_totals(df: DataFrame, x: str, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_p", *[f"_{c}" for c in columns])
 
 
+def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`df` with `_p`, the number of the range of (by, order) that a row falls into; ranges follow that order.
+
+    Rows of a key, however many, go to as many ranges as they fill; equal ones share one. Bounds come from a sample, so the
+    ranges are checkpointed before anything reads them.
+    """
+    checkpoints(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+
+
+def totals_within(df: DataFrame, by: list[str], x: str, column: str) -> DataFrame:
+    """`df` with `column` replaced by its sum over the rows of its group up to this x, and `_all`, the sum over all of them.
+
+    x must be distinct within a group. Sums are made within ranges of (by, x), and those of the ranges before are added:
+    they are one row for each range and group, so no group meets in one task.
+    """
+    rows = dealt(df, by, [x])
+    part = Window.partitionBy(*by, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*by)
+    sums = rows.groupBy(*by, "_p").agg(F.sum(column).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_g{k}") for k in by], F.col("_p").alias("_q"), before.alias("_before"), F.sum("_s").over(group).alias("_all"))
+    on = [F.col("_p") == F.col("_q")] + [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in by]
+    out = rows.withColumn(column, F.sum(column).over(part)).join(sums, on).withColumn(column, F.col(column) + F.col("_before"))
+    return out.select(*df.columns, "_all")
+
+
+def quantiles_by(df: DataFrame, by: list[str], x: str, shares: list[float]) -> DataFrame:
+    """by, `quantiles`: the exact ones of each group's x with linear interpolation, in the order of `shares`; groups of nulls only are left out.
+
+    Equal values are counted before they move, and a value knows its places in its group from the counts up to it; only the
+    values that a share falls on or between are gathered.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n")).withColumn("_up_to", F.col("_n"))
+    run = totals_within(values, by, x, "_up_to")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("place")) for i, q in enumerate(shares)])
+    at = lambda w, f: (f(w["place"]) >= F.col("_up_to") - F.col("_n")) & (f(w["place"]) < F.col("_up_to"))
+    held = run.withColumn("_w", F.explode(F.filter(wanted, lambda w: at(w, F.floor) | at(w, F.ceil))))
+    low, high = F.max(F.when(at(F.col("_w"), F.floor), F.col(x))), F.max(F.when(at(F.col("_w"), F.ceil), F.col(x)))
+    each = held.groupBy(*by, "_w").agg(low.alias("a"), high.alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("_w.place") - F.floor("_w.place"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_w.i").alias("i"), value.alias("v")))), lambda e: e["v"]).alias("quantiles"))
+
+
 def prefix_harmonic(df: DataFrame, x: str, ratio: str, by: list[str] | None = None) -> DataFrame:
     """With `prefix_mean`: the harmonic mean of the ratios of all rows up to this x, equal ones included."""
     by = by or []
@@ -78,14 +126,9 @@ def quantiles(df: DataFrame, x: str, shares: list[float]) -> DataFrame:
 
 
 def log_grid(df: DataFrame, x: str, points: int, low: float = 0.15, by: list[str] | None = None) -> DataFrame:
-    """threshold: `points` values evenly spaced in the logarithm from a quantile of x to its maximum.
-
-    With `by`, groups are models, of which each has its values' counts in one task.
-    """
-    if by:
-        ends = df.groupBy(*by).agg(F.percentile(x, low).alias("_a"), F.max(x).alias("_b"))
-    else:
-        ends = quantiles(df, x, [low, 1.0]).select(F.col("quantiles")[0].alias("_a"), F.col("quantiles")[1].alias("_b"))
+    """threshold: `points` values evenly spaced in the logarithm from a quantile of x to its maximum, in each group of `by` if that is given."""
+    ends = quantiles_by(df, by, x, [low, 1.0]) if by else quantiles(df, x, [low, 1.0])
+    ends = ends.select(*(by or []), F.col("quantiles")[0].alias("_a"), F.col("quantiles")[1].alias("_b"))
     step = (F.ln("_b") - F.ln("_a")) / (points - 1)
     return ends.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*(by or []), F.col("_i").alias("point"), F.exp(F.ln("_a") + F.col("_i") * step).alias("threshold"))
 
@@ -103,7 +146,9 @@ def bucket_of(x: Column, edges: Column) -> Column:
 def median_pivot(df: DataFrame, bucket: str, buckets: int, model: str, models: list[str], value: str) -> DataFrame:
     """Medians by bucket, a column for each model; buckets without rows are there with nulls."""
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias(bucket))
-    wide = df.groupBy(bucket).pivot(model, models).agg(F.median(value))
+    medians = quantiles_by(df, [bucket, model], value, [0.5]).select(bucket, model, F.col("quantiles")[0].alias("_m"))
+    # A row for each bucket and model.
+    wide = medians.groupBy(bucket).pivot(model, models).agg(F.max("_m"))
     return every.join(F.broadcast(wide), bucket, "left")
 
 
@@ -133,22 +178,41 @@ def unique_by(df: DataFrame, key: Column) -> DataFrame:
     return once.select("_row.*")
 
 
-def layout(tree: DataFrame, by: list[str], levels: int) -> DataFrame:
+def layout(tree: DataFrame, by: list[str]) -> DataFrame:
     """x offsets of a tree (node, parent, total): children beside each other in name order within their parent.
 
-    One join a level; a level's siblings are placed by a running sum.
+    A round places the children of the level before, until there are none; a level's siblings are placed by a running sum.
+    Levels are checkpointed, so no round repeats the ones before. Nodes that no root leads to are left out.
     """
+    checkpoints(tree.sparkSession)
     w = Window.partitionBy(*by, "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    rows = tree.withColumn("_inner", F.coalesce(F.sum("total").over(w), F.lit(0.0)))
+    rows = tree.withColumn("_inner", F.coalesce(F.sum("total").over(w), F.lit(0.0))).checkpoint()
     level = rows.where("parent is null").select(*by, "node", "parent", "total", F.lit(0).alias("depth"), F.col("_inner").alias("x"))
     out = level
-    for d in range(1, levels):
+    for depth in count(1):
         up = level.select(*by, F.col("node").alias("parent"), F.col("x").alias("_x"))
-        level = rows.join(up, [*by, "parent"]).select(*by, "node", "parent", "total", F.lit(d).alias("depth"), (F.col("_x") + F.col("_inner")).alias("x"))
+        level = rows.join(up, [*by, "parent"]).select(*by, "node", "parent", "total", F.lit(depth).alias("depth"), (F.col("_x") + F.col("_inner")).alias("x")).checkpoint()
+        if not level.take(1):
+            return out
         out = out.unionByName(level)
+        if depth % 8 == 0:
+            out = out.checkpoint()
     return out
 
 
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """With `position` from 1 in the order of columns that together are distinct.
+
+    Rows are sorted within ranges, and the sizes of the ranges before, one row each, are added; no task gets all rows.
+    """
+    rows = dealt(df, [], order)
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_p", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return rows.withColumn("position", rank).join(F.broadcast(sizes), "_p").withColumn("position", F.col("position") + F.col("_before")).select(*df.columns, "position")
+
+
 def greedy_cover(nodes: DataFrame, by: str, cap: float) -> DataFrame:
     """by, node, rank: deepest first, then by gain; a chosen node bans its ancestors; stops when `cap` of the gain is reached.
 

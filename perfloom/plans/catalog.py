@@ -521,7 +521,7 @@ def profile_tree(spark, d):
     region = F.concat(F.lit("r"), F.col("n_regionkey"))
     tree = leaf.select(F.lit(0).alias("g"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), region.alias("parent"), "total")
     tree = tree.unionByName(leaf.groupBy(region.alias("node")).agg(F.sum("total").alias("total")).select(F.lit(0).alias("g"), "node", F.lit(None).cast("string").alias("parent"), "total"))
-    return O.layout(tree, ["g"], 2).select("node", "depth", "x")
+    return O.layout(tree, ["g"]).select("node", "depth", "x")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY 1,2")

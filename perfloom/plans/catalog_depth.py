@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from perfloom.operators import aggregates as A
 from perfloom.operators import graph as G
 from perfloom.operators import joins as J
+from perfloom.operators import ordered as O
 from perfloom.operators import ranges as I
+from perfloom.operators import sampling as S
 from perfloom.plans.catalog import query
 from perfloom.sources.paged import StagedPages, listing
 from perfloom.sources.readers import table
@@ -171,3 +174,81 @@ def paged_source(spark, d):
     base = _folder(spark)
     table(spark, d, "conversations").where("conv_id is not null").select((F.col("turn") + 1).cast("int").alias("page"), F.col("conv_id").cast("string").alias("value")).repartition("page").write.partitionBy("page").text(base)
     return listing(spark, StagedPages, path=base, pages_per_task=2, tasks=4, pause=0.1).select("page", "item")
+
+
+# ------------------------------------------------------------------ quantiles, layouts and orders of groups of any size
+
+
+@query("SELECT l_returnflag, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.333, 0.5, 0.9, 1.0])), 4) AS value, unnest(range(6))::INT AS i FROM lineitem GROUP BY 1")
+def quantiles_of_hot_groups(spark, d):
+    q = O.quantiles_by(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.1, 0.333, 0.5, 0.9, 1.0])
+    return q.select("l_returnflag", F.posexplode("quantiles").alias("i", "value")).select("l_returnflag", "i", F.round("value", 4).alias("value"))
+
+
+@query("SELECT l_suppkey, l_linestatus, median(l_quantity) AS m FROM lineitem GROUP BY 1,2")
+def medians_of_many_groups(spark, d):
+    return O.quantiles_by(table(spark, d, "lineitem"), ["l_suppkey", "l_linestatus"], "l_quantity", [0.5]).select("l_suppkey", "l_linestatus", F.col("quantiles")[0].alias("m"))
+
+
+@query("WITH e AS (SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.15) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1) SELECT p, i::INT AS point, round(exp(ln(a)+i*(ln(b)-ln(a))/9),3) AS threshold FROM e, range(10) t(i)")
+def log_grid_by_priority(spark, d):
+    return O.log_grid(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "p"), "o_totalprice", 10, by=["p"]).select("p", "point", F.round("threshold", 3).alias("threshold"))
+
+
+@query(
+    """WITH a AS (SELECT 'customer' AS model, c_acctbal AS x FROM customer UNION ALL SELECT 'supplier', s_acctbal FROM supplier), e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.0,0.2,0.4,0.6,0.8,1.0]))) AS edges FROM a)
+    SELECT model, greatest(len(list_filter(edges, lambda y: y < x))-1,0)::INT AS bucket, count(*) AS n FROM a, e GROUP BY 1,2"""
+)
+def pooled_buckets(spark, d):
+    """Both models' values set the edges."""
+    of = lambda t, c: table(spark, d, t).select(F.lit(t).alias("model"), F.col(c).alias("x"))
+    pooled = of("customer", "c_acctbal").unionByName(of("supplier", "s_acctbal"))
+    rows = pooled.crossJoin(F.broadcast(O.quantile_edges(pooled, "x", 5)))
+    return rows.groupBy("model", O.bucket_of(F.col("x"), F.col("edges")).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS id, round(o_totalprice*100)::BIGINT AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+    t AS (SELECT c.k, c.id, p.id AS parent, c.total FROM o c LEFT JOIN o p ON p.k = c.k AND p.i = c.i // 2 AND c.i > 1),
+    s AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY k, parent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ins FROM t),
+    r AS (SELECT k, id, 0 AS depth, ins AS x FROM s WHERE parent IS NULL UNION ALL SELECT s.k, s.id, depth + 1, (x + ins)::BIGINT FROM r JOIN s ON s.k = r.k AND s.parent = r.id)
+    SELECT k, id AS node, depth, x FROM r"""
+)
+def layout_of_any_depth(spark, d):
+    """A customer's orders as a tree: the i-th in time hangs on the one at half its place."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("node"), "o_orderdate", F.round(F.col("o_totalprice") * 100).alias("total"))
+    o = o.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("o_orderdate", "node")))
+    up = o.select("k", F.col("i").alias("half"), F.col("node").alias("parent"))
+    tree = o.withColumn("half", F.expr("case when i > 1 then i div 2 end")).join(up, ["k", "half"], "left").select("k", "node", "parent", "total")
+    return O.layout(tree, ["k"]).select("k", "node", "depth", F.col("x").cast("long").alias("x"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) AS position FROM orders")
+def order_positions(spark, d):
+    """The places of rows spread by a seeded hash."""
+    o = table(spark, d, "orders").select("o_orderkey", S.hash_order(F.col("o_orderkey"), "42").alias("h"))
+    return O.positions(o, ["h", "o_orderkey"]).select("o_orderkey", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    """WITH early AS (SELECT user_id, event_type FROM events WHERE day(ts) <= 15), late AS (SELECT user_id, event_type FROM events WHERE day(ts) > 15), u AS (SELECT DISTINCT user_id % 10 AS u FROM early), v AS (SELECT DISTINCT user_id % 10 AS u FROM late),
+    a AS (SELECT * FROM early UNION ALL SELECT * FROM late), b AS (SELECT user_id, event_type FROM events)
+    SELECT 'halves' AS what, (SELECT count(*) FROM (SELECT * FROM early EXCEPT ALL SELECT * FROM late)) + (SELECT count(*) FROM (SELECT * FROM late EXCEPT ALL SELECT * FROM early)) = 0 AS same UNION ALL
+    SELECT 'last digits', (SELECT count(*) FROM (SELECT * FROM u EXCEPT SELECT * FROM v)) + (SELECT count(*) FROM (SELECT * FROM v EXCEPT SELECT * FROM u)) = 0 UNION ALL
+    SELECT 'both', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0"""
+)
+def same_rows(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", F.dayofmonth("ts").alias("day"))
+    early, late = (e.where(c).drop("day") for c in ("day <= 15", "day > 15"))
+    digits = lambda df: df.select((F.col("user_id") % 10).alias("u"))
+    pairs = {"halves": A.same_rows(early, late), "last digits": A.same_rows(digits(early), digits(late), as_sets=True), "both": A.same_rows(late.unionByName(early), e.drop("day"))}
+    out = None
+    for what, row in pairs.items():
+        one = row.select(F.lit(what).alias("what"), "same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def missing_parts(spark, d):
+    return J.missing(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), table(spark, d, "part").where("p_size < 25").select("p_partkey"), "p_partkey")

@@ -71,14 +71,89 @@ def versioned(tasks: DataFrame, releases: DataFrame, repo: str = "repo") -> Data
     return J.as_of(days, releases, "_day", "release_date", "version", [repo]).drop("_day").where("version is not null")
 
 
-# Tasks that are left out, tests that are left out, and tests that run in one thread, by parts of their names.
-IGNORED_INSTANCES = ["scikit-learn__scikit-learn-14075", "numpy__numpy-23088", "scipy__scipy-16449", "scikit-learn__scikit-learn-19934", "scipy__scipy-22610", "pandas-dev__pandas-36611"]
-SKIPPED_TESTS = [
-    "test_user_agent.py", "sklearn/tests/test_common.py", "pandas/tests/extension/json/test_json.py::TestArithmeticOps::test_arith_frame_with_scalar",
-    "pandas/tests/indexes/test_base.py::TestIndex::test_isin_nan_common_object", "pandas/tests/test_algos.py::TestIsin::test_different_nans", "test_nan",
-    "numpy/_core/tests/test_umath_accuracy.py::TestAccuracy::test_validate_svml_fp16", "numpy/_core/tests/test_scalarmath.py::test_array_scalar_ufunc_dtypes", "test_reindex_nan",
-    "pandas/tests/io/json/test_pandas.py::TestPandasContainer::test_roundtrip_simple[columns-True-True-float]", "pandas/tests/io/json/test_json_table_schema.py::TestTableOrient::test_build_series", "dropna",
-]
+# Tasks that are left out.
+IGNORED_INSTANCES = """
+scikit-learn__scikit-learn-14075
+numpy__numpy-23088
+scipy__scipy-16449
+scikit-learn__scikit-learn-19934
+scipy__scipy-22610
+pandas-dev__pandas-36611
+pandas-dev__pandas-52290
+pandas-dev__pandas-44608
+pandas-dev__pandas-54223
+scikit-learn__scikit-learn-13987
+matplotlib__matplotlib-20197
+pandas-dev__pandas-39678
+scipy__scipy-10574
+numpy__numpy-11518
+matplotlib__matplotlib-24847
+matplotlib__matplotlib-18997
+pandas-dev__pandas-43623
+pandas-dev__pandas-43316
+pandas-dev__pandas-52132
+numpy__numpy-25991
+sympy__sympy-12748
+scikit-learn__scikit-learn-16499
+sympy__sympy-21320
+pandas-dev__pandas-41503
+pandas-dev__pandas-43737
+numpy__numpy-13634
+pandas-dev__pandas-43307
+""".split()
+# Tests that are left out, by parts of their names.
+SKIPPED_TESTS = """
+test_user_agent.py
+sklearn/tests/test_common.py
+pandas/tests/extension/json/test_json.py::TestArithmeticOps::test_arith_frame_with_scalar
+pandas/tests/indexes/test_base.py::TestIndex::test_isin_nan_common_object
+pandas/tests/test_algos.py::TestIsin::test_different_nans
+test_nan
+numpy/_core/tests/test_umath_accuracy.py::TestAccuracy::test_validate_svml_fp16
+numpy/_core/tests/test_scalarmath.py::test_array_scalar_ufunc_dtypes
+test_reindex_nan
+pandas/tests/series/methods/test_reindex.py::test_reindex_nan
+pandas/tests/io/json/test_pandas.py::TestPandasContainer::test_roundtrip_simple[columns-True-True-float]
+pandas/tests/io/json/test_json_table_schema.py::TestTableOrient::test_build_series
+dropna
+pandas/tests/test_algos.py::TestUnique::test_first_nan_kept
+pandas/tests/io/json/test_readlines.py::test_to_jsonl
+pandas/tests/io/json/test_readlines.py::test_readjson_chunks[1]
+pandas/tests/io/json/test_readlines.py::test_readjson_chunks[1.0]
+pandas/tests/io/json/test_readlines.py::test_readjson_each_chunk
+xarray/tests/test_backends.py::test_open_mfdataset_manyfiles[h5netcdf-20-True-None-5]
+xarray/tests/test_backends.py::test_open_mfdataset_manyfiles[h5netcdf-20-True-5-5]
+xarray/tests/test_backends.py::test_open_mfdataset_manyfiles[netcdf4-20-True-None-5]
+pandas/tests/io/test_fsspec.py::test_json_options
+pandas/tests/indexes/period/test_freq_attr.py::TestFreq::test_freq_setter_deprecated
+pandas/tests/reshape/test_get_dummies.py::TestGetDummies::test_get_dummies_basic_drop_first_NA[sparse]
+pandas/tests/reshape/test_get_dummies.py::TestGetDummies::test_get_dummies_basic_drop_first_NA[dense]
+dask/dataframe/tests/test_dataframe.py::test_describe_empty
+pandas/tests/apply/test_series_apply.py::test_map_missing_mixed[vals0-mapping0-exp0]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[True-2005-11-expected20-None]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[True-2014-06-expected36-None]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[True-2014-6-expected38-None]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[False-2005-11-expected20-None]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[False-2014-06-expected36-None]
+pandas/tests/tools/test_to_datetime.py::TestDatetimeParsingWrappers::test_parsers[False-2014-6-expected38-None]
+pandas/tests/apply/test_series_apply.py::TestSeriesMap::test_map_missing_mixed[vals0-mapping0-exp0]
+pandas/tests/scalar/timestamp/test_unary_ops.py::TestTimestampUnaryOps::test_round_sanity[ceil-18]
+pandas/tests/libs/test_hashtable.py::TestHashTableUnsorted::test_vector_resize[True-Int32HashTable-Int32Vector-int32-False-10]
+pandas/tests/computation/test_eval.py::TestAlignment::test_complex_series_frame_alignment[python-pandas-i-s-i-s0]
+pandas/tests/scalar/timedelta/test_timedelta.py::TestTimedeltas::test_round_sanity
+lib/matplotlib/tests/test_constrainedlayout.py::test_compressed1
+pandas/tests/test_algos.py::TestIsin::test_different_nan_objects
+xarray/tests/test_backends.py::TestH5NetCDFDataRos3Driver::test_get_variable_list
+pandas/tests/io/parser/common/test_file_buffer_url.py::test_url
+pandas/tests/io/json/test_pandas.py::TestPandasContainer::test_round_trip_exception_
+pandas/tests/io/parser/test_common.py::test_url
+pandas/tests/io/parser/test_parsers.py
+numpy/f2py/tests/test_quoted_character.py
+pandas/tests/io/pytables/test_store.py::test_coordinates
+pandas/tests/io/pytables/test_select.py::test_select_as_multiple
+xarray/tests/test_strategies.py::TestDimensionNamesStrategy::test_types
+""".split()
+# Tests that run in one thread, by parts of their names.
 SINGLE_THREAD_TESTS = ["pandas/tests/io", "xarray/tests/test_backends.py"]
 
 

@@ -7,8 +7,10 @@ import random
 
 import pytest
 
+from perfloom.operators import aggregates as A
 from perfloom.operators import graph as G
 from perfloom.operators import joins as J
+from perfloom.operators import ordered as O
 from perfloom.operators import ranges as I
 from perfloom.sources.paged import SCHEMA, PageReader, StagedPages, StagedReader, listing
 from perfloom.streaming.increments import Results, append_unseen
@@ -207,3 +209,36 @@ def test_failed_pages_are_fetched_again(spark, tmp_path):
     (busy / "busy.json").write_text(json.dumps({"reason": "limit"}))
     with pytest.raises(ConnectionError, match="limit"):
         StagedReader({"path": path, "retries": "0"})._fetched(3)
+
+
+def test_quantiles_by_group(spark):
+    np = pytest.importorskip("numpy")
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None, "one"]), r.choice([None, 1.5, r.gauss(0, 10), float(r.randrange(4))])) for _ in range(500)] + [("nulls", None), ("single", 7.0)]
+    shares = [0.0, 0.15, 0.5, 0.77, 1.0]
+    got = {q.g: q.quantiles for q in O.quantiles_by(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", shares).collect()}
+    want = {g: np.quantile([x for k, x in rows if k == g and x is not None], shares).tolist() for g in {k for k, x in rows if x is not None}}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_layout_has_every_level(spark):
+    chain = [(1, f"n{i:02}", f"n{i - 1:02}" if i else None, 100.0 - i) for i in range(12)] + [(1, "n03b", "n02", 5.0), (1, "lost", "nowhere", 1.0), (2, "r", None, 3.0), (2, "s", None, 4.0)]
+    got = {(q.k, q.node): (q.depth, q.x) for q in O.layout(spark.createDataFrame(chain, "k int, node string, parent string, total double"), ["k"]).collect()}
+    assert got[1, "n11"] == (11, 0.0) and got[1, "n03b"] == (3, 97.0) and got[2, "s"] == (0, 3.0)
+    assert (1, "lost") not in got and len(got) == 15
+
+
+def test_positions_are_the_order(spark):
+    r = random.Random(1)
+    rows = [(r.randrange(5), i) for i in range(300)]
+    got = sorted((q.position, q.a, q.b) for q in O.positions(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).collect())
+    assert got == [(i + 1, a, b) for i, (a, b) in enumerate(sorted(rows))]
+
+
+def test_same_rows(spark):
+    of = lambda rows: spark.createDataFrame(rows, "a int, b string")
+    same = lambda x, y, **k: A.same_rows(of(x), of(y), **k).first()["same"]
+    one = [(1, "a"), (2, None), (None, "c"), (1, "a")]
+    assert same(one, one[::-1]) and same([], [])
+    assert not same(one, one[1:]) and not same(one, [(1, "a"), (2, None), (None, "c"), (2, None)]) and not same(one, [])
+    assert same(one, one[1:], as_sets=True) and not same(one, one[:2], as_sets=True)

@@ -8,8 +8,9 @@ Two lines within tau edits, the shorter of length l: of its tau + 1 even segment
 near its own place. So each line gives, for every length l it may match, the hashes of its substrings at the places
 that tau edits allow (the multi-match-aware windows; for its own length, its own segments are among them). Hashes that
 only one line has are dropped in one aggregation. In what remains, every line is compared with the earliest of its
-bucket; lines that stay after that are compared with all earlier ones. A bucket of one group of lines costs as many
-comparisons as it has lines.
+bucket. Lines that stay after that may share no more than a template with the others of their buckets; they and these are
+cut finer, and only lines that share one of a line's rarest segments are compared (`rare_pairs`). So neither a bucket of
+one group of lines nor one of lines that differ costs more comparisons than a few for each line.
 
 Comparisons run a banded bit-parallel automaton: for each number of edits a word holds which of the 2 tau + 1 diagonals
 are reached, and a column of the matrix takes a few shifts and masks of these words.
@@ -35,7 +36,7 @@ def segments(length: str, parts: int, i: int) -> tuple[str, str]:
 
 
 def probes(lines: DataFrame, tau: int) -> DataFrame:
-    """h1, key: the hashes under which a line (line, length, h1) meets those within tau edits that are as long or shorter, and its own segments.
+    """h1, key, own: the hashes under which a line (line, length, h1) meets those within tau edits that are as long or shorter, its own segments among them.
 
     A row for each place comes before its hash, so that the generated code holds one substring instead of all.
     """
@@ -50,7 +51,44 @@ def probes(lines: DataFrame, tau: int) -> DataFrame:
     longer = f"({parts} - target % {parts})"
     start = f"cast((i - 1) * (target div {parts}) + greatest(0, i - 1 - {longer}) + 1 + shift as int)"
     size = f"cast(target div {parts} + if(i > {longer}, 1, 0) as int)"
-    return rows.selectExpr("h1", f"xxhash64(target, i, substring(line, {start}, {size})) key")
+    return rows.selectExpr("h1", f"xxhash64(target, i, substring(line, {start}, {size})) key", "target = char_length(line) and shift = 0 own")
+
+
+#: Characters of the segments by which lines of one template are told apart: long ones are rarer, short ones are more.
+GRAINS = (8, 3)
+
+
+def _fine(length: str) -> tuple[str, str, str]:
+    """SQL for the number of segments of some `grain` characters of a line, and start and length of the i-th."""
+    parts = f"greatest(fewest, {length} div grain)"
+    longer = f"({parts} - {length} % {parts})"
+    return parts, f"cast((i - 1) * ({length} div {parts}) + greatest(0, i - 1 - {longer}) + 1 as int)", f"cast({length} div {parts} + if(i > {longer}, 1, 0) as int)"
+
+
+def rare_pairs(lines: DataFrame, tau: int) -> DataFrame:
+    """pos, other: pairs of lines (pos, line), `other` the smaller, with all that are within tau edits among them.
+
+    A line cut into any number of segments keeps all but tau of them in every line within tau edits, so one of any tau + 1
+    segments. Each line is met under the tau + 1 of its segments that the fewest lines of its length have, cut by the grain
+    for which these are the fewest, the coarser one of equals; so what lines of a template have in common makes no pairs. The others probe the places
+    of these segments only, at the shifts that tau edits allow.
+    """
+    rows = lines.selectExpr("pos", "line", "char_length(line) n", f"{tau + 1} fewest")
+    parts, start, size = _fine("n")
+    grains = rows.withColumn("grain", F.explode(F.array(*[F.lit(g) for g in GRAINS])))
+    own = grains.withColumn("i", F.explode(F.expr(f"sequence(1, cast({parts} as int))"))).selectExpr("pos", "n", "grain", "i", f"xxhash64(n, grain, i, substring(line, {start}, {size})) key").checkpoint()
+    common = own.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    rated = own.join(common, "key", "left").groupBy("pos", "n", "grain").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "i", "key"))), 1, tau + 1).alias("rare"))
+    best = F.min(F.struct(F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["many"]).alias("many"), (-F.col("grain")).alias("finer"), F.col("grain"), F.col("rare")))
+    chosen = rated.groupBy("pos", "n").agg(best.alias("b")).select("pos", "n", "b.grain", F.explode("b.rare").alias("r")).select("pos", "n", "grain", "r.i", "r.key").checkpoint()
+    places = chosen.selectExpr("n target", "grain", "i").distinct().groupBy("target").agg(F.collect_list(F.struct("grain", "i")).alias("places")).checkpoint()
+    _, start, size = _fine("target")
+    probing = rows.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("target", F.col("n") - F.col("delta")).join(bounded(places), "target")
+    slack = f"(({tau} - delta) div 2)"
+    probing = probing.withColumn("p", F.explode("places")).selectExpr("pos", "line", "n", "fewest", "delta", "target", "p.grain", "p.i")
+    probing = probing.withColumn("shift", F.explode(F.expr(f"sequence(cast(-{slack} as int), cast(delta + {slack} as int))")))
+    met = probing.where(f"{start} + shift >= 1 and {start} + shift + {size} - 1 <= n").selectExpr("pos prober", f"xxhash64(target, grain, i, substring(line, {start} + shift, {size})) key").distinct()
+    return chosen.join(met, "key").where("pos <> prober").selectExpr("greatest(pos, prober) pos", "least(pos, prober) other").distinct()
 
 
 def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
@@ -149,8 +187,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     checkpoints(docs.sparkSession)
     least = max(near_chars, 2 * (tau + 1))
     keyed = stored(probes(_split(docs, least).withColumn("h1", F.xxhash64("line")), tau))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key").checkpoint()
-    buckets = keyed.join(bounded(shared), "key").distinct().checkpoint()
+    # A bucket without a line whose own segment it is can't hold a pair.
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.bool_or("own").alias("owned")).where("lo <> hi and owned").select("key").checkpoint()
+    buckets = keyed.select("h1", "key").join(bounded(shared), "key").distinct().checkpoint()
     dropped(keyed)
     involved = buckets.select("h1").distinct().checkpoint()
     places = lines.where(F.col("length") >= least).join(bounded(involved), "h1", "left_semi").selectExpr("h1", "h2", f"{_POSITION} pos")
@@ -175,10 +214,12 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     leaders = leaders.select("key", "size", F.col("first.pos").alias("other"), F.col("first.n").alias("m"), F.col("first.counts").alias("others"))
     led = members.join(leaders, "key").where("pos > other").checkpoint()
     gone = close(led.where(agree).select("pos", "other")).checkpoint()
-    # The rest: lines that stay so far, against all earlier ones of their bucket but its earliest.
-    left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos", "n", "counts", "other")
-    rest = left.join(members.selectExpr("key", "pos earlier", "n m", "counts others"), "key").where("earlier < pos and earlier > other").where(agree).selectExpr("pos", "earlier other")
-    gone = gone.unionAll(close(rest))
+    # The rest: lines that stay so far, against all earlier ones of their buckets but the earliest.
+    left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos").checkpoint()
+    if left.take(1):
+        others = members.join(left.select("key").distinct(), "key", "left_semi").select("pos").distinct()
+        rest = rare_pairs(texts.select("pos", "line").join(others, "pos", "left_semi").checkpoint(), tau).join(left.select("pos").distinct(), "pos", "left_semi")
+        gone = gone.unionAll(close(rest))
     return texts.join(gone, "pos", "left_semi").select("h1", "h2")
 
 

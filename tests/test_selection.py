@@ -8,11 +8,11 @@ from perfloom.plans import selection as P
 def test_code_functions(spark):
     a, b, c = "x = 1\n", "# c\ny = 'z'\n", "x = 1\nx = 2\n"
     df = spark.createDataFrame([(a, b), (a, c), (a, "def (")], "a string, b string")
-    assert [r[0] for r in df.select(C.unchanged_shape(F.col("a"), F.col("b"))).collect()] == [True, False, None]
+    assert [r[0] for r in df.select(C.facts(F.col("a"))["shape"] == C.facts(F.col("b"))["shape"]).collect()] == [True, False, None]
     src = "import os\n\n__all__ = ['f']\ndef f(\n    a,\n):\n    return a\nx = 1\n"
-    assert C.passive_lines(src) == [1, 2, 3, 4, 5, 6, 9]
+    assert C.facts_of(src)["passive"] == [1, 2, 3, 4, 5, 6, 9]
     bad = "import sys as s, inspect\nfrom traceback import walk_stack as w\nw(s._getframe().f_back)\ns.settrace(1)  # stackguard: allow\n__import__('inspect')\n"
-    got = spark.createDataFrame([(bad,)], "s string").select(F.explode(C.frames(F.col("s")))).select("col.*").collect()
+    got = spark.createDataFrame([(bad,)], "s string").select(F.explode(C.facts(F.col("s"))["findings"])).select("col.*").collect()
     assert [(r.line, r.kind, r.qual) for r in got] == [(1, "IMPORT", "inspect"), (2, "IMPORT", "traceback"), (3, "CALL", "traceback.walk_stack"), (3, "ATTR", ".f_back"), (3, "CALL", "sys._getframe"), (5, "DYNIMPORT", "inspect")]
 
 

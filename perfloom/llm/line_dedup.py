@@ -66,29 +66,30 @@ def _fine(length: str) -> tuple[str, str, str]:
 
 
 def rare_pairs(lines: DataFrame, tau: int) -> DataFrame:
-    """pos, other: pairs of lines (pos, line), `other` the smaller, with all that are within tau edits among them.
+    """pos, other: pairs of lines (bucket, pos, line) of a bucket, `other` the smaller, with all that are within tau edits among them.
 
     A line cut into any number of segments keeps all but tau of them in every line within tau edits, so one of any tau + 1
     segments. Each line is met under the tau + 1 of its segments that the fewest lines of its length have, cut by the grain
-    for which these are the fewest, the coarser one of equals; so what lines of a template have in common makes no pairs. The others probe the places
-    of these segments only, at the shifts that tau edits allow.
+    for which these are the fewest, the coarser one of equals; so what lines of a template have in common makes no pairs.
+    The others of its bucket probe the places of these segments only, at the shifts that tau edits allow.
     """
-    rows = lines.selectExpr("pos", "line", "char_length(line) n", f"{tau + 1} fewest")
+    rows = lines.selectExpr("bucket", "pos", "line", "char_length(line) n", f"{tau + 1} fewest")
     parts, start, size = _fine("n")
-    grains = rows.withColumn("grain", F.explode(F.array(*[F.lit(g) for g in GRAINS])))
+    grains = rows.drop("bucket").dropDuplicates(["pos"]).withColumn("grain", F.explode(F.array(*[F.lit(g) for g in GRAINS])))
     own = grains.withColumn("i", F.explode(F.expr(f"sequence(1, cast({parts} as int))"))).selectExpr("pos", "n", "grain", "i", f"xxhash64(n, grain, i, substring(line, {start}, {size})) key").checkpoint()
     common = own.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     rated = own.join(common, "key", "left").groupBy("pos", "n", "grain").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "i", "key"))), 1, tau + 1).alias("rare"))
     best = F.min(F.struct(F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["many"]).alias("many"), (-F.col("grain")).alias("finer"), F.col("grain"), F.col("rare")))
-    chosen = rated.groupBy("pos", "n").agg(best.alias("b")).select("pos", "n", "b.grain", F.explode("b.rare").alias("r")).select("pos", "n", "grain", "r.i", "r.key").checkpoint()
-    places = chosen.selectExpr("n target", "grain", "i").distinct().groupBy("target").agg(F.collect_list(F.struct("grain", "i")).alias("places")).checkpoint()
+    chosen = rated.groupBy("pos").agg(best.alias("b")).select("pos", "b.grain", F.explode("b.rare").alias("r")).select("pos", "grain", "r.i", "r.key")
+    chosen = rows.select("bucket", "pos", "n").join(chosen, "pos").checkpoint()
+    places = chosen.groupBy("bucket", F.col("n").alias("target")).agg(F.collect_set(F.struct("grain", "i")).alias("places"))
     _, start, size = _fine("target")
-    probing = rows.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("target", F.col("n") - F.col("delta")).join(bounded(places), "target")
+    probing = rows.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("target", F.col("n") - F.col("delta")).join(places, ["bucket", "target"])
     slack = f"(({tau} - delta) div 2)"
-    probing = probing.withColumn("p", F.explode("places")).selectExpr("pos", "line", "n", "fewest", "delta", "target", "p.grain", "p.i")
+    probing = probing.withColumn("p", F.explode("places")).selectExpr("bucket", "pos", "line", "n", "fewest", "delta", "target", "p.grain", "p.i")
     probing = probing.withColumn("shift", F.explode(F.expr(f"sequence(cast(-{slack} as int), cast(delta + {slack} as int))")))
-    met = probing.where(f"{start} + shift >= 1 and {start} + shift + {size} - 1 <= n").selectExpr("pos prober", f"xxhash64(target, grain, i, substring(line, {start} + shift, {size})) key").distinct()
-    return chosen.join(met, "key").where("pos <> prober").selectExpr("greatest(pos, prober) pos", "least(pos, prober) other").distinct()
+    met = probing.where(f"{start} + shift >= 1 and {start} + shift + {size} - 1 <= n").selectExpr("bucket", "pos prober", f"xxhash64(target, grain, i, substring(line, {start} + shift, {size})) key").distinct()
+    return chosen.join(met, ["bucket", "key"]).where("pos <> prober").selectExpr("greatest(pos, prober) pos", "least(pos, prober) other").distinct()
 
 
 def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:
@@ -217,8 +218,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     # The rest: lines that stay so far, against all earlier ones of their buckets but the earliest.
     left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos").checkpoint()
     if left.take(1):
-        others = members.join(left.select("key").distinct(), "key", "left_semi").select("pos").distinct()
-        rest = rare_pairs(texts.select("pos", "line").join(others, "pos", "left_semi").checkpoint(), tau).join(left.select("pos").distinct(), "pos", "left_semi")
+        others = members.join(left.select("key").distinct(), "key", "left_semi").selectExpr("key bucket", "pos")
+        rest = rare_pairs(others.join(texts.select("pos", "line"), "pos").checkpoint(), tau).join(left.select("pos").distinct(), "pos", "left_semi")
         gone = gone.unionAll(close(rest))
     return texts.join(gone, "pos", "left_semi").select("h1", "h2")
 

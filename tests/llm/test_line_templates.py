@@ -41,14 +41,14 @@ def test_rare_segments_meet_every_near_pair(spark, tau, size):
     rng = random.Random(tau * 100 + size)
     lines = templated(rng, 40, size) + ["".join(rng.choice("ab ") for _ in range(rng.randrange(30, 40))) for _ in range(20)]
     lines = list(dict.fromkeys(lines + [edited(rng, x, rng.randrange(1, tau + 2)) for x in lines]))
-    got = {(r.pos, r.other) for r in rare_pairs(spark.createDataFrame(list(enumerate(lines)), "pos long, line string"), tau).collect()}
+    got = {(r.pos, r.other) for r in rare_pairs(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "bucket int, pos long, line string"), tau).collect()}
     near = {(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= tau and distance(lines[i], lines[j]) <= tau}
     assert len(near) > 20 and near <= got
 
 
 def test_lines_of_one_template_make_few_pairs(spark):
     rng = random.Random(5)
-    lines = spark.createDataFrame(list(enumerate(templated(rng, 3_000))), "pos long, line string")
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(templated(rng, 3_000))], "bucket int, pos long, line string")
     assert rare_pairs(lines, 2).count() < 3_000
 
 

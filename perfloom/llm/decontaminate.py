@@ -17,7 +17,7 @@ in place, which is a bound without loss. Items of one or two words are looked up
 
 Items are taken in blocks of at most `ITEM_BLOCK` items and about `ITEM_BYTES`, each a pass over the documents; with
 several blocks, each pass is written out before the next block reaches the driver. A task holds one block, the words of
-one text and at most `WINDOWS` windows.
+one text and at most `WINDOWS` windows. Items of the same words are searched for once, whatever their number.
 
 null items and items without words are not looked for. null and empty texts match nothing. Of repeated rows each gives
 its findings; rows with a null doc_id give findings with a null doc_id. Only doc_id, item_id and text are read.
@@ -37,7 +37,7 @@ from perfloom.llm.shingles import mix, words
 from perfloom.llm.tables import bounded, checkpoints, slices, small_batches, stored
 
 EDITS, RECALL, WALKS, SAMPLES, SAMPLED = 0.15, 0.95, 16, 6, 3
-ITEM_BLOCK, ITEM_BYTES, WINDOWS = 20_000, 16 << 20, 16_384
+ITEM_BLOCK, ITEM_BYTES, WINDOWS, PAIRS = 20_000, 16 << 20, 16_384, 1 << 20
 _U = np.uint64
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MASK = (1 << 24) - 1
@@ -129,13 +129,14 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]], edits: float = EDITS):
         self.edits = edits
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        # Items of the same words are one class, searched for once; each of its items is found where the class is.
+        by_size: dict[int, dict[bytes, tuple[np.ndarray, list[int]]]] = {}
         for (i, _), w in zip(rows, sequences([t for _, t in rows]) if rows else (), strict=True):
             if len(w):
-                by_size.setdefault(len(w), []).append((i, w))
-        self.short = {size: by_size.pop(size) for size in (1, 2) if size in by_size}
-        self.ids = {size: [i for i, _ in items] for size, items in by_size.items()}
-        self.words = {size: np.stack([w for _, w in items]) for size, items in by_size.items()}
+                by_size.setdefault(len(w), {}).setdefault(w.tobytes(), (w, []))[1].append(i)
+        self.short = {size: list(by_size.pop(size).values()) for size in (1, 2) if size in by_size}
+        self.ids = {size: [ids for _, ids in items.values()] for size, items in by_size.items()}
+        self.words = {size: np.stack([w for w, _ in items.values()]) for size, items in by_size.items()}
         # Of each triple of an item, the sizes of the items that have it: sorted pairs.
         hashes = [np.unique(np.concatenate([runs(w, 3) for w in held])) for held in self.words.values()]
         sizes = np.repeat(np.array(list(self.words), np.int64), [len(h) for h in hashes])
@@ -200,11 +201,15 @@ class Items:
         sorted_keys, owner = self.keys[size]
         keys = lsh_keys(windows[:, :size], most)
         lo, hi = np.searchsorted(sorted_keys, keys.ravel(), "left"), np.searchsorted(sorted_keys, keys.ravel(), "right")
-        pairs: set[int] = set()
-        n = len(self.words[size])
-        for k in np.flatnonzero(hi > lo).tolist():
-            pairs.update((owner[lo[k] : hi[k]] + k // keys.shape[1] * n).tolist())
-        code = np.array(sorted(pairs), np.int64)
+        n, hits = len(self.words[size]), np.flatnonzero(hi > lo)
+        count = (hi - lo)[hits]
+        # Windows are taken together as far as their pairs stay within some MB.
+        cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()), PAIRS))
+        parts = [np.zeros(0, np.int64)]
+        for some, many in zip(np.split(hits, cuts), np.split(count, cuts), strict=True):
+            which = np.repeat(lo[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            parts.append(np.unique(owner[which] + np.repeat(some // keys.shape[1] * n, many)))
+        code = np.unique(np.concatenate(parts))
         out = []
         for s in range(0, len(code), 4096):
             r, o = np.divmod(code[s : s + 4096], n)
@@ -217,10 +222,10 @@ class Items:
         """(item_id, first word, words, 0) of the items of one and two words."""
         for size, items in self.short.items():
             seen, first = np.unique(runs(w, size), return_index=True)
-            for i, x in items:
+            for x, ids in items:
                 k = int(np.searchsorted(seen, h := runs(x, size)[0]))
                 if k < len(seen) and seen[k] == h:
-                    yield i, int(first[k]), size, 0
+                    yield from ((i, int(first[k]), size, 0) for i in ids)
 
     def find(self, documents: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, int, int, int, int]]:
         """(document, item_id, first word, words, edits): for each item found in a document, its nearest window, the first one of several.
@@ -241,10 +246,15 @@ class Items:
                     for r, o, d, length in zip(*(x.tolist() for x in self.near(size, rows[k : k + step])), strict=True):
                         number, start = int(numbers[k + r]), int(firsts[k + r])
                         old = best.get((number, size, o))
-                        if old is None or (d, start) < (old[4], old[2]):
-                            best[number, size, o] = (names[number], self.ids[size][o], start, length, d)
+                        if old is None or (d, start) < (old[3], old[1]):
+                            best[number, size, o] = (names[number], start, length, d)
             waiting.clear()
 
+        def found_items() -> Iterator[tuple[object, int, int, int, int]]:
+            for (_, size, o), (name, start, length, d) in best.items():
+                yield from ((name, i, start, length, d) for i in self.ids[size][o])
+            best.clear()
+
         for number, (name, w) in enumerate(documents):
             for found in self._exact(w):
                 yield name, *found
@@ -258,10 +268,9 @@ class Items:
             if split or n >= WINDOWS // 2:
                 flush()
                 n = 0
-                yield from best.values()
-                best.clear()
+                yield from found_items()
         flush()
-        yield from best.values()
+        yield from found_items()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> DataFrame:

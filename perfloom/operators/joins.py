@@ -66,8 +66,14 @@ def as_of(left: DataFrame, right: DataFrame, time: str, released: str, value: st
 
 
 def first_by(rows: DataFrame, key: str | list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in a total order."""
+    """The first row of each key in a total order.
+
+    Where the order is by columns, ascending, the rows of a key are merged before the shuffle; other orders rank them.
+    """
     keys = [key] if isinstance(key, str) else key
+    if all(isinstance(o, str) for o in order):
+        least = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
+        return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(least).select("_row.*")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 

@@ -14,6 +14,7 @@ from perfloom.operators import ordered as O
 from perfloom.operators import ranges as I
 from perfloom.operators import sampling as S
 from perfloom.plans.catalog import query
+from perfloom.sources import sinks as K
 from perfloom.sources.paged import StagedPages, listing
 from perfloom.sources.readers import table
 from perfloom.streaming.increments import Results, append_unseen
@@ -252,3 +253,29 @@ def same_rows(spark, d):
 @query("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
 def missing_parts(spark, d):
     return J.missing(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), table(spark, d, "part").where("p_size < 25").select("p_partkey"), "p_partkey")
+
+
+# ------------------------------------------------------------------ reruns and shards
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_type, day(ts) > 20 AS again, sum(value) AS value FROM events GROUP BY ALL), again AS (SELECT user_id, event_type, value FROM r WHERE again AND event_type = 'error')
+    SELECT user_id, event_type, round(value, 4) AS value, true AS rerun FROM again UNION ALL SELECT user_id, event_type, round(value, 4), false FROM r WHERE NOT again AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM again)"""
+)
+def rerun_results(spark, d):
+    """Errors are run again; what was is taken from the rerun."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type", (F.dayofmonth("ts") > 20).alias("again")).agg(F.sum("value").alias("value")).withColumn("key", F.struct("user_id", "event_type"))
+    first, again = e.where("not again"), e.where("again and event_type = 'error'")
+    out = J.rerun_or_first(first, again, "key")
+    return out.select("user_id", "event_type", F.round("value", 4).alias("value"), F.col("again").alias("rerun"))
+
+
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+def merged_and_removed_shards(spark, d):
+    """Shards are gone once they are merged."""
+    base = _folder(spark)
+    table(spark, d, "documents").select("source", "n_chars").repartition(5).write.json(f"{base}/shards")
+    K.merge_shards(spark.read.json(f"{base}/shards"), f"{base}/merged", 400, remove=True)
+    left = spark.read.schema("source string, n_chars long").json(f"{base}/shards")
+    rows = spark.read.schema("source string, n_chars long").json(f"{base}/merged").unionByName(left)
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -38,10 +38,20 @@ def valid_and_tested(df: DataFrame, all_path: str, tested_path: str) -> None:
         rows.unpersist()
 
 
-def merge_shards(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
-    """All shards that `df` was read from, in as few files as `rows_a_file` allows: one for small data."""
+def merge_shards(df: DataFrame, path: str, rows_a_file: int = 1_000_000, remove: bool = False) -> None:
+    """All shards that `df` was read from, in as few files as `rows_a_file` allows: one for small data.
+
+    With `remove` the shards go once the merged files are written; none of them may be below `path`.
+    """
+    shards = df.inputFiles() if remove else []
+    spark, inside = df.sparkSession, [s for s in shards if f"{path.rstrip('/')}/" in s]
+    if inside:
+        raise ValueError(f"shards lie in the folder that they are merged to: {inside[0]}")
     files = max(1, -(-df.count() // rows_a_file))
     (df.coalesce(1) if files == 1 else df.repartition(files)).write.mode("overwrite").json(path)
+    for shard in shards:
+        file = spark._jvm.org.apache.hadoop.fs.Path(shard)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
 
 
 def bundles(df: DataFrame, by: str, parts: list[str], path: str) -> None:

@@ -637,4 +637,4 @@ def bin_counts(spark, d):
 
 
 # The queries on records register themselves here.
-from perfloom.plans import catalog_depth, catalog_records  # noqa: E402, F401
+from perfloom.plans import catalog_depth, catalog_logs, catalog_patches, catalog_records  # noqa: E402, F401

@@ -8,9 +8,10 @@ Two lines within tau edits, the shorter of length l: of its tau + 1 even segment
 near its own place. So each line gives, for every length l it may match, the hashes of its substrings at the places
 that tau edits allow (the multi-match-aware windows; for its own length, its own segments are among them). Hashes that
 only one line has are dropped in one aggregation. In what remains, every line is compared with the earliest of its
-bucket. Lines that stay after that may share no more than a template with the others of their buckets; they and these are
-cut finer, and only lines that share one of a line's rarest segments are compared (`rare_pairs`). So neither a bucket of
-one group of lines nor one of lines that differ costs more comparisons than a few for each line.
+bucket. Lines that stay after that are compared with all earlier ones of a bucket of at most `FEW` lines. Those of larger
+ones may share no more than a template: they are cut finer, and only lines that share one of a line's rarest segments are
+compared (`rare_pairs`). So neither a bucket of one group of lines nor one of lines that differ costs more than a bounded
+number of comparisons and probes for each line, unless their rarest segments are common too.
 
 Comparisons run a banded bit-parallel automaton: for each number of edits a word holds which of the 2 tau + 1 diagonals
 are reached, and a column of the matrix takes a few shifts and masks of these words.
@@ -56,6 +57,8 @@ def probes(lines: DataFrame, tau: int) -> DataFrame:
 
 #: Characters of the segments by which lines of one template are told apart: long ones are rarer, short ones are more.
 GRAINS = (8, 3)
+#: Lines of a bucket of at most so many are all compared, which is fewer comparisons a line than places to probe.
+FEW = 64
 
 
 def _fine(length: str) -> tuple[str, str, str]:
@@ -216,10 +219,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, tau: int, near_chars: int) ->
     led = members.join(leaders, "key").where("pos > other").checkpoint()
     gone = close(led.where(agree).select("pos", "other")).checkpoint()
     # The rest: lines that stay so far, against all earlier ones of their buckets but the earliest.
-    left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos").checkpoint()
+    left = led.where("size > 2").join(gone, "pos", "left_anti").select("key", "pos", "n", "counts", "other", "size").checkpoint()
     if left.take(1):
-        others = members.join(left.select("key").distinct(), "key", "left_semi").selectExpr("key bucket", "pos")
-        rest = rare_pairs(others.join(texts.select("pos", "line"), "pos").checkpoint(), tau).join(left.select("pos").distinct(), "pos", "left_semi")
+        few = left.where(F.col("size") <= FEW).join(members.selectExpr("key", "pos earlier", "n m", "counts others"), "key")
+        few = few.where("earlier < pos and earlier > other").where(agree).selectExpr("pos", "earlier other")
+        many = left.where(F.col("size") > FEW).select("key", "pos")
+        others = members.join(many.select("key").distinct(), "key", "left_semi").selectExpr("key bucket", "pos")
+        found = rare_pairs(others.join(texts.select("pos", "line"), "pos").checkpoint(), tau).join(many.select("pos").distinct(), "pos", "left_semi")
+        rest = few.unionByName(found)
         gone = gone.unionAll(close(rest))
     return texts.join(gone, "pos", "left_semi").select("h1", "h2")
 

@@ -16,6 +16,11 @@ def test_code_functions(spark):
     assert [(r.line, r.kind, r.qual) for r in got] == [(1, "IMPORT", "inspect"), (2, "IMPORT", "traceback"), (3, "CALL", "traceback.walk_stack"), (3, "ATTR", ".f_back"), (3, "CALL", "sys._getframe"), (5, "DYNIMPORT", "inspect")]
 
 
+def test_cache_warnings():
+    src = "import functools\n@functools.lru_cache(3)\ndef f(a):\n    return a\nmy_cache = {}\nstore: list = list()\nmemo['a'] += 1\nrows = []\n"
+    assert C.facts_of(src)["caches"] == ["function f is memoised", "memo is updated", "my_cache is a container", "store is a container"]
+
+
 def test_selection(spark):
     inst = spark.createDataFrame([("a", ""), ("b", "tests"), ("c", None)], "instance_id string, test_patch string")
     pred = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "")], "instance_id string, model_patch string")

@@ -54,6 +54,21 @@ def test_joins_of_ranges_of_any_length(spark):
     assert I.overlapping(x, none, ["k"], ("s1", "e1"), ("s2", "e2")).collect() == [] and I.smallest_span(x, none, ["k"], "s1", "s2", "e2", "b").collect() == []
 
 
+def test_keys_dealt_out_and_rows_as_many_as_the_input(spark):
+    a, b = some_ranges(3, 150), some_ranges(4, 150)
+    x, y = spark.createDataFrame(a, "k int, a long, s1 long, e1 long"), spark.createDataFrame(b, "k int, b long, s2 long, e2 long")
+    want = sorted((i, j) for k, i, s, e in a for m, j, t, f in b if k == m and s <= e and t <= f and s <= f and t <= e)
+    assert sorted((r.a, r.b) for r in I.overlapping(x, y, ["k"], ("s1", "e1"), ("s2", "e2"), hot=9).collect()) == want
+    want = sorted(i for k, i, s, e in a if s <= e and any(k == m and t <= s and e <= f for m, _, t, f in b))
+    assert sorted(r.a for r in I.contained(x, y, ["k"], ("s1", "e1"), ("s2", "e2"), hot=9).collect()) == want
+    want = sorted((i, min((f - t, t, j) for m, j, t, f in b if k == m and t <= s <= f)[2]) for k, i, s, _ in a if any(k == m and t <= s <= f for m, _, t, f in b))
+    assert sorted((r.a, r.b) for r in I.smallest_span(x, y, ["k"], "s1", "s2", "e2", "b", hot=9).collect()) == want
+    # No row for each block, which a broadcast could take for few.
+    for out in (I.overlapping(x, y, ["k"], ("s1", "e1"), ("s2", "e2")), I.contained(x, y, ["k"], ("s1", "e1"), ("s2", "e2")), I.smallest_span(x, y, ["k"], "s1", "s2", "e2", "b")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+
+
 def test_a_dense_place_does_not_multiply(spark):
     # 3,000 ranges around one place and 3,000 numbers there: 9 million pairs, of which none is made.
     points, spans = spark.range(3_000).selectExpr("1 k", "id p", "id % 7 + 500 x"), spark.range(3_000).selectExpr("1 k", "id s", "400 - id % 90 a", "600 + id % 80 b")

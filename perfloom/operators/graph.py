@@ -106,7 +106,7 @@ def referenced_ranges(references: DataFrame, tests: DataFrame, most: int, is_tes
     keys = ["test", "file"]
     is_test = F.contains(F.lower(F.element_at(F.split("file", "/"), -1)), F.lit("test")) if is_test is None else is_test
     ends = references.select(F.col("to_file").alias("file"), F.struct("start", "end").alias("_to"), F.col("file").alias("_from"), "line").where(~is_test)
-    edges = ends.select(F.col("_from").alias("file"), "line", F.col("file").alias("_file"), "_to").distinct().checkpoint()
+    edges = ends.select(F.col("_from").alias("file"), "line", F.col("file").alias("_file"), "_to").checkpoint()
     known = covered(tests.select("test", F.col("test").alias("file"), "start", "end"), keys, "start", "end").checkpoint()
     frontier = known
     for depth in range(most + 1):

@@ -94,22 +94,43 @@ def split_tests(df: DataFrame, key: str, patch: str = "patch", words: tuple[str,
 
 
 def diff_lines(df: DataFrame, key: str, patch: str = "patch") -> DataFrame:
-    """key, file, hunk, pos, kind, line_no, text: the body lines of a diff with their numbers in the new file.
+    """key, file, hunk, pos, kind, line_no, text: the body lines of a diff with their numbers in the new file; and `first` and `last`, those of its hunk.
 
-    A removed line has the number of the line before it; only others advance.
+    A removed line has the number of the line before it; only others advance. Each diff is read within its row, by filters
+    and slices over its lines, so nothing is shuffled.
     """
-    rows = df.select(key, F.posexplode(F.split(patch, "\n")).alias("pos", "text"))
-    by = Window.partitionBy(key).orderBy("pos")
-    up_to = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("file", F.last(F.nullif(F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.*)$", 1), F.lit("")), ignorenulls=True).over(up_to))
-    rows = rows.withColumn("_start", F.regexp_extract("text", r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)", 1).try_cast("int")).withColumn("hunk", F.count("_start").over(up_to))
-    head = F.col("text").rlike(r"^(diff --git|index |--- |\+\+\+ |@@|new file|deleted file|similarity|rename|\\)")
-    rows = rows.withColumn("_first", F.max("_start").over(Window.partitionBy(key, "hunk"))).where(~head & (F.col("hunk") > 0))
-    kind = F.when(F.col("text").startswith("+"), "+").when(F.col("text").startswith("-"), "-").otherwise(" ")
-    within = Window.partitionBy(key, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("kind", kind)
-    number = F.col("_first") - 1 + F.sum((F.col("kind") != "-").cast("int")).over(within)
-    return rows.select(key, "file", "hunk", "pos", "kind", number.cast("int").alias("line_no"), F.substring("text", 2, 1 << 30).alias("text"))
+    line = F.transform(F.split(patch, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("text")))
+    rows = df.select(key, line.alias("_lines"))
+    file = lambda x: F.nullif(F.regexp_extract(x, r"^\+\+\+ (?:b/)?(.*)$", 1), F.lit(""))
+    start = lambda x: F.regexp_extract(x, r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)", 1).try_cast("int")
+    marks = F.filter("_lines", lambda x: x["text"].startswith("+++ ") | x["text"].startswith("@@ -"))
+    marks = F.filter(F.transform(marks, lambda x: F.struct(x["pos"].alias("pos"), file(x["text"]).alias("file"), start(x["text"]).alias("start"))), lambda x: x["file"].isNotNull() | x["start"].isNotNull())
+    # The file that each mark stands in is carried along the marks, which are few.
+    kind = "struct<pos:int,file:string,start:int>"
+    carried = lambda acc, x: F.array_append(acc, F.struct(x["pos"].alias("pos"), F.coalesce(x["file"], F.try_element_at(acc, F.lit(-1))["file"]).alias("file"), x["start"].alias("start")))
+    carried_or_first = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(carried(acc, x))
+    rows = rows.select(key, "_lines", F.aggregate(marks, F.array().cast(f"array<{kind}>"), carried_or_first).alias("_marks"))
+    hunks = F.filter(F.transform("_marks", lambda x, i: F.struct(i.alias("at"), x.alias("mark"))), lambda x: x["mark"]["start"].isNotNull())
+    rows = rows.select(key, "_lines", "_marks", hunks.alias("_hunks"))
+    head = r"^(diff --git|index |--- |\+\+\+ |@@|new file|deleted file|similarity|rename|\\)"
+
+    def hunk(x: Column, i: Column) -> Column:
+        here, after = x["mark"]["pos"], F.get("_hunks", i + 1)
+        body = F.slice("_lines", here + 2, F.coalesce(after["mark"]["pos"], F.size("_lines")) - here - 1)
+        other = F.slice("_marks", x["at"] + 2, F.coalesce(after["at"], F.size("_marks")) - x["at"] - 1)
+        return F.struct((i + 1).cast("long").alias("hunk"), x["mark"]["start"].cast("long").alias("start"), x["mark"]["file"].alias("file"), other.alias("files"), F.filter(body, lambda y: ~y["text"].rlike(head)).alias("body"))
+
+    rows = rows.select(key, F.explode(F.transform("_hunks", hunk)).alias("_h")).select(key, "_h.*")
+    rows = rows.withColumn("body", F.transform("body", lambda y, i: F.struct(y["pos"].alias("pos"), y["text"].alias("text"), i.alias("i"))))
+    rows = rows.withColumns({"gone": F.filter("body", lambda y: y["text"].startswith("-")), "stay": F.filter("body", lambda y: ~y["text"].startswith("-"))})
+    numbered = lambda c, n: F.transform(c, lambda y, j: F.struct(y["pos"].alias("pos"), y["text"].alias("text"), n(y, j).cast("int").alias("line_no")))
+    both = F.concat(numbered("gone", lambda y, j: F.col("start") - 1 + y["i"] - j), numbered("stay", lambda y, j: F.col("start") + j))
+    some = F.size("stay") > 0
+    ends = F.when(some, F.col("start")).cast("int").alias("first"), F.when(some, F.col("start") - 1 + F.size("stay")).cast("int").alias("last")
+    rows = rows.select(key, "file", "files", "hunk", *ends, F.explode(both).alias("_y"))
+    kind = F.when(F.col("_y.text").startswith("+"), "+").when(F.col("_y.text").startswith("-"), "-").otherwise(" ")
+    later = F.try_element_at(F.filter("files", lambda m: m["pos"] < F.col("_y.pos")), F.lit(-1))["file"]
+    return rows.select(key, F.coalesce(F.when(F.size("files") > 0, later), "file").alias("file"), "hunk", "_y.pos", kind.alias("kind"), "_y.line_no", F.substring("_y.text", 2, 1 << 30).alias("text"), "first", "last")
 
 
 def renumbered(hunks: DataFrame, key: str, file: str = "file") -> DataFrame:
@@ -119,9 +140,10 @@ def renumbered(hunks: DataFrame, key: str, file: str = "file") -> DataFrame:
 
 
 def surviving_neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """For removed lines of `diff_lines`, the numbers of the nearest lines before and after that stay."""
-    stays = F.when(F.col("kind") != "-", F.col("line_no"))
-    w = Window.partitionBy(key, "hunk").orderBy("pos")
-    rows = rows.withColumn("before", F.last(stays, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("after", F.first(stays, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    return rows.where("kind = '-'").select(key, "file", "hunk", "pos", "before", "after")
+    """For removed lines of `diff_lines`, the numbers of the nearest lines before and after that stay.
+
+    Lines that stay are numbered without gaps within a hunk, and a removed line has the number of the one before it: so its
+    own number and those of the hunk's first and last line say both.
+    """
+    before, after = F.when(F.col("line_no") >= F.col("first"), F.col("line_no")), F.when(F.col("line_no") < F.col("last"), F.col("line_no") + 1)
+    return rows.where("kind = '-'").select(key, "file", "hunk", "pos", before.alias("before"), after.alias("after"))

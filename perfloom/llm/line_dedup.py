@@ -83,8 +83,9 @@ def rare_pairs(lines: DataFrame, tau: int) -> DataFrame:
     common = own.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     rated = own.join(common, "key", "left").groupBy("pos", "n", "grain").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "i", "key"))), 1, tau + 1).alias("rare"))
     best = F.min(F.struct(F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["many"]).alias("many"), (-F.col("grain")).alias("finer"), F.col("grain"), F.col("rare")))
-    chosen = rated.groupBy("pos").agg(best.alias("b")).select("pos", "b.grain", F.explode("b.rare").alias("r")).select("pos", "grain", "r.i", "r.key")
-    chosen = rows.select("bucket", "pos", "n").join(chosen, "pos").checkpoint()
+    chosen = rated.groupBy("pos").agg(best.alias("b")).select("pos", "b.grain", "b.rare")
+    # A line's segments go to its buckets as one row and are told apart there.
+    chosen = rows.select("bucket", "pos", "n").join(chosen, "pos").select("bucket", "pos", "n", "grain", F.explode("rare").alias("r")).select("bucket", "pos", "n", "grain", "r.i", "r.key").checkpoint()
     places = chosen.groupBy("bucket", F.col("n").alias("target")).agg(F.collect_set(F.struct("grain", "i")).alias("places"))
     _, start, size = _fine("target")
     probing = rows.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("target", F.col("n") - F.col("delta")).join(places, ["bucket", "target"])

@@ -68,15 +68,44 @@ def _fine(length: str) -> tuple[str, str, str]:
     return parts, f"cast((i - 1) * ({length} div {parts}) + greatest(0, i - 1 - {longer}) + 1 as int)", f"cast({length} div {parts} + if(i > {longer}, 1, 0) as int)"
 
 
+#: Characters whose counts, modulo 16, fill two numbers of fifteen fields of four bits each.
+_COUNTED = ("etaoinshrdlucmf", "wypvb0123456789")
+
+
+def _packed(line: str) -> tuple[str, str]:
+    """SQL for columns low and high, which hold a line's counts of `_COUNTED`."""
+    count = lambda c: f"char_length({line}) - char_length(translate({line}, '{''.join(sorted({c, c.upper()}))}', ''))"
+    low, high = (" | ".join(f"shiftleft(cast(({count(c)}) & 15 as bigint), {4 * i})" for i, c in enumerate(x)) for x in _COUNTED)
+    return f"{low} low", f"{high} high"
+
+
+def _packed_agree(a: tuple[str, str], b: tuple[str, str], tau: int) -> str:
+    """SQL that is false for most lines more than tau edits apart, never for others: an edit raises one count at most, and lowers one.
+
+    Fields are subtracted without borrowing from each other. Those up to 7 are rises; their bits are counted by weight.
+    """
+    fields = lambda digit: int(str(digit) * 15, 16)
+
+    def over(x: str, y: str) -> str:
+        less = f"((({x} | {fields(8)}) - ({y} & {fields(7)})) ^ (({x} ^ ~{y}) & {fields(8)}))"
+        return " + ".join(f"{w} * bit_count({less} & shiftright(~{less}, {shift}) & {fields(w)})" for w, shift in ((1, 3), (2, 2), (4, 1)))
+
+    both = zip(a, b, strict=True)
+    up, down = zip(*((over(x, y), over(y, x)) for x, y in both), strict=True)
+    return f"{' + '.join(up)} <= {tau} and {' + '.join(down)} <= {tau}"
+
+
 def rare_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """pos, other: pairs of lines (bucket, pos, line) of a bucket, `other` the smaller, with all that are within tau edits among them.
 
     A line cut into any number of segments keeps all but tau of them in every line within tau edits, so one of any tau + 1
     segments. Each line is met under the tau + 1 of its segments that the fewest lines of its length have, cut by the grain
     for which these are the fewest, the coarser one of equals; so what lines of a template have in common makes no pairs.
-    The others of its bucket probe the places of these segments only, at the shifts that tau edits allow.
+    The others of its bucket probe the places of these segments only, at the shifts that tau edits allow. Near copies of one
+    line with an edit or two more have no three segments of their own; of those that meet, the counts of characters, which
+    come along, leave the few that may be within tau edits, before a pair is made of them.
     """
-    rows = lines.selectExpr("bucket", "pos", "line", "char_length(line) n", f"{tau + 1} fewest")
+    rows = lines.selectExpr("bucket", "pos", "line", "char_length(line) n", f"{tau + 1} fewest", *_packed("line"))
     parts, start, size = _fine("n")
     grains = rows.drop("bucket").dropDuplicates(["pos"]).withColumn("grain", F.explode(F.array(*[F.lit(g) for g in GRAINS])))
     own = grains.withColumn("i", F.explode(F.expr(f"sequence(1, cast({parts} as int))"))).selectExpr("pos", "n", "grain", "i", f"xxhash64(n, grain, i, substring(line, {start}, {size})) key").checkpoint()
@@ -85,15 +114,16 @@ def rare_pairs(lines: DataFrame, tau: int) -> DataFrame:
     best = F.min(F.struct(F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["many"]).alias("many"), (-F.col("grain")).alias("finer"), F.col("grain"), F.col("rare")))
     chosen = rated.groupBy("pos").agg(best.alias("b")).select("pos", "b.grain", "b.rare")
     # A line's segments go to its buckets as one row and are told apart there.
-    chosen = rows.select("bucket", "pos", "n").join(chosen, "pos").select("bucket", "pos", "n", "grain", F.explode("rare").alias("r")).select("bucket", "pos", "n", "grain", "r.i", "r.key").checkpoint()
+    chosen = rows.select("bucket", "pos", "n", "low", "high").join(chosen, "pos").select("bucket", "pos", "n", "low", "high", "grain", F.explode("rare").alias("r")).select("bucket", "pos", "n", "low", "high", "grain", "r.i", "r.key").checkpoint()
     places = chosen.groupBy("bucket", F.col("n").alias("target")).agg(F.collect_set(F.struct("grain", "i")).alias("places"))
     _, start, size = _fine("target")
     probing = rows.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("target", F.col("n") - F.col("delta")).join(places, ["bucket", "target"])
     slack = f"(({tau} - delta) div 2)"
-    probing = probing.withColumn("p", F.explode("places")).selectExpr("bucket", "pos", "line", "n", "fewest", "delta", "target", "p.grain", "p.i")
+    probing = probing.withColumn("p", F.explode("places")).selectExpr("bucket", "pos", "line", "n", "fewest", "low", "high", "delta", "target", "p.grain", "p.i")
     probing = probing.withColumn("shift", F.explode(F.expr(f"sequence(cast(-{slack} as int), cast(delta + {slack} as int))")))
-    met = probing.where(f"{start} + shift >= 1 and {start} + shift + {size} - 1 <= n").selectExpr("bucket", "pos prober", f"xxhash64(target, grain, i, substring(line, {start} + shift, {size})) key").distinct()
-    return chosen.join(met, ["bucket", "key"]).where("pos <> prober").selectExpr("greatest(pos, prober) pos", "least(pos, prober) other").distinct()
+    met = probing.where(f"{start} + shift >= 1 and {start} + shift + {size} - 1 <= n").selectExpr("bucket", "pos prober", "low others_low", "high others_high", f"xxhash64(target, grain, i, substring(line, {start} + shift, {size})) key").distinct()
+    agree = _packed_agree(("low", "high"), ("others_low", "others_high"), tau)
+    return chosen.join(met, ["bucket", "key"]).where(f"pos <> prober and {agree}").selectExpr("greatest(pos, prober) pos", "least(pos, prober) other").distinct()
 
 
 def may_be_within(a: str, b: str, tau: int, parts: int = 8) -> Column:

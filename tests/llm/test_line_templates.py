@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from perfloom.llm.line_dedup import dedup_lines, rare_pairs
+from perfloom.llm.line_dedup import _packed, _packed_agree, dedup_lines, rare_pairs
 
 
 def distance(a: str, b: str) -> int:
@@ -62,3 +62,32 @@ def test_templated_lines_go_only_where_near(spark):
     assert all(got[k].n_removed == 0 for k in range(10))
     assert got[50].n_removed == len(copies)
     assert got[60].n_removed == sum(any(distance(x, y) <= 2 for y in lines) for x in far.values())
+
+
+def reworded(rng: random.Random, words: list[str], edits: int) -> str:
+    x = list(words)
+    for at in rng.sample(range(len(x)), edits):
+        x[at] = rng.choice(words) if rng.randrange(2) else x[at] + rng.choice(words)
+    return " ".join(x)
+
+
+def test_near_copies_of_a_line_make_few_pairs(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(90)]
+    lines = list(dict.fromkeys(reworded(rng, words, rng.randrange(1, 4)) for _ in range(600)))
+    n = len(lines)
+    lines += [edited(rng, lines[i], 2) for i in range(40)]
+    got = {(r.pos, r.other) for r in rare_pairs(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "bucket int, pos long, line string"), 2).collect()}
+    assert {(n + i, i) for i in range(40)} <= got
+    assert len(got) < 3_000
+
+
+def test_packed_counts_agree_where_lines_are_near(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("eEtT0123v.- ") for _ in range(rng.randrange(30, 90))) for _ in range(300)]
+    rows = [(tau, x, edited(rng, x, tau)) for x in base for tau in (1, 2, 3)] + [(0, x, edited(rng, x, 25)) for x in base]
+    pairs = spark.createDataFrame(rows, "tau int, x string, y string")
+    pairs = pairs.selectExpr("*", *_packed("x")).withColumnsRenamed({"low": "a", "high": "b"}).selectExpr("*", *_packed("y")).localCheckpoint()
+    for tau in (1, 2, 3):
+        assert pairs.where(f"tau = {tau}").where(_packed_agree(("a", "b"), ("low", "high"), tau)).count() == 300
+    assert pairs.where("tau = 0").where(_packed_agree(("a", "b"), ("low", "high"), 2)).count() < 30

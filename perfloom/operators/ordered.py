@@ -237,28 +237,42 @@ def minimal_patches(df: DataFrame, key: str, patch: str = "patch") -> DataFrame:
     """key, patch: each file's two header lines, and its hunks from the first changed line to the line behind the last.
 
     Hunks are counted anew, those of a file shift by the changes before them, and lines lose their trailing white space.
-    Files that are new or gone have no old or new path and are left out; so are hunks without a change.
+    Files that are new or gone have no old or new path and are left out; so are hunks without a change. Each patch is read
+    within its row: it is split at its files and those at their hunks, so nothing is shuffled and no row is made of a line.
     """
-    rows = df.select(key, F.posexplode(F.split(F.coalesce(patch, F.lit("")), "\n")).alias("pos", "line"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = r"^@@\s+-(\d+),(\d+)\s+\+(\d+),(\d+)\s+@@"
-    opens, cut = F.col("line").rlike("^--- a/"), F.col("line").rlike("^(diff |--- a/|@@ )")
-    rows = rows.withColumn("file", F.count_if(opens).over(upto)).withColumn("part", F.count_if(cut).over(upto))
-    start = F.regexp_extract("line", head, 1).try_cast("int")
-    whole = Window.partitionBy(key, "part")
-    rows = rows.withColumn("old", F.max(start).over(whole)).where("file > 0")
-    changed = F.col("line").rlike("^[+-]")
-    body = rows.where(F.col("old").isNotNull() & start.isNull())
-    body = body.withColumn("a", F.min(F.when(changed, F.col("pos"))).over(whole)).withColumn("b", F.max(F.when(changed, F.col("pos"))).over(whole))
-    kept = body.where("pos between a and b or pos = b + 1 and line <> ''")
-    before = body.where("pos < a").groupBy(key, "part").agg(F.count("*").alias("before"))
-    hunks = kept.groupBy(key, "file", "part").agg(
-        F.first("old").alias("old"), F.count_if(~F.col("line").startswith("+")).alias("n_old"), F.count_if(~F.col("line").startswith("-")).alias("n_new"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.rtrim("line").alias("line")))), lambda x: x["line"]), "\n").alias("text"),
-    )
-    earlier = Window.partitionBy(key, "file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    hunks = hunks.join(before, [key, "part"], "left").withColumn("old", F.col("old") + F.coalesce("before", F.lit(0))).withColumn("new", F.col("old") + F.coalesce(F.sum(F.col("n_new") - F.col("n_old")).over(earlier), F.lit(0)))
-    written = hunks.select(key, "file", "part", F.concat(F.lit("@@ -"), "old", F.lit(","), "n_old", F.lit(" +"), "new", F.lit(","), "n_new", F.lit(" @@\n"), "text").alias("text"))
-    heads = rows.where(F.col("line").rlike("^(--- a/|\\+\\+\\+ b/)") & F.col("old").isNull()).select(key, "file", (F.col("pos") - (1 << 30)).cast("long").alias("part"), F.col("line").alias("text"))
-    parts = heads.unionByName(written).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "part", "text"))), lambda x: x["text"]), "\n").alias("_new"))
-    return df.select(key).join(parts, key, "left").select(key, F.coalesce("_new", F.lit("")).alias(patch))
+    start = lambda x: F.when(x.startswith("@@"), F.regexp_extract(x, r"^@@\s+-(\d+),(\d+)\s+\+(\d+),(\d+)\s+@@", 1).try_cast("int"))
+    changed = lambda x: x.startswith("+") | x.startswith("-")
+    count = lambda xs, f: F.size(F.filter(xs, f))
+
+    def bounds(part: Column) -> Column:
+        """A part's lines, with the number of its hunk's first line and the places of its first and last change."""
+        x = F.split(part, "\n")
+        places = F.transform(x, lambda y, i: F.when(changed(y), i))
+        return F.struct(x.alias("lines"), F.array_max(F.transform(x, start)).alias("old"), F.array_min(places).alias("a"), F.array_max(places).alias("b"))
+
+    def kept(p: Column) -> Column:
+        body = F.filter(F.slice(p["lines"], p["a"] + 1, p["b"] - p["a"] + 2), lambda y, j: start(y).isNull() & ((j <= p["b"] - p["a"]) | (y != "")))
+        return F.struct((p["old"].cast("long") + count(F.slice(p["lines"], F.lit(1), p["a"]), lambda y: start(y).isNull())).alias("old"), body.alias("body"))
+
+    def counted(h: Column) -> Column:
+        return F.struct(h["old"].alias("old"), count(h["body"], lambda y: ~y.startswith("+")).alias("n_old"), count(h["body"], lambda y: ~y.startswith("-")).alias("n_new"), F.array_join(F.transform(h["body"], lambda y: F.rtrim(y)), "\n").alias("text"))
+
+    def read(parts: Column) -> Column:
+        heads = F.flatten(F.transform(F.filter(parts, lambda p: p["old"].isNull()), lambda p: F.filter(p["lines"], lambda y: y.startswith("--- a/") | y.startswith("+++ b/"))))
+        hunks = F.transform(F.transform(F.filter(parts, lambda p: p["old"].isNotNull() & p["a"].isNotNull()), kept), counted)
+        return F.struct(heads.alias("heads"), hunks.alias("hunks"))
+
+    def shifted(f: Column) -> Column:
+        """With the changes of the hunks before each one of a file."""
+        shifts = F.aggregate(f["hunks"], F.array(F.lit(0).cast("long")), lambda acc, h: F.array_append(acc, F.element_at(acc, -1) + h["n_new"] - h["n_old"]))
+        return F.struct(f["heads"].alias("heads"), f["hunks"].alias("hunks"), shifts.alias("shifts"))
+
+    def written(f: Column) -> Column:
+        hunk = lambda h, i: F.concat(F.lit("@@ -"), h["old"], F.lit(","), h["n_old"], F.lit(" +"), h["old"] + F.get(f["shifts"], i), F.lit(","), h["n_new"], F.lit(" @@\n"), h["text"])
+        return F.concat(f["heads"], F.transform(f["hunks"], hunk))
+
+    # Lines end at \n only, which the lookbehind says and ^ doesn't.
+    files = F.filter(F.split(F.coalesce(patch, F.lit("")), r"(?<=\n)(?=--- a/)"), lambda x: x.startswith("--- a/"))
+    files = F.transform(F.transform(files, lambda x: F.split(x, r"(?<=\n)(?=diff |@@ )")), lambda parts: F.transform(parts, bounds))
+    files = F.transform(F.transform(F.transform(files, read), shifted), written)
+    return df.select(key, F.array_join(F.flatten(files), "\n").alias(patch))

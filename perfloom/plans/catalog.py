@@ -275,9 +275,10 @@ def unique_prefix(spark, d):
 @query("WITH s AS (SELECT l_partkey AS part, (month(l_shipdate)%3) AS run, avg(l_extendedprice) AS before, avg(l_extendedprice*(1-l_discount*5)) AS after, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1,2), g AS (SELECT part, count(DISTINCT run) AS n, bool_or(coalesce((after-before>=0) OR ((after-before)/before*100>-25 AND abs(after-before)<sd),true)) AS bad, count(*) FILTER (after > before-2*sd) AS weak FROM s GROUP BY 1) SELECT part, weak, n=3 AND NOT bad AS kept FROM g")
 def sigma_gate(spark, d):
     runs = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), (F.month("l_shipdate") % 3).alias("run")).agg(F.avg("l_extendedprice").alias("before"), F.avg(F.expr("l_extendedprice * (1 - l_discount * 5)")).alias("after"), F.stddev_samp("l_extendedprice").alias("after_sd"))
-    kept = curation.passed_gates(runs, "part", 3).withColumn("kept", F.lit(True))
+    kept = curation.passed_gates(runs, "part", 3).select(F.col("part").alias("passed"), F.lit(True).alias("kept"))
     weak = runs.groupBy("part").agg(F.count_if(A.not_two_sigma(F.col("before"), F.col("after"), F.col("after_sd"))).alias("weak"))
-    return weak.join(kept, "part", "left").select("part", "weak", F.coalesce("kept", F.lit(False)).alias("kept"))
+    # Lines without a part are a group too.
+    return weak.join(kept, F.col("part").eqNullSafe(F.col("passed")), "left").select("part", "weak", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS x FROM benchmark) SELECT DISTINCT doc_id AS test FROM l WHERE x IN (SELECT x FROM b)")
